@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, tiff
 from .common import table
 
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary that the packing contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES = {
+    "op2_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path()),
+    "op5_media": lambda spark, d: tiff.op5_media(table(spark, d, "documents")),
     "op6_mixing": lambda spark, d: mixing.op6_mix(table(spark, d, "documents")),
 }
 
