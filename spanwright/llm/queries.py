@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, tiff
+from . import langid, mixing, packing, tiff, toxicity
 from .common import table
 
 
@@ -14,7 +14,9 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {
+    "op1_toxicity": lambda spark, d: toxicity.op1_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path()),
+    "op3_langid": lambda spark, d: langid.op3_langid(table(spark, d, "documents")),
     "op5_media": lambda spark, d: tiff.op5_media(table(spark, d, "documents")),
     "op6_mixing": lambda spark, d: mixing.op6_mix(table(spark, d, "documents")),
 }
