@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, tiff, toxicity
+from . import html, langid, mixing, packing, pii, tiff, toxicity
 from .common import table
 
 
@@ -18,6 +18,8 @@ QUERIES = {
     "op2_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path()),
     "op3_langid": lambda spark, d: langid.op3_langid(table(spark, d, "documents")),
     "op5_media": lambda spark, d: tiff.op5_media(table(spark, d, "documents")),
+    "op7_pii": lambda spark, d: pii.op7_pii(table(spark, d, "documents")),
+    "op9_html": lambda spark, d: html.extract(table(spark, d, "pages")),
     "op6_mixing": lambda spark, d: mixing.op6_mix(table(spark, d, "documents")),
 }
 
