@@ -255,7 +255,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             if not m[3][0].isupper() and m[3][0].lower() != m[3][0].upper():
                 continue
             gender = _GENDER.get(m[1], "u")
-            two = m[5] and (m[5][0].isupper() or m[5][0].lower() == m[5][0].upper())
+            two = m[5] and m[5] not in _GENDER and (m[5][0].isupper() or m[5][0].lower() == m[5][0].upper())
             parts = [(3, f"GIVEN:{gender}"), (5, "SURNAME")] if two else [(3, "SURNAME")]
             for g, kind in parts:
                 known.setdefault(m[g], kind)
