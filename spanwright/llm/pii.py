@@ -349,3 +349,11 @@ def surrogates(docs: DataFrame, key: bytes = b"spanwright", check: bool = True)
 def op7_pii(docs: DataFrame) -> DataFrame:
     """doc_id, text (with surrogates), n_entities, entities (places in the new text)."""
     return surrogates(docs.select("doc_id", "text")).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
+def replaced(docs: DataFrame, key: bytes = b"spanwright") -> DataFrame:
+    """docs with surrogates in `text` and, where there is such a column, n_chars of the new text."""
+    out = surrogates(docs, key).drop("entities")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

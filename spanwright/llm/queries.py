@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, mixing, packing, pii, substring, tiff, toxicity
+from . import html, langid, mixing, omh, packing, pii, substring, tiff, toxicity
 from .common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op3_langid": lambda spark, d: langid.op3_langid(table(spark, d, "documents")),
     "op5_media": lambda spark, d: tiff.op5_media(table(spark, d, "documents")),
     "op7_pii": lambda spark, d: pii.op7_pii(table(spark, d, "documents")),
+    "op8_near": lambda spark, d: omh.op8_near(table(spark, d, "documents")),
     "op9_html": lambda spark, d: html.extract(table(spark, d, "pages")),
     "op10_substring": lambda spark, d: substring.op10_substring(table(spark, d, "documents")),
     "op6_mixing": lambda spark, d: mixing.op6_mix(table(spark, d, "documents")),
