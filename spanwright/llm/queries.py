@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, mixing, omh, packing, pii, substring, tiff, toxicity
+from . import ann, html, langid, mixing, omh, packing, pii, substring, tiff, toxicity
 from .common import table
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op1_toxicity": lambda spark, d: toxicity.op1_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path()),
     "op3_langid": lambda spark, d: langid.op3_langid(table(spark, d, "documents")),
+    "op4_ann": lambda spark, d: ann.op4_ann(table(spark, d, "embeddings")),
     "op5_media": lambda spark, d: tiff.op5_media(table(spark, d, "documents")),
     "op7_pii": lambda spark, d: pii.op7_pii(table(spark, d, "documents")),
     "op8_near": lambda spark, d: omh.op8_near(table(spark, d, "documents")),
