@@ -1,0 +1,163 @@
+"""The answer pipeline: gate, cache plan, model call, strict parsing, citation checks, audit."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import token_estimate
+from .spans import merge_regions, resolve_quotes, verify_citations
+
+#: The gate's default signal and threshold (fixed values): a question is blocked strictly below it.
+SIGNAL, THRESHOLD = "top_ts_rank", 0.02507458
+#: Stop reasons of a generation that ended by itself (fixed values).
+NORMAL_STOPS = ("end_turn", "stop", "")
+ANSWER = "status string, answer string, citations array<struct<chunk_id:string,quote:string>>"
+COMPLETION = "question_id long, text string, input_tokens long, output_tokens long, model string, stop_reason string"
+
+
+def blocked(signal: str = SIGNAL, threshold: float = THRESHOLD) -> Column:
+    return F.col(signal) < F.lit(threshold)
+
+
+def cache_key(**fields: Column | str) -> Column:
+    """SHA-256 of the request as JSON with its fields in alphabetical order."""
+    named = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in sorted(fields.items())]
+    return F.sha2(F.to_json(F.struct(*named)), 256)
+
+
+def cache_plan(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """(gated, cached, to_call, est_tokens) of requests (question_id, key, gated, prompt): what a run would cost."""
+    rows = requests.join(cache.select("key").distinct().withColumn("_hit", F.lit(True)), "key", "left")
+    hit, gated = F.col("_hit").isNotNull(), F.col("gated")
+    call = ~gated & ~hit
+    return rows.agg(
+        F.sum(gated.cast("long")).alias("gated"), F.sum((~gated & hit).cast("long")).alias("cached"), F.sum(call.cast("long")).alias("to_call"),
+        F.coalesce(F.sum(F.when(call, token_estimate("prompt"))), F.lit(0)).alias("est_tokens"))
+
+
+@dataclass(frozen=True)
+class StubClient:
+    """An offline model: cites the opening words of the first excerpt. Any picklable object with
+    complete(prompt) -> (text, input tokens, output tokens, stop reason) can stand in its place."""
+
+    model: str = "ollama:stub"
+    words: int = 12
+
+    def complete(self, prompt: str) -> tuple[str, int, int, str]:
+        import json
+        import re
+
+        m = re.search(r'<excerpt id="(C\d+)"[^>]*>\n(.*?)\n</excerpt>', prompt, re.S)
+        if not m:
+            body = {"status": "not_found", "answer": "", "citations": []}
+        else:
+            quote = re.match(rf"\s*((?:\S+\s+){{0,{self.words - 1}}}\S+)", m[2])
+            body = {"status": "answered", "answer": "See the cited clause.", "citations": [{"chunk_id": m[1], "quote": quote[1] if quote else ""}]}
+        text = json.dumps(body)
+        return text, -(-len(prompt) * 2 // 7), -(-len(text) * 2 // 7), "stop"
+
+
+def make_client(name: str) -> StubClient:
+    """A client by model name. Paid and networked providers are not bundled: only the offline stub is."""
+    if name.startswith("ollama:stub"):
+        return StubClient(name)
+    raise ValueError(f"no offline client for model {name!r}")
+
+
+def call_model(prompts: DataFrame, client: StubClient) -> DataFrame:
+    """(question_id, prompt) -> COMPLETION, equal prompts answered alike, by Arrow batches."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            done = [client.complete(p) for p in f["prompt"]]
+            yield pd.DataFrame({"question_id": f["question_id"], "text": [d[0] for d in done], "input_tokens": [d[1] for d in done], "output_tokens": [d[2] for d in done], "model": client.model, "stop_reason": [d[3] for d in done]})
+
+    return prompts.select("question_id", "prompt").mapInPandas(run, COMPLETION)
+
+
+def cached_call(prompts: DataFrame, client: StubClient, cache: DataFrame, offline: bool = False) -> DataFrame:
+    """COMPLETION + key, cached: cache hits joined, distinct misses called once. offline: a miss is an error row."""
+    keyed = prompts.withColumn("key", cache_key(model=F.lit(client.model), user="prompt"))
+    hits = keyed.join(cache, "key").withColumn("cached", F.lit(True))
+    miss = keyed.join(cache.select("key"), "key", "left_anti")
+    if offline:
+        fresh = miss.select("question_id", F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"), F.lit(client.model).alias("model"), F.lit("offline_miss").alias("stop_reason"), "key")
+    else:
+        once = miss.groupBy("key").agg(F.min("question_id").alias("question_id"), F.first("prompt").alias("prompt"))
+        fresh = call_model(once, client).join(once.select("question_id", "key"), "question_id").drop("question_id").join(miss.select("question_id", "key"), "key")
+    cols = ["question_id", "text", "input_tokens", "output_tokens", "model", "stop_reason", "key"]
+    return hits.select(*cols, "cached").unionByName(fresh.select(*cols).withColumn("cached", F.lit(False)))
+
+
+def parsed(completions: DataFrame) -> DataFrame:
+    """completions + parsed (ANSWER), error: null, 'invalid_json', or the abnormal stop reason."""
+    p = F.from_json("text", ANSWER)
+    bad = p.isNull() | p["status"].isNull() | ~p["status"].isin("answered", "not_found") | p["answer"].isNull() | p["citations"].isNull() | F.coalesce(F.exists(p["citations"], lambda c: c.isNull() | c["chunk_id"].isNull() | c["quote"].isNull()), F.lit(False))
+    stop = F.coalesce("stop_reason", F.lit(""))
+    error = F.when(bad, F.when(stop.isin(*NORMAL_STOPS), "invalid_json").otherwise(stop))
+    return completions.withColumn("parsed", p).withColumn("error", error)
+
+
+def check_citations(answers: DataFrame, context: DataFrame, docs: DataFrame) -> DataFrame:
+    """answers (question_id, citations array<struct<chunk_id,quote>>) -> (question_id, citations, reasons, whitespace_matches).
+
+    context: (question_id, label, doc_id, start_char, end_char); the label picks the document, the
+    quote may lie in any of its shown regions.
+    """
+    shown = context.select("question_id", "doc_id", F.col("start_char").alias("start"), F.col("end_char").alias("end"))
+    regions = merge_regions(shown, "question_id", "doc_id").groupBy("question_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("regions"))
+    each = answers.select("question_id", F.posexplode("citations").alias("i", "c")).select("question_id", "i", F.col("c.chunk_id").alias("label"), F.col("c.quote").alias("quote"))
+    placed = each.join(context.select("question_id", "label", "doc_id"), ["question_id", "label"], "left").join(regions, ["question_id", "doc_id"], "left").join(docs.select("doc_id", "text"), "doc_id", "left")
+    found = resolve_quotes(placed)
+    quoted = F.expr("substring(text, start + 1, end - start)")
+    cites = found.withColumn("quoted_text", quoted)
+    checked = verify_citations(cites.select("question_id", "i", "label", "doc_id", "start", "end", "quoted_text", "mode"), docs, shown)
+    reason = (
+        F.when(F.col("doc_id").isNull(), F.concat(F.lit("unknown_chunk:"), "label"))
+        .when(F.col("start").isNull(), F.concat(F.lit("quote_not_found:"), "label"))
+        .when(F.col("reason").isNotNull(), F.concat(F.lit("verifier:"), "reason"))
+    )
+    rows = checked.withColumn("why", reason)
+    good = F.when(F.col("why").isNull(), F.struct("i", "doc_id", "start", "end", "quoted_text"))
+    out = rows.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(good)).alias("_c"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("why").isNotNull(), F.struct("i", "why")))), lambda s: s["why"]).alias("reasons"),
+        F.sum((F.coalesce(F.col("mode"), F.lit("")) == "whitespace").cast("long")).alias("whitespace_matches"))
+    unique = F.array_distinct(F.transform("_c", lambda s: F.struct(s["doc_id"].alias("doc_id"), s["start"].alias("start"), s["end"].alias("end"), s["quoted_text"].alias("quoted_text"))))
+    return out.select("question_id", unique.alias("citations"), "reasons", "whitespace_matches")
+
+
+def decide(questions: DataFrame, gate: DataFrame, completions: DataFrame, checks: DataFrame) -> DataFrame:
+    """One result per question, in the fixed order of decisions: gate, parse, abstention, citations, answer.
+
+    gate: (question_id, gated); completions as from parsed(); checks as from check_citations().
+    """
+    rows = questions.select("question_id").join(gate, "question_id", "left").join(completions, "question_id", "left").join(checks, "question_id", "left")
+    said = F.col("parsed.status")
+    none = F.coalesce(F.size("parsed.citations"), F.lit(0)) == 0
+    bad = F.size(F.coalesce("reasons", F.array().cast("array<string>"))) > 0
+    gated = F.coalesce("gated", F.lit(False))
+    status = F.when(gated, "not_found").when(F.col("error").isNotNull() | F.col("parsed").isNull(), "rejected").when(said == "not_found", "not_found").when(none | bad, "rejected").otherwise("answered")
+    why = F.when(gated, F.array()).when(F.col("error").isNotNull(), F.array("error")).when((said == "answered") & none, F.array(F.lit("no_citations"))).when(said == "answered", F.coalesce("reasons", F.array())).otherwise(F.array())
+    shown = status == "answered"
+    return rows.select(
+        "question_id", status.alias("status"), F.when(~gated, said).alias("model_status"), gated.alias("gated"),
+        F.when(shown, F.col("parsed.answer")).alias("answer"), F.when(shown, F.size("citations")).otherwise(0).alias("citation_count"),
+        why.cast("array<string>").alias("rejection_reasons"), F.coalesce("whitespace_matches", F.lit(0)).cast("long").alias("whitespace_matches"),
+        F.coalesce("input_tokens", F.lit(0)).cast("long").alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).cast("long").alias("output_tokens"), "model")
+
+
+def audit(results: DataFrame, scope: DataFrame) -> DataFrame:
+    """(question_id, action, matter_id, detail): an append-only row per question; scope: (question_id, doc_id, matter_id).
+
+    The matter is named only when all documents asked share it.
+    """
+    asked = scope.groupBy("question_id").agg(F.array_sort(F.collect_set("doc_id")).alias("document_ids"), F.when(F.countDistinct("matter_id") == 1, F.min("matter_id")).alias("matter_id"))
+    rows = results.join(asked, "question_id", "left")
+    detail = F.to_json(F.struct("document_ids", "status", "gated", "model", "citation_count", "rejection_reasons", "whitespace_matches", "input_tokens", "output_tokens"))
+    return rows.select("question_id", F.lit("ask").alias("action"), "matter_id", detail.alias("detail"))

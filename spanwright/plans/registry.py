@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+from . import evaluation, retrieval
 
-def _modules():
-    return ()
+_MODULES = (retrieval, evaluation)
 
 
 def queries():
     found = {}
-    for module in _modules():
+    for module in _MODULES:
         found.update(module.QUERIES)
     return found
 
 
 def oracle_sql():
     found = {}
-    for module in _modules():
+    for module in _MODULES:
         found.update(module.ORACLES)
     return found
 
