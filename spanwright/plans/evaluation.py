@@ -379,13 +379,13 @@ def redaction_counts(spark, d):
     return X.entity_counts(_entities(spark, d)).filter("kind = 'EMAIL'")
 
 
-@query(_MAILS.join(["WITH ", """, f AS (SELECT doc_id, lower(x) AS k, min(instr(text, x)) AS at FROM m GROUP BY ALL) SELECT doc_id, 'EMAIL_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY at) AS placeholder, at - 1 AS start FROM f"""]))
+@query(_MAILS.join(["WITH ", """, f AS (SELECT doc_id, lower(x) AS k, min(instr(text, x)) AS first_at FROM m GROUP BY ALL) SELECT doc_id, 'EMAIL_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY first_at) AS placeholder, first_at - 1 AS start FROM f"""]))
 def placeholder_numbers(spark, d):
     e = _entities(spark, d).select("doc_id", F.explode("entities").alias("e")).filter("e.kind = 'EMAIL'")
     return e.groupBy("doc_id", F.col("e.placeholder").alias("placeholder")).agg(F.min("e.start").cast("long").alias("start"))
 
 
-@query(_MAILS.join(["WITH ", """, f AS (SELECT doc_id, lower(x) AS k, arg_min(x, instr(text, x)) AS original, min(instr(text, x)) AS at FROM m GROUP BY ALL) SELECT doc_id, 'EMAIL' AS kind, 'EMAIL_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY at) AS placeholder, original FROM f"""]))
+@query(_MAILS.join(["WITH ", """, f AS (SELECT doc_id, lower(x) AS k, arg_min(x, instr(text, x)) AS original, min(instr(text, x)) AS first_at FROM m GROUP BY ALL) SELECT doc_id, 'EMAIL' AS kind, 'EMAIL_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY first_at) AS placeholder, original FROM f"""]))
 def placeholder_map(spark, d):
     return X.placeholder_map(_entities(spark, d), "doc_id").filter("kind = 'EMAIL'")
 
