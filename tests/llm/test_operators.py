@@ -1,0 +1,274 @@
+"""The operators against brute force, exact round trips and held-out accuracy."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from spanwright.llm import ann, html, langid, mixing, omh, packing, pii, substring, tiff, toxicity
+from spanwright.llm.queries import tokenizer_path
+
+
+def test_packing_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    rows = packing.pack(docs, tokenizer_path()).toPandas()
+    for r in docs.toPandas().itertuples():
+        ids = np.array([*tok.encode(r.text, add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for p in rows[rows.doc_id == r.doc_id].sort_values("start").itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and zlib.crc32(ids[at : at + p.length].tobytes()) == p.ids_crc32
+            at += p.length
+        assert at == len(ids)
+    rows = rows.sort_values(["sequence_id", "offset"])
+    assert ((rows.offset + rows.length).groupby(rows.sequence_id).shift(fill_value=0) == rows.offset).all()
+    sizes = rows.groupby("sequence_id").length.sum()
+    assert sizes.max() <= 1024 and (1024 * len(sizes) - sizes.sum()) / sizes.sum() < 0.02
+
+
+@pytest.mark.parametrize("kind", [tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_tiff_round_trip(kind):
+    rng = np.random.default_rng(kind)
+    pages = [rng.integers(0, hi, (h, w, s), dtype=np.uint8) for h, w, s, hi in ((1, 1, 1, 256), (70, 130, 3, 4), (33, 64, 1, 256), (200, 300, 1, 2))]
+    for predictor in (1, 2):
+        for tile in (0, 16, 64):
+            for big in (False, True):
+                got = list(tiff.read(tiff.write(pages, kind, predictor, 17, tile, big)))
+                assert [g[7] for g in got] == [p.tobytes() for p in pages] and all(g[8] is None for g in got)
+
+
+def test_tiff_reads_planes_and_reports_damage():
+    data = bytearray(tiff.write([np.arange(48, dtype=np.uint8).reshape(4, 4, 3)], tiff.PLAIN))
+    assert next(tiff.read(bytes(data[:60])))[8] and next(tiff.read(b"nothing"))[8]
+    loop = bytearray(tiff.write([np.zeros((1, 1, 1), np.uint8)], tiff.PLAIN))
+    first = int.from_bytes(loop[4:8], "little")
+    count = int.from_bytes(loop[first : first + 2], "little")
+    loop[first + 2 + 12 * count :][:4] = loop[4:8]
+    loop[first + 2 + 12 * count : first + 6 + 12 * count] = loop[4:8]
+    assert "loop" in list(tiff.read(bytes(loop)))[-1][8]
+
+
+def test_texts_come_back_from_media(spark, docs):
+    rows = {r["doc_id"]: r for r in tiff.op5_media(docs).collect()}
+    for r in docs.collect():
+        b = r["text"].encode()
+        p = b.ljust(max(192, -(-len(b) // 192) * 192))
+        g = rows[r["doc_id"]]
+        assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+
+
+def shares(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    free, left, out = set(order), share * sum(sizes.values()), {}
+    while True:
+        level = left / sum(w[s] for s in free)
+        over = {s for s in free if w[s] * level > most * sizes[s] + 1e-9}
+        if not over:
+            return out | {s: w[s] * level for s in free}
+        for s in over:
+            out[s] = most * sizes[s]
+            left -= out[s]
+        free -= over
+
+
+def test_mixture_meets_its_targets(spark, docs):
+    from pyspark.sql import functions as F
+
+    some = docs.withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.substring("source", 1, 4)))
+    rows = mixing.op6_mix(some).toPandas().merge(some.select("doc_id", "source").toPandas(), on="doc_id")
+    rows["source"] = rows.source.fillna("-")
+    size = rows.groupby("source")["size"].sum().to_dict()
+    want = shares({None if s == "-" else s: v for s, v in size.items()})
+    for s, part in rows.groupby("source"):
+        assert part.target.iloc[0] == pytest.approx(want[None if s == "-" else s])
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= part["size"].max() / 2 + 1
+    assert set(rows.taken / rows["size"]) <= {0.0, 1.0, 2.0}
+    assert mixing.op6_mix(some).toPandas().sort_values("doc_id").taken.tolist() == rows.sort_values("doc_id").taken.tolist()
+
+
+def brute_windows(texts, k):
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = collections.Counter(tuple(w[i : i + k]) for w in split for i in range(len(w) - k + 1))
+    out = []
+    for w in split:
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - k + 1):
+            gone[i : i + k] |= seen[tuple(w[i : i + k])] > 1
+        out.append((len(w), int(gone.sum()), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    return out
+
+
+def test_substrings_match_brute_force(spark, docs):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[a : a + n]) + " " + " ".join(f"u{j}x{i}" for i in range(5)) for j, (a, n) in enumerate(rng.integers(0, 200, (40, 2)))]
+    texts += [" ".join(["ha"] * n) for n in (34, 35, 36, 90)] + [" ".join(["a", "b", "c"] * 30), " ".join(f"q{i}" for i in range(35)), None, "é \x0b x"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for df in (made, docs.select("doc_id", "text")):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.op10_substring(df).collect()}
+        rows = df.collect()
+        assert [got[r["doc_id"]] for r in rows] == brute_windows([r["text"] for r in rows], 35)
+
+
+def test_index_takes_batches_and_compacts(spark):
+    index = substring.FingerprintIndex(spark, fanout=3)
+    one = " ".join(f"w{i}" for i in range(60))
+    frames = [spark.createDataFrame([(t,)], "text string") for t in (one, " ".join(f"v{i}" for i in range(60)), "new " + one)]
+    index.add(frames[0])
+    assert index.seen(frames[1]).count() == 0 and index.seen(frames[2]).count() > 0
+    index.add(frames[1])
+    assert len(index.runs) == 2 and index.history().filter("n > 1").count() == 0
+    index.add(frames[2])
+    assert len(index.runs) == 1 and index.repeated().count() > 0
+
+
+def brute_near(texts):
+    def label(t):
+        w = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())
+        k, seen, out = min(5, len(w)), collections.Counter(), []
+        for i in range(len(w) - k + 1 if w else 0):
+            g = tuple(w[i : i + k])
+            out.append((g, seen[g]))
+            seen[g] += 1
+        return out
+
+    named, number = [label(t) for t in texts], {}
+    ids = [np.array([number.setdefault(x, len(number)) for x in s], np.int64) for s in named]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if texts[a] == texts[b] or omh.aligned(ids[a], ids[b]) >= omh.LEAST:
+                ra, rb = root[a], root[b]
+                root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+    return root
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in rng.integers(0, 500, 80 + 20 * family)]
+        for copy in range(5):
+            t = list(base)
+            for at in rng.integers(0, len(t), copy):
+                t[at] = f"edit{rng.integers(1000)}"
+            texts.append(" ".join(t))
+    texts += [texts[0], texts[7], "a b", "A, b!", "a c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in omh.op8_near(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_near(texts)
+    assert omh.op8_near(df).filter("kept").count() == len(set(got.values()))
+
+
+def test_alignment_sees_order():
+    a = np.arange(100)
+    assert omh.aligned(a, a) == 1.0
+    assert omh.aligned(a, np.concatenate([a[50:], a[:50]])) < 0.5
+    assert omh.aligned(a, np.delete(a, range(10))) == 0.9
+    assert omh.aligned(a, a + 1000) == 0.0
+
+
+def test_neighbours_reach_their_recall(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    d = df.toPandas()
+    ids, x = d.vec_id.to_numpy(), np.array(d.embedding.tolist(), float)
+    wide = np.concatenate([x, np.random.default_rng(1).normal(size=(6000, x.shape[1]))])
+    big = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<double>")
+    for frame, ids, x in ((df, ids, x), (big, np.arange(len(wide)), wide)):
+        got = collections.defaultdict(list)
+        for r in ann.op4_ann(frame).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        hits = []
+        for i in np.flatnonzero(ids % 20 == 0):
+            s = (x * x[i]).sum(axis=1)
+            s[i] = -np.inf
+            best = np.lexsort((ids, -s))[:20]
+            mine = got[ids[i]]
+            assert len(mine) == 20 and mine == sorted(mine, key=lambda m: (-m[1], m[0]))
+            hits.append(len({m[0] for m in mine} & set(ids[best])) / 20)
+        assert np.mean(hits) >= 0.9
+
+
+def test_hilbert_steps_to_neighbours():
+    grid = np.array([[i, j, k] for i in range(8) for j in range(8) for k in range(8)])
+    key = ann.hilbert(grid, 3)
+    walk = grid[np.argsort(key)]
+    assert sorted(key) == list(range(512)) and (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_suffix_array_matches_sorting():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 30, 200):
+        s = rng.integers(0, 3, n)
+        order, shared = html.suffix_array(s)
+        want = sorted(range(n), key=lambda i: s[i:].tolist())
+        assert order.tolist() == want
+        for (a, b), k in zip(zip(want, want[1:], strict=False), shared, strict=True):
+            n_same = next((j for j in range(n) if max(a, b) + j >= n or s[a + j] != s[b + j]), n)
+            assert k == n_same
+
+
+def test_main_text_drops_chrome_and_repeats(spark):
+    shared = "subscribe to our weekly letter and never miss the news again"
+    rows = [(i, f"http://h.example/{i}", f"<body><div class='nav'>menu</div><p>{shared} unique{i} words{i} stay</p><div id=comments>bad</div><form>f</form>") for i in range(4)]
+    rows.append((9, "http://h.example/9", f"<nav>n</nav><article><h1>A &amp; B</h1><p>{shared}<br>two<aside>no</aside></article><footer>f</footer>tail"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"unique{i} words{i} stay" for i in range(4)}, 9: f"A & B\n{shared} two"}
+
+
+def test_pages_give_their_articles(spark, sf):
+    import html as entities
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    for r in pages.collect():
+        body = r["html"].split("<article>")[1].split("</article>")[0]
+        want = [" ".join(entities.unescape(re.sub(r"<[^>]*(>|$)", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+        assert got[r["page_id"]] == "\n".join(w for w in want if w)
+
+
+def test_surrogates_are_distinct_and_keep_their_form():
+    key, text = b"k", "Mrs Jane Smith, jane@mail.example.com, +1 (555) 123-4567, 10.1.2.3, 4111 1111 1111 1111, password=ab12cd34ef. Later Smith wrote; jane@mail.example.com."
+    new, spans = pii.replace(text, key, {})
+    assert all(new[a:b] == s for _, a, b, s in spans)
+    assert not re.search(r"Jane|Smith|jane@|123-4567|10\.1\.2\.3|4111 1111 1111|ab12cd34ef", new)
+    by = collections.defaultdict(list)
+    for kind, _, _, s in spans:
+        by[kind].append(s)
+    assert len(set(by["EMAIL"])) == 1 and len(by["EMAIL"]) == 2 and len(set(by["SURNAME"])) == 1 and len(by["SURNAME"]) == 2
+    assert by["GIVEN:f"][0].endswith("na") and by["PHONE"][0].startswith("+1 (") and pii.checksum(re.sub(r"\D", "", by["CARD"][0])[:-1]) == int(by["CARD"][0][-1])
+    assert pii.replace("Plain words, 12 of 2024.", key, {}) == ("Plain words, 12 of 2024.", [])
+    for size in (2, 3, 10, 26, 999):
+        p = [pii.Permutation(key, size)(i) for i in range(size)]
+        assert sorted(p) == list(range(size)) and all(a != b for a, b in enumerate(p))
+    names = [pii.name_part(n, key, "SURNA", "") for n in ("Smith", "Smyth", "Ng", "Müller", "Иванов", "Garcia")]
+    assert len(set(names)) == 6 and re.fullmatch(r"[а-я]+", names[4].lower())
+
+
+def test_collisions_are_found_and_redrawn(spark):
+    found = spark.createDataFrame([("EMAIL", "a", "x"), ("EMAIL", "b", "x"), ("PHONE", "a", "x")], "kind string, original string, surrogate string")
+    assert [tuple(r) for r in pii.collisions(found).collect()] == [("EMAIL", "b")]
+    assert pii.replace("a@b.example.com", b"k", {("EMAIL", "a@b.example.com"): 1})[0] != pii.replace("a@b.example.com", b"k", {})[0]
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    tox = toxicity.op1_toxicity(docs, labels).filter("held_out").join(labels, "doc_id").toPandas()
+    pos, neg = tox[tox.toxic == 1].score.to_numpy(), tox[tox.toxic == 0].score.to_numpy()
+    assert ((pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean()) > 0.95 and (tox.predicted == tox.toxic).mean() > 0.96
+    lang = langid.op3_langid(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert lang.filter("lang_pred = lang").count() / lang.count() > 0.98
+
+
+def test_language_backs_off():
+    rows = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.6, 0.4]]))
+    m = langid.Model(["en", "fr"], {"the": 0}, [{}, {"q": 2}, {}, {"que": 1}, {}, {}], rows, np.log([0.5, 0.5]))
+    assert m.predict("the") == ("en", pytest.approx(0.9))
+    assert m.predict("que") == ("fr", pytest.approx(0.8))
+    assert m.predict("q")[0] == "en" and m.predict("1 !") == ("und", 0.0) and m.predict(None) == ("und", 0.0)
