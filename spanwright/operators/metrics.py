@@ -110,7 +110,7 @@ def bootstrap(values: DataFrame, value: str, key: str, resamples: int = RESAMPLE
     spark = values.sparkSession
     size = values.agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     draws = spark.range(resamples).select(F.col("id").alias("r")).crossJoin(broadcast(size))  # one row
-    draws = draws.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    draws = draws.filter("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "r", "j")), 1, 8), 16, 10).cast("long"), F.col("n"))
     means = draws.select("r", "mean", pick.alias("_i")).join(numbered, "_i").groupBy("r").agg(F.round(F.avg(value), 9).alias("m"), F.first("mean").alias("mean"))
     sorted_ = means.withColumn("at", F.row_number().over(W.orderBy("m", "r")))

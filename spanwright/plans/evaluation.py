@@ -172,8 +172,8 @@ def category_recall(spark, d):
 
 @query(_FIRST + """, v AS (SELECT row_number() OVER (ORDER BY question_id) - 1 AS i, CASE WHEN rank IS NULL THEN 0.0e0 ELSE 1.0e0 / rank END AS x FROM fh),
 z AS (SELECT count(*) AS n, avg(x) AS mean FROM v), dr AS (SELECT r, j, ('0x' || substr(md5(r || ':' || j), 1, 8))::BIGINT % z.n AS i FROM range(2000) a(r), z, range(z.n) b(j)),
-m AS (SELECT r, round(avg(x), 9) AS m FROM dr JOIN v USING (i) GROUP BY r), o AS (SELECT m, row_number() OVER (ORDER BY m, r) AS at FROM m)
-SELECT round((SELECT mean FROM z), 9) AS mean, max(CASE WHEN at = 51 THEN m END) AS lo, max(CASE WHEN at = 1950 THEN m END) AS hi FROM o""")
+m AS (SELECT r, round(avg(x), 9) AS m FROM dr JOIN v USING (i) GROUP BY r), o AS (SELECT m, row_number() OVER (ORDER BY m, r) AS k_ FROM m)
+SELECT round((SELECT mean FROM z), 9) AS mean, max(CASE WHEN k_ = 51 THEN m END) AS lo, max(CASE WHEN k_ = 1950 THEN m END) AS hi FROM o""")
 def bootstrap_ci(spark, d):
     r = _relevant(spark, d, _bm25(spark, d)).select("question_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("x"))
     return M.bootstrap(r, "x", "question_id").withColumn("mean", F.round("mean", 9))
@@ -181,8 +181,8 @@ def bootstrap_ci(spark, d):
 
 @query(f"""WITH {_ALL}, v AS (SELECT row_number() OVER (ORDER BY a.question_id) - 1 AS i, coalesce(1.0e0 / a.rank, 0.0e0) - coalesce(1.0e0 / b.rank, 0.0e0) AS x FROM fh_hybrid a JOIN fh_lexical b USING (question_id)),
 z AS (SELECT count(*) AS n, avg(x) AS mean FROM v), dr AS (SELECT r, j, ('0x' || substr(md5(r || ':' || j), 1, 8))::BIGINT % z.n AS i FROM range(2000) a(r), z, range(z.n) b(j)),
-m AS (SELECT r, round(avg(x), 9) AS m FROM dr JOIN v USING (i) GROUP BY r), o AS (SELECT m, row_number() OVER (ORDER BY m, r) AS at FROM m)
-SELECT round((SELECT mean FROM z), 9) AS mean, max(CASE WHEN at = 51 THEN m END) AS lo, max(CASE WHEN at = 1950 THEN m END) AS hi FROM o""")
+m AS (SELECT r, round(avg(x), 9) AS m FROM dr JOIN v USING (i) GROUP BY r), o AS (SELECT m, row_number() OVER (ORDER BY m, r) AS k_ FROM m)
+SELECT round((SELECT mean FROM z), 9) AS mean, max(CASE WHEN k_ = 51 THEN m END) AS lo, max(CASE WHEN k_ = 1950 THEN m END) AS hi FROM o""")
 def paired_diff(spark, d):
     a = _relevant(spark, d, _hybrid(spark, d)).select("question_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("a"))
     b = _relevant(spark, d, _lexical(spark, d)).select("question_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("b"))
