@@ -38,6 +38,8 @@ SKETCHES, ORDER = 16, 3
 AGREE = 2
 #: Predecessors that a text meets in a bucket, and about how many texts a part of a large bucket holds.
 NEAR, PART = 8, 64
+#: Predecessors that a text meets in a bucket of more than PART texts, beside the bucket's least text.
+FEW = 2
 
 #: White space and ASCII punctuation end a word (fixed values).
 _BREAK = SPACE.copy()
@@ -148,8 +150,8 @@ def candidates(texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of text keys that share a bucket and at least AGREE entries. texts: tkey, entries.
 
     Within a bucket, in the order of a hash of the key, each text meets its NEAR predecessors; buckets
-    of many texts are first cut into parts of about PART by the leading bits of that hash, and all
-    their texts meet the bucket's least text too. Pairs grow linearly with a bucket, never with its
+    of more than PART texts are cut into parts of about PART by the leading bits of that hash, where
+    each text meets FEW predecessors, and all their texts meet the bucket's least text too. Pairs grow linearly with a bucket, never with its
     square, and as the order is the same in every bucket, large groups repeat the same pairs.
     """
     h = F.xxhash64("tkey")
@@ -160,7 +162,8 @@ def candidates(texts: DataFrame) -> DataFrame:
     # The leading bits of the hash, read as one of 2**bits stretches of its range.
     part = F.when(F.col("n") > PART, F.floor((h / F.lit(2.0**64) + F.lit(0.5)) * F.pow(F.lit(2.0), bits))).otherwise(F.lit(0)).cast("long")
     w = W.partitionBy("bucket", "part").orderBy(h, "tkey").rowsBetween(-NEAR, -1)
-    rows = met.withColumn("part", part).select("tkey", F.collect_list("tkey").over(w).alias("others"))
+    rows = met.withColumn("part", part).select("tkey", "n", F.collect_list("tkey").over(w).alias("others"))
+    rows = rows.withColumn("others", F.when(F.col("n") > PART, F.slice("others", F.greatest(F.lit(1), F.size("others") - FEW + 1), FEW)).otherwise(F.col("others")))
     chain = rows.select("tkey", F.explode("others").alias("other"))
     star = met.filter((F.col("n") > NEAR) & (F.col("tkey") != F.col("head"))).select("tkey", F.col("head").alias("other"))
     pairs = chain.unionByName(star).select(F.least("tkey", "other").alias("a"), F.greatest("tkey", "other").alias("b")).distinct()
