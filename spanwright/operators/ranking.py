@@ -1,6 +1,6 @@
 """Lexical, BM25 and vector ranking of chunks for a batch of questions, and their fusion.
 
-Postings are (chunk_id, term, tf); questions carry question_id and the scope key that a chunk must
+Postings are (chunk_id, dl, term, tf); questions carry question_id and the scope key that a chunk must
 share. Every ranking is one plan over all questions: terms meet postings in an equi-join, scores are
 sums, top-k is a ranked window that Spark prunes per partition before the shuffle.
 """
@@ -21,14 +21,15 @@ DIMENSIONS = 384
 
 
 def postings(units: DataFrame, key: str = "chunk_id", text: str = "chunk_text", stem: bool = False, *keep: str) -> DataFrame:
-    """(key, keep..., term, tf)."""
-    return units.select(key, *keep, F.explode(tokens(text, stem)).alias("term")).groupBy(key, *keep, "term").agg(F.count("*").alias("tf"))
+    """(key, keep..., dl, term, tf); dl is the unit's number of tokens."""
+    once = units.select(key, *keep, F.explode(F.array(tokens(text, stem))).alias("_w"))  # tokenized once
+    each = once.select(key, *keep, F.size("_w").alias("dl"), F.explode("_w").alias("term"))
+    return each.groupBy(key, *keep, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(posts: DataFrame, units: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """One row: n (units), avgdl (mean tokens, token-less units included)."""
-    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
-    return units.agg(F.count(key).alias("n")).crossJoin(total).select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).otherwise(0.0).alias("avgdl"))
+def corpus_stats(units: DataFrame, text: str = "chunk_text", stem: bool = False) -> DataFrame:
+    """One row: n (units), avgdl (mean tokens, token-less units included); a scan without a shuffle of its rows."""
+    return units.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokens(text, stem))), F.lit(0.0)).alias("avgdl"))
 
 
 def query_terms(questions: DataFrame, text: str = "question", stem: bool = False) -> DataFrame:
@@ -45,10 +46,9 @@ def top(scored: DataFrame, k: int, key: str = "chunk_id", score: Column | str =
 def bm25(terms: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(question_id, chunk_id, score): frequencies of the whole corpus, candidates in scope only."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    length = posts.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
     known = terms.join(df, "term").crossJoin(F.broadcast(stats)).select(  # stats is one row
         "question_id", "scope", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hit = posts.join(known, ["scope", "term"]).join(length, "chunk_id")
+    hit = posts.join(known, ["scope", "term"])
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     return hit.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")

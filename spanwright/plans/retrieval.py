@@ -117,7 +117,7 @@ def term_freq(spark, d):
 round((SELECT sum(tf) FROM posts) / (SELECT count(*) FROM chunks), 6) AS avgdl FROM posts GROUP BY term""")
 def bm25_stats(spark, d):
     posts = B.postings(spark, d)
-    stats = R.corpus_stats(posts, B.chunks(spark, d))
+    stats = R.corpus_stats(B.chunks(spark, d))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6)
     return df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"), F.round("avgdl", 6).alias("avgdl"))  # one row of stats
@@ -134,7 +134,7 @@ def _lexical(spark, d):
 
 def _bm25(spark, d):
     posts = B.postings(spark, d)
-    return R.bm25(R.query_terms(B.questions(spark, d)), posts, R.corpus_stats(posts, B.chunks(spark, d)))
+    return R.bm25(R.query_terms(B.questions(spark, d)), posts, R.corpus_stats(B.chunks(spark, d)))
 
 
 def _vector(spark, d):

@@ -17,7 +17,7 @@ def ask(spark, text, scope=0):
 
 def test_bm25_prefers_rare_terms_in_scope(spark, corpus):
     posts = R.postings(corpus, "chunk_id", "chunk_text", False, "scope")
-    stats = R.corpus_stats(posts, corpus)
+    stats = R.corpus_stats(corpus)
     assert stats.first().asDict() == {"n": 5, "avgdl": 13 / 5}
     hits = R.top(R.bm25(R.query_terms(ask(spark, "a rare common")), posts, stats), 10).orderBy("rank").collect()
     assert [h["chunk_id"] for h in hits][0] == 1 and 4 not in {h["chunk_id"] for h in hits}
