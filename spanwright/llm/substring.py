@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import blocks, grams, shared_dir, sliding_min, span_hash, staged, utf8, words
+from .common import blocks, forget, grams, shared_dir, sliding_min, span_hash, staged, utf8, words
 
 SIZE = 35
 #: Word runs of SIZE - SPREAD + 1 words are hashed for fingerprints; a window holds SPREAD of them.
@@ -107,9 +107,11 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one; the old ones are dropped from the index."""
         if len(self.runs) > 1:
-            rows = self.history().groupBy("fp").agg(F.sum("n").alias("n"))
+            rows, old = self.history().groupBy("fp").agg(F.sum("n").alias("n")), self.runs
             self.runs = []
             self._write(rows)
+            for path in old:
+                forget(self.spark, path)
 
     def seen(self, batch: DataFrame) -> DataFrame:
         """The batch's fingerprints that history holds: (fp). A merge join of sorted sides."""
@@ -122,7 +124,7 @@ class FingerprintIndex:
 
 
 def records(docs: DataFrame, repeated: DataFrame, size: int = SIZE, spread: int = SPREAD) -> DataFrame:
-    """Runs whose fingerprint is repeated: fp, span (hash of the run), tkey, first, windows."""
+    """Runs whose fingerprint is repeated: fp, span (hash of the run's windows), n (windows), twice, tkey, first."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(repeated, "fp"))
 
     def run(batches):
@@ -132,59 +134,122 @@ def records(docs: DataFrame, repeated: DataFrame, size: int = SIZE, spread: int
             digests = [hashlib.md5((t or "").encode()).digest() for t in batch.column("text").to_pylist()]
             begin, count = r.begin[keep], r.count[keep]
             span = span_hash(r.windows, begin, begin + count)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r.key[keep].view(np.int64)), pa.array(span.view(np.int64)), pa.array(count.astype(np.int8)), pa.array(r.twice[keep]), pa.array([digests[i] for i in r.doc[keep]], pa.binary()), pa.array(r.first[keep], pa.int32())],
+                names=["fp", "span", "n", "twice", "tkey", "first"],
+            )
+
+    return docs.select("text").mapInArrow(run, "fp long, span long, n byte, twice boolean, tkey binary, first int")
+
+
+def windows_of(docs: DataFrame, fps: DataFrame, lonely: DataFrame, size: int = SIZE, spread: int = SPREAD) -> DataFrame:
+    """The windows of all runs under the fingerprints `fps`: fp, window, weight, and span, i where the
+    run's span is in `lonely` (else null)."""
+    sc = docs.sparkSession.sparkContext
+    under, alone = sc.broadcast(bitmap.build(fps, "fp")), sc.broadcast(bitmap.build(lonely, "span"))
+
+    def run(batches):
+        for batch in blocks(batches, "text"):
+            r = Runs(batch.column("text"), size, spread)
+            keep = np.flatnonzero(bitmap.passes(r.key, under.value))
+            begin, count = r.begin[keep], r.count[keep]
+            span = span_hash(r.windows, begin, begin + count)
+            ask = bitmap.passes(span, alone.value)
+            # A span that is not lonely repeats its windows anyway: once a block is enough, at weight 2.
+            once = np.zeros(len(span), bool)
+            once[np.unique(span, return_index=True)[1]] = True
+            some = np.flatnonzero(ask | once)
+            keep, begin, count, span, ask = keep[some], begin[some], count[some], span[some], ask[some]
             off = np.concatenate([[0], np.cumsum(count)])
-            take = np.repeat(begin - off[:-1], count) + np.arange(off[-1])
-            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(r.windows[take].view(np.int64)))
+            place = np.arange(off[-1]) - np.repeat(off[:-1], count)
+            spans = pa.array(np.repeat(span, count).view(np.int64), mask=~np.repeat(ask, count))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r.key[keep].view(np.int64)), pa.array(span.view(np.int64)), pa.array([digests[i] for i in r.doc[keep]], pa.binary()), pa.array(r.first[keep], pa.int32()), lists],
-                names=["fp", "span", "tkey", "first", "windows"],
+                [pa.array(np.repeat(r.key[keep], count).view(np.int64)), pa.array(r.windows[np.repeat(begin, count) + place].view(np.int64)), spans, pa.array(place, pa.int8()), pa.array(np.repeat(np.where(ask, 1, 2), count), pa.int8())],
+                names=["fp", "window", "span", "i", "weight"],
             )
 
-    return docs.select("text").mapInArrow(run, "fp long, span long, tkey binary, first int, windows array<long>")
+    return docs.select("text").mapInArrow(run, "fp long, window long, span long, i byte, weight byte")
 
 
-def verified(found: DataFrame) -> DataFrame:
-    """(tkey, hits): for each text the runs with repeated windows and a mask of which."""
-    spans = staged(found.groupBy("fp", "span").agg(F.count("*").alias("c"), F.first("windows").alias("windows")), "windows")
-    # A span that occurs twice repeats all its windows; the others are compared window by window.
-    each = spans.select("fp", "span", "c", F.posexplode("windows").alias("i", "window"))
-    twice = each.groupBy("fp", "window").agg(F.sum("c").alias("c")).filter("c > 1").select("fp", "window")
-    alone = each.filter("c = 1").join(twice, ["fp", "window"], "left_semi").groupBy("fp", "span").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    masks = spans.filter("c > 1").select("fp", "span", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask")).unionByName(alone)
-    hits = found.select("fp", "span", "tkey", "first").join(masks, ["fp", "span"]).groupBy("tkey", "first").agg(F.bit_or("mask").alias("mask"))
-    return hits.groupBy("tkey").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
+def verified(docs: DataFrame, found: DataFrame, size: int = SIZE, spread: int = SPREAD) -> DataFrame:
+    """(tkey, hits): for each text the runs with repeated windows and a mask of which.
+
+    A span (all windows of a run) that occurs twice repeats each of its windows. Only fingerprints
+    that head a span seen once beside other spans, or repeating a window within itself, are compared
+    window by window.
+    """
+    spans = staged(found.groupBy("fp", "span").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.max("twice").alias("twice")), "spans")
+    lone = F.col("c") == 1
+    per = spans.groupBy("fp").agg(F.count("*").alias("k"), F.max(lone).alias("lone"), F.max(lone & F.col("twice")).alias("twice"))
+    unsure = staged(per.filter("twice OR (k > 1 AND lone)").select("fp"), "unsure")
+    lonely = spans.filter(lone).join(unsure, "fp", "left_semi").select("span")
+    each = staged(windows_of(docs, unsure, lonely, size, spread), "windows")
+    twice = each.groupBy("fp", "window").agg(F.sum("weight").alias("c")).filter("c > 1").select("fp", "window")
+    alone = each.filter("span is not null").join(twice, ["fp", "window"], "left_semi").groupBy("fp", "span").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    # Both may name a span: with c > 1 all of its windows are repeated either way.
+    masks = spans.filter("c > 1").select("fp", "span", F.expr("shiftleft(1L, n) - 1").alias("mask")).unionByName(alone.join(spans.filter("c > 1").select("fp", "span"), ["fp", "span"], "left_anti"))
+    hits = found.select("fp", "span", "tkey", "first").join(masks, ["fp", "span"])
+    return hits.groupBy("tkey").agg(F.collect_set(F.struct("first", "mask")).alias("hits"))
+
+
+def text_key() -> F.Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def remove(docs: DataFrame, hits: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (the text's kept words joined by one space)."""
+    """doc_id, n_words, n_removed, kept_sha256, kept (the text's kept words joined by one space).
+
+    Texts without hits are finished where they are read; only the others meet their hits in a join.
+    """
+    hits = staged(hits, "hits")
+    short = hits.select(F.expr("cast(conv(substring(hex(tkey), 1, 16), 16, -10) as long)").alias("h"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(short, "h"))
+
+    def cut(batch, wanted, lists):
+        data, off = utf8(batch.column("text"))
+        start, end, by = words(data, off)
+        raw = data.tobytes()
+        n, gone, kept = [], [], []
+        for i in wanted:
+            a, b = by[i], by[i + 1]
+            edge = np.zeros(b - a + 1, np.int64)
+            for h in lists[i] or () if lists else ():
+                mask, at = h["mask"], h["first"]
+                while mask:
+                    if mask & 1:
+                        edge[at] += 1
+                        edge[at + size] -= 1
+                    mask >>= 1
+                    at += 1
+            keep = np.flatnonzero(np.cumsum(edge)[:-1] == 0) + a
+            n.append(b - a)
+            gone.append(b - a - len(keep))
+            kept.append(b" ".join([raw[s:e] for s, e in zip(start[keep].tolist(), end[keep].tolist(), strict=True)]))
+        shas = [hashlib.sha256(k).hexdigest() for k in kept]
+        ids = batch.column("doc_id").take(pa.array(wanted, pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    def hit(batch):
+        heads = [int.from_bytes(hashlib.md5((t or "").encode()).digest()[:8], "big") for t in batch.column("text").to_pylist()]
+        return bitmap.passes(np.array(heads, np.uint64), shared.value)
+
+    def untouched(batches):
+        for batch in blocks(batches, "text"):
+            yield cut(batch, np.flatnonzero(~hit(batch)), None)
+
+    def touched(batches):
+        for batch in blocks(batches, "text"):
+            yield batch.filter(pa.array(hit(batch)))
 
     def run(batches):
         for batch in blocks(batches, "text"):
-            data, off = utf8(batch.column("text"))
-            start, end, by = words(data, off)
-            raw = data.tobytes()
-            n, gone, kept = [], [], []
-            for i, found in enumerate(batch.column("hits").to_pylist()):
-                a, b = by[i], by[i + 1]
-                edge = np.zeros(b - a + 1, np.int64)
-                for h in found or ():
-                    mask = h["mask"]
-                    at = h["first"]
-                    while mask:
-                        if mask & 1:
-                            edge[at] += 1
-                            edge[at + size] -= 1
-                        mask >>= 1
-                        at += 1
-                keep = np.flatnonzero(np.cumsum(edge)[:-1] == 0) + a
-                n.append(b - a)
-                gone.append(b - a - len(keep))
-                kept.append(b" ".join([raw[s:e] for s, e in zip(start[keep].tolist(), end[keep].tolist(), strict=True)]))
-            shas = [hashlib.sha256(k).hexdigest() for k in kept]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("tkey"))
-    return keyed.join(hits, "tkey", "left").select("doc_id", "text", "hits").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+            yield cut(batch, np.arange(batch.num_rows), batch.column("hits").to_pylist())
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    few = own.mapInArrow(touched, "doc_id long, text string").withColumn("tkey", text_key())
+    cuts = few.join(hits, "tkey", "left").select("doc_id", "text", "hits").mapInArrow(run, schema)
+    return own.mapInArrow(untouched, schema).unionByName(cuts)
 
 
 def dedup(docs: DataFrame, batches: int = 2, size: int = SIZE, spread: int = SPREAD) -> DataFrame:
@@ -194,7 +259,7 @@ def dedup(docs: DataFrame, batches: int = 2, size: int = SIZE, spread: int = SPR
     for i in range(batches):
         index.add(docs.filter(turn == i))
     found = staged(records(docs, index.repeated(), size, spread), "window-runs")
-    return remove(docs, verified(found), size)
+    return remove(docs, verified(docs, found, size, spread), size)
 
 
 def op10_substring(docs: DataFrame) -> DataFrame:
