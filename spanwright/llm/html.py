@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, staged
 
 CHROME, PLAIN, VOUCHED = 0, 1, 2
 
@@ -213,26 +213,61 @@ def main_texts(parsed: list[list[tuple[str, int]]], least: int, pages: int) -> l
     return out
 
 
+#: Hosts of several groups whose sizes may be broadcast (under 100 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_HOSTS = 100_000
+
+
 def extract(pages_df: DataFrame, least: int = 8, pages: int = 3, group_pages: int = 256, group_bytes: int = 1 << 20) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     group_pages, group_bytes: about how much of a host is compared at once.
+
+    Pages that vouch for a block, and empty ones, are finished where they are read. Only the word
+    streams that a suffix array compares are shuffled, once, to their group.
     """
 
-    def parse_all(batches):
+    def finished(batches):
+        for batch in blocks(batches, "html"):
+            at, texts = [], []
+            for i, page in enumerate(batch.column("html").to_pylist()):
+                found = parse(page)
+                own = [t for t, kind in found if kind == VOUCHED]
+                if own or not found:
+                    at.append(i)
+                    texts.append("\n".join(own))
+            done = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([done.column("page_id"), done.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    def streams(batches):
         for batch in blocks(batches, "html"):
-            found = [parse(x) for x in batch.column("html").to_pylist()]
-            texts = pa.array([[t for t, _ in p] for p in found], pa.list_(pa.string()))
-            kinds = pa.array([bytes(k for _, k in p) for p in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("grp"), texts, kinds], names=["page_id", "url", "host", "grp", "texts", "kinds"])
+            at, texts, kinds, vouched = [], [], [], []
+            for i, page in enumerate(batch.column("html").to_pylist()):
+                found = parse(page)
+                rest = [(t, kind) for t, kind in found if kind != VOUCHED]
+                if rest:
+                    at.append(i)
+                    texts.append([t for t, _ in rest])
+                    kinds.append(bytes(kind for _, kind in rest))
+                    vouched.append(len(rest) < len(found))
+            left = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [left.column("page_id"), left.column("url"), left.column("host"), left.column("grp"), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.binary()), pa.array(vouched, pa.bool_())],
+                names=["page_id", "url", "host", "grp", "texts", "kinds", "vouched"],
+            )
 
     def group(df: pd.DataFrame) -> pd.DataFrame:
         parsed = [list(zip(t, k, strict=True)) for t, k in zip(df["texts"], df["kinds"], strict=True)]
         texts = main_texts(parsed, least, pages)
-        return pd.DataFrame({"page_id": df["page_id"].astype("Int64"), "url": df["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        out = pd.DataFrame({"page_id": df["page_id"].astype("Int64"), "url": df["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        return out[~df["vouched"].to_numpy(bool)]
 
+    schema = "page_id long, url string, text string, n_chars long"
     rows = pages_df.select(F.col("page_id").cast("long"), "url", "html").withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
-    sizes = rows.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / group_pages), F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / group_bytes)).alias("n")).withColumnRenamed("host", "host_")
-    dealt = rows.join(sizes, F.col("host") == F.col("host_")).withColumn("grp", F.pmod(F.xxhash64("page_id", "url"), F.col("n"))).select("page_id", "url", "host", "grp", "html")
-    parsed = dealt.mapInArrow(parse_all, "page_id long, url string, host string, grp long, texts array<string>, kinds binary")
-    return parsed.groupBy("host", "grp").applyInPandas(group, "page_id long, url string, text string, n_chars long")
+    sizes = rows.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / group_pages), F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / group_bytes)).alias("n"))
+    large = staged(sizes.filter("n > 1").withColumnRenamed("host", "host_"), "hosts")
+    if large.count() <= BROADCAST_HOSTS:
+        large = F.broadcast(large)
+    dealt = rows.join(large, F.col("host") == F.col("host_"), "left").withColumn("grp", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("n", F.lit(1)))).select("page_id", "url", "host", "grp", "html")
+    parsed = dealt.mapInArrow(streams, "page_id long, url string, host string, grp long, texts array<string>, kinds binary, vouched boolean")
+    compared = parsed.groupBy("host", "grp").applyInPandas(group, schema)
+    return rows.select("page_id", "url", "html").mapInArrow(finished, schema).unionByName(compared)
