@@ -29,6 +29,8 @@ from . import bitmap
 from .common import blocks, forget, grams, shared_dir, sliding_min, span_hash, staged, utf8, words
 
 SIZE = 35
+#: Spans that a task remembers having sent, at most (8 bytes each).
+SENT = 1 << 20
 #: Word runs of SIZE - SPREAD + 1 words are hashed for fingerprints; a window holds SPREAD of them.
 SPREAD = 16
 
@@ -149,15 +151,19 @@ def windows_of(docs: DataFrame, fps: DataFrame, lonely: DataFrame, size: int = S
     under, alone = sc.broadcast(bitmap.build(fps, "fp")), sc.broadcast(bitmap.build(lonely, "span"))
 
     def run(batches):
+        sent = np.zeros(0, np.uint64)
         for batch in blocks(batches, "text"):
             r = Runs(batch.column("text"), size, spread)
             keep = np.flatnonzero(bitmap.passes(r.key, under.value))
             begin, count = r.begin[keep], r.count[keep]
             span = span_hash(r.windows, begin, begin + count)
             ask = bitmap.passes(span, alone.value)
-            # A span that is not lonely repeats its windows anyway: once a block is enough, at weight 2.
+            # A span that is not lonely repeats its windows anyway: once a task is enough, at weight 2.
+            # A task that has sent many forgets them and may send some again, to the same result.
+            own, at = np.unique(span[~ask], return_index=True)
             once = np.zeros(len(span), bool)
-            once[np.unique(span, return_index=True)[1]] = True
+            once[np.flatnonzero(~ask)[at[~np.isin(own, sent)]]] = True
+            sent = own if len(sent) > SENT else np.union1d(sent, own)
             some = np.flatnonzero(ask | once)
             keep, begin, count, span, ask = keep[some], begin[some], count[some], span[some], ask[some]
             off = np.concatenate([[0], np.cumsum(count)])
