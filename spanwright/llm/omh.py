@@ -9,6 +9,9 @@ shingles bounds it from above, then matching labelled shingles within a band are
 common order), and aligned / (all of both - aligned) must reach `least`. Links become classes by
 alternating large-star and small-star steps.
 
+Known gap: in a bucket of more than NEAR + 1 texts not all pairs meet, and a class joins only through
+pairs that did; links between classes can be lost there (the README has figures).
+
 Equal texts are one node throughout (keyed by a digest), so copies cost a row each.
 
 Defined results: null text is the empty text; texts with equal bytes are always one class, and
