@@ -1,13 +1,15 @@
-"""Main text of web pages: markup roles, and a suffix array over each host's page streams.
+"""Main text of web pages: markup roles, and the word windows that recur on each host's page streams.
 
 A page is parsed once into blocks of text. Blocks inside an article or main element are vouched for
 by the page itself; blocks inside menus, headers, footers, sidebars, notices, adverts, forms and
-comments are chrome; the rest is plain. The word streams of a host's chrome and plain blocks are
-concatenated, a suffix array over them finds the substrings of at least `least` words that recur on
-`pages` distinct pages, and covered words go. What is left of chrome goes too (a sure sign is not
-needed twice); a page that vouches for no block keeps the unique runs of its plain blocks.
+comments are chrome; the rest is plain. In the word streams of chrome and plain blocks, every window
+of `least` words that recurs on `pages` distinct pages of the whole host is covered, and covered
+words go. What is left of chrome goes too (a sure sign is not needed twice); a page that vouches for
+no block keeps the unique runs of its plain blocks.
 
-Hosts are cut into groups of bounded pages and bytes by a hash, so a host of any size spreads out.
+Windows are counted by (host, hash), added up before their shuffle, so a host of any size spreads
+out; the result is exact up to 64-bit hashes, whatever the host's size. The suffix array (covered)
+finds the same in memory; tests compare the two.
 
 Defined results: null html is the empty page; pages without text give ''; a null url is a host of
 its own; equal pages count once among distinct pages; repeated rows are extracted each; an empty
@@ -16,16 +18,18 @@ table gives no rows. References cut off by the end of the page stay as written.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, staged
+from . import bitmap
+from .common import blocks, grams, span_hash, staged, utf8, words
 
 CHROME, PLAIN, VOUCHED = 0, 1, 2
 
@@ -192,38 +196,43 @@ def covered(streams: list[list[str]], least: int, pages: int) -> list[np.ndarray
     return [mark[begin[same[i]] : begin[same[i]] + len(s)] if s else np.zeros(0, bool) for i, s in enumerate(streams)]
 
 
-def main_texts(parsed: list[list[tuple[str, int]]], least: int, pages: int) -> list[str]:
-    """The main text of each page of one host group."""
-    streams = [[w for text, kind in page if kind != VOUCHED for w in text.split(" ")] for page in parsed]
-    marks = covered(streams, least, pages)
-    out = []
-    for page, mark in zip(parsed, marks, strict=True):
-        vouched = any(kind == VOUCHED for _, kind in page)
-        at, kept = 0, []
-        for text, kind in page:
-            if kind == VOUCHED:
-                kept.append(text)
-                continue
-            own = text.split(" ")
-            gone = mark[at : at + len(own)]
-            at += len(own)
-            if kind == PLAIN and not vouched:
-                kept.append(" ".join(w for w, g in zip(own, gone, strict=True) if not g) if gone.any() else text)
-        out.append("\n".join(k for k in kept if k))
-    return out
+def kept_text(stream: str, kinds: bytes, mark: np.ndarray) -> str:
+    """The words of a page's plain blocks that are not marked. stream: its blocks, a line each."""
+    at, kept = 0, []
+    for text, kind in zip(stream.split("\n"), kinds, strict=True):
+        own = text.split(" ")
+        gone = mark[at : at + len(own)]
+        at += len(own)
+        if kind == PLAIN:
+            kept.append(" ".join(w for w, g in zip(own, gone, strict=True) if not g) if gone.any() else text)
+    return "\n".join(k for k in kept if k)
 
 
-#: Hosts of several groups whose sizes may be broadcast (under 100 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_HOSTS = 100_000
+def windows(column: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `least` words (across pages too; callers mask those), and n+1 word offsets by page."""
+    data, off = utf8(column)
+    start, end, by = words(data, off)
+    return grams(span_hash(data, start, end), least) if len(start) else np.zeros(0, np.uint64), by
 
 
-def extract(pages_df: DataFrame, least: int = 8, pages: int = 3, group_pages: int = 256, group_bytes: int = 1 << 20) -> DataFrame:
-    """page_id, url, text, n_chars of every page.
+def own_windows(g: np.ndarray, by: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(page, hash) of the windows that lie within a page, each once a page."""
+    page = np.repeat(np.arange(len(by) - 1), np.diff(by))[: len(g)]
+    inside = np.arange(len(g)) + least <= by[page + 1]
+    page, g = page[inside], g[inside]
+    order = np.lexsort((g, page))
+    page, g = page[order], g[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (page[1:] != page[:-1])
+    return page[new], g[new]
+
 
-    group_pages, group_bytes: about how much of a host is compared at once.
+def extract(pages_df: DataFrame, least: int = 8, pages: int = 3) -> DataFrame:
+    """page_id, url, text, n_chars of every page.
 
-    Pages that vouch for a block, and empty ones, are finished where they are read. Only the word
-    streams that a suffix array compares are shuffled, once, to their group.
+    Pages that vouch for a block, and empty ones, are finished where they are read. The word streams
+    of all are staged; the windows of the distinct ones are counted by host, and go back, once a
+    block of pages, to the pages that vouch for nothing.
     """
 
     def finished(batches):
@@ -239,35 +248,67 @@ def extract(pages_df: DataFrame, least: int = 8, pages: int = 3, group_pages: in
             yield pa.RecordBatch.from_arrays([done.column("page_id"), done.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     def streams(batches):
-        for batch in blocks(batches, "html"):
-            at, texts, kinds, vouched = [], [], [], []
-            for i, page in enumerate(batch.column("html").to_pylist()):
+        task = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(blocks(batches, "html")):
+            at, texts, kinds, vouched, hosts, same = [], [], [], [], [], []
+            for i, (page, host) in enumerate(zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)):
                 found = parse(page)
                 rest = [(t, kind) for t, kind in found if kind != VOUCHED]
                 if rest:
                     at.append(i)
-                    texts.append([t for t, _ in rest])
+                    texts.append("\n".join(t for t, _ in rest))
                     kinds.append(bytes(kind for _, kind in rest))
                     vouched.append(len(rest) < len(found))
+                    hosts.append(int.from_bytes(hashlib.md5(host.encode()).digest()[:8], "big", signed=True))
+                    same.append(hashlib.md5(f"{host}\n{' '.join(t for t, _ in rest)}".encode()).digest())
             left = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [left.column("page_id"), left.column("url"), left.column("host"), left.column("grp"), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.binary()), pa.array(vouched, pa.bool_())],
-                names=["page_id", "url", "host", "grp", "texts", "kinds", "vouched"],
+                [pa.array([task + number] * len(at), pa.int64()), pa.array(at, pa.int32()), left.column("page_id"), left.column("url"), pa.array(hosts, pa.int64()), pa.array(same, pa.binary()), pa.array(vouched, pa.bool_()), pa.array(texts, pa.string()), pa.array(kinds, pa.binary())],
+                names=["blk", "i", "page_id", "url", "host", "same", "vouched", "stream", "kinds"],
             )
 
-    def group(df: pd.DataFrame) -> pd.DataFrame:
-        parsed = [list(zip(t, k, strict=True)) for t, k in zip(df["texts"], df["kinds"], strict=True)]
-        texts = main_texts(parsed, least, pages)
-        out = pd.DataFrame({"page_id": df["page_id"].astype("Int64"), "url": df["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-        return out[~df["vouched"].to_numpy(bool)]
+    def wanted(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.passes(batch.column("host").to_numpy(zero_copy_only=False).view(np.uint64), shared.value)))
+
+    def counted(batches):
+        for batch in blocks(batches, "stream"):
+            page, g = own_windows(*windows(batch.column("stream"), least), least)
+            yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(page)), pa.array(g.view(np.int64))], names=["host", "h"])
+
+    def asked(batches):
+        for batch in blocks(batches, "stream"):
+            page, g = own_windows(*windows(batch.column("stream"), least), least)
+            rows = pa.table([batch.column("blk").take(pa.array(page)), batch.column("host").take(pa.array(page)), pa.array(g.view(np.int64))], names=["blk", "host", "h"])
+            yield from rows.group_by(["blk", "host", "h"]).aggregate([]).select(["blk", "host", "h"]).to_batches()
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[int, list[int]] = {}
+        for host, h in zip(right.column("host").to_pylist(), right.column("h").to_pylist(), strict=True):
+            found.setdefault(host, []).append(h)
+        repeats = {host: np.array(h, np.int64).view(np.uint64) for host, h in found.items()}
+        column = left.column("stream").combine_chunks()
+        g, by = windows(column, least)
+        texts = []
+        for i, (host, stream, kinds) in enumerate(zip(left.column("host").to_pylist(), column.to_pylist(), left.column("kinds").to_pylist(), strict=True)):
+            n = int(by[i + 1] - by[i])
+            edge = np.zeros(n + 1, np.int64)
+            if host in repeats and n >= least:
+                at = np.flatnonzero(np.isin(g[by[i] : by[i + 1] - least + 1], repeats[host]))
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + least, -1)
+            texts.append(kept_text(stream, kinds, np.cumsum(edge)[:-1] > 0))
+        return pa.table([left.column("page_id"), left.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = "page_id long, url string, text string, n_chars long"
     rows = pages_df.select(F.col("page_id").cast("long"), "url", "html").withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
-    sizes = rows.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / group_pages), F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / group_bytes)).alias("n"))
-    large = staged(sizes.filter("n > 1").withColumnRenamed("host", "host_"), "hosts")
-    if large.count() <= BROADCAST_HOSTS:
-        large = F.broadcast(large)
-    dealt = rows.join(large, F.col("host") == F.col("host_"), "left").withColumn("grp", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("n", F.lit(1)))).select("page_id", "url", "host", "grp", "html")
-    parsed = dealt.mapInArrow(streams, "page_id long, url string, host string, grp long, texts array<string>, kinds binary, vouched boolean")
-    compared = parsed.groupBy("host", "grp").applyInPandas(group, schema)
+    parsed = staged(rows.mapInArrow(streams, "blk long, i int, page_id long, url string, host long, same binary, vouched boolean, stream string, kinds binary"), "streams")
+    # Only hosts with a page that vouches for nothing need counts; the bitmap lets few others pass.
+    left = parsed.filter("NOT vouched")
+    shared = pages_df.sparkSession.sparkContext.broadcast(bitmap.build(left.select("host").distinct(), "host"))
+    evidence = parsed.select("blk", "i", "host", "same", "stream").mapInArrow(wanted, "blk long, i int, host long, same binary, stream string")
+    once = evidence.groupBy("same").agg(F.min(F.struct("blk", "i")).alias("r")).select("r.blk", "r.i")
+    repeated = evidence.join(once, ["blk", "i"]).select("host", "stream").mapInArrow(counted, "host long, h long").groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= pages)
+    hits = left.select("blk", "host", "stream").mapInArrow(asked, "blk long, host long, h long").join(repeated, ["host", "h"]).select("blk", "host", "h")
+    compared = left.select("blk", "page_id", "url", "host", "stream", "kinds").groupBy("blk").cogroup(hits.groupBy("blk")).applyInArrow(finish, schema)
     return rows.select("page_id", "url", "html").mapInArrow(finished, schema).unionByName(compared)

@@ -221,6 +221,27 @@ def test_main_text_drops_chrome_and_repeats(spark):
     assert got == {**{i: f"unique{i} words{i} stay" for i in range(4)}, 9: f"A & B\n{shared} two"}
 
 
+def test_repeats_count_on_the_whole_host(spark):
+    # 3 pages of 2,000, and pages of 400 kB each, share a passage; another stands on 2 pages and on copies of one.
+    rng = np.random.default_rng(4)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    few, big, two = (" ".join(f"{c}{j}" for j in range(9)) for c in "abc")
+    texts = [own(12) for _ in range(2000)]
+    for i in (0, 900, 1800):
+        texts[i] = f"{texts[i]} {few}"
+    for i in (5, 700):
+        texts[i] = f"{two} {texts[i]}"
+    texts[1500] = texts[5]
+    texts += [f"{own(40_000)} {big} {own(10)}" for _ in range(3)] + [f"{own(3)} {few}"]
+    hosts = ["one.example"] * 2003 + ["two.example"]
+    rows = [(i, f"http://{h}/{i}", f"<div>{t}</div>") for i, (h, t) in enumerate(zip(hosts, texts, strict=True))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    streams = [t.split(" ") for t in texts]
+    marks = html.covered(streams[:2003], 8, 3) + html.covered(streams[2003:], 8, 3)
+    assert sum(m.any() for m in marks) == 6
+    assert [got[i] for i in range(len(texts))] == [" ".join(w for w, g in zip(s, m, strict=True) if not g) for s, m in zip(streams, marks, strict=True)]
+
+
 def test_pages_give_their_articles(spark, sf):
     import html as entities
 
