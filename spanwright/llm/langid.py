@@ -4,8 +4,11 @@ A word of the learned lexicon adds its log frequency in each language. An unseen
 longest n-grams of `<word>` that the model knows speak for it, by their mean log frequency; where
 none of that length is known, the next shorter length is tried. Totals become a softmax.
 
-Fitting counts a bounded sample of labelled documents (`sample`, by hash of the id) and keeps a
-bounded lexicon; every row is then predicted from its whole text.
+Fitting counts a bounded sample of labelled documents (`sample`, by hash of the id), drawn by
+language: all of rare ones, and an equal number of each of the others. It keeps a bounded lexicon;
+every row is then predicted from its whole text. A unit that a language's sample lacks counts there
+as in the language that would give it least, so that little sampled text is never an advantage, and
+a language without any sampled letter is never predicted.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, and for all when
 nothing was learned; letters of which no n-gram is known get the commonest language; rows without
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import blocks, held_out
 
 SAMPLE = 12_000
+#: What is added to each count.
+ADDED = 0.5
 #: Lexicon entries per language; n-grams per language and length; longest n-gram.
 LEXICON, GRAMS, LONGEST = 20_000, 10_000, 5
 #: Words seen less often carry no reliable frequency and back off.
@@ -81,14 +86,25 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
+def quotas(per: dict[str, int], sample: int) -> dict[str, float]:
+    """Documents to draw of each language: all of rare ones, an equal number of the others, `sample` in all."""
+    out, left = {}, float(sample)
+    for done, (lang, n) in enumerate(sorted(per.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(float(n), left / (len(per) - done))
+        left -= out[lang]
+    return out
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     marked = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     per = {r["lang"]: r["n"] for r in marked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs, total = sorted(per), sum(per.values())
-    if not langs:
+    if not per:
         return Model([], {}, [{} for _ in range(LONGEST + 1)], np.zeros((0, 0)), np.zeros(0))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    some = marked.filter(draw < F.lit(round(1_000_000 * min(1.0, sample / total))))
+    # A language is drawn below its share of the range of a hash; one that is drawn whole has all of it.
+    range_ = 1 << 48
+    below = [(lang, range_ if n >= per[lang] else round(range_ * n / per[lang])) for lang, n in quotas(per, sample).items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, _below long"))
+    some = marked.select("doc_id", "lang", "text").join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(range_)) < F.col("_below"))
     units = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("unit"))
     words = units.groupBy("lang", "unit").agg(F.count("*").alias("n")).withColumn("len", F.lit(0))
     marked_word = F.concat(F.lit("<"), "unit", F.lit(">"))
@@ -100,16 +116,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rank = F.row_number().over(W.partitionBy("lang", "len").orderBy(F.desc("n"), "unit"))
     top = both.filter(F.col("n") >= LEAST).withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("len") == 0, LEXICON).otherwise(GRAMS))
     kept = top.groupBy("len", "unit").agg(F.collect_list(F.struct("lang", "n")).alias("seen")).orderBy("len", "unit").collect()
+    langs = sorted({lang for lang, _ in sums})
+    if not langs:
+        return Model([], {}, [{} for _ in range(LONGEST + 1)], np.zeros((0, 0)), np.zeros(0))
     number = {x: i for i, x in enumerate(langs)}
-    rows = np.full((len(kept), len(langs)), 0.5)
+    rows = np.zeros((len(kept), len(langs)))
     tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    floor = np.array([[sums.get((x, k), 0) + 1.0 for x in langs] for k in range(LONGEST + 1)])
     for i, r in enumerate(kept):
         tables[r["len"]][r["unit"]] = i
         for lang, n in r["seen"]:
-            rows[i, number[lang]] += n
-        rows[i] /= floor[r["len"]]
-    prior = np.log(np.array([per[x] for x in langs]) / total)
+            rows[i, number[lang]] = n
+    of = np.array([r["len"] for r in kept], np.int64)
+    for k in range(LONGEST + 1):
+        if tables[k]:
+            whole = np.array([sums.get((x, k), 0) for x in langs]) + ADDED * len(tables[k])
+            seen = rows[of == k]
+            rows[of == k] = np.where(seen > 0, (seen + ADDED) / whole, ADDED / whole.max())
+    prior = np.log(np.array([per[x] for x in langs]) / sum(per.values()))
     return Model(langs, tables[0], tables, np.log(rows), prior)
 
 

@@ -287,6 +287,23 @@ def test_held_out_accuracy(spark):
     assert lang.filter("lang_pred = lang").count() / lang.count() > 0.98
 
 
+def test_a_rare_language_is_learned_and_never_wins_by_lack_of_text(spark):
+    rng = np.random.default_rng(8)
+    words = {x: ["".join(rng.choice(list(letters), 5)) for _ in range(60)] for x, letters in (("en", "abcdefgh"), ("fr", "efghijkl"), ("xx", "stuvwxyz"))}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    rows = [(i, text("en", 20), "en") for i in range(3000)] + [(3000 + i, text("fr", 20), "fr") for i in range(1000)]
+    rare = [(5000 + i, text("xx", 20), "xx") for i in range(12)]
+    digits = [(6000 + i, "12 34", "zz") for i in range(9)]
+    for extra, sample in ((rare, 300), (rare[:2], 300), (digits, 300), (rare + digits, 10_000)):
+        model = langid.fit(spark.createDataFrame(rows + extra, "doc_id long, text string, lang string"), sample)
+        for lang in ("en", "fr"):
+            assert all(model.predict(text(lang, 20))[0] == lang for _ in range(20))
+        if len(extra) >= len(rare):
+            assert all(model.predict(text("xx", 20))[0] == "xx" for _ in range(20))
+    assert sum(langid.quotas({"a": 10**9, "b": 50, "c": 10**6, "d": 1}, 1000).values()) == 1000
+    assert langid.quotas({"a": 10**9, "b": 50}, 1000) == {"a": 950.0, "b": 50.0}
+
+
 def test_language_backs_off():
     rows = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.6, 0.4]]))
     m = langid.Model(["en", "fr"], {"the": 0}, [{}, {"q": 2}, {}, {"que": 1}, {}, {}], rows, np.log([0.5, 0.5]))
