@@ -9,7 +9,7 @@ shingles bounds it from above, then matching labelled shingles within a band are
 common order), and aligned / (all of both - aligned) must reach `least`. Links become classes by
 alternating large-star and small-star steps.
 
-Known gap: in a bucket of more than NEAR + 1 texts not all pairs meet, and a class joins only through
+Known gap: in a bucket of more than PART texts not all pairs meet, and a class joins only through
 pairs that did; links between classes can be lost there (the README has figures).
 
 Equal texts are one node throughout (keyed by a digest), so copies cost a row each.
@@ -37,9 +37,8 @@ from .common import SPACE, blocks, mix, span_hash, staged, utf8
 K, LEAST = 5, 0.8
 #: At similarity 0.8 an entry of three is shared with probability about 0.51; all 16 miss in 1 of 100,000.
 SKETCHES, ORDER = 16, 3
-#: Entries that a pair must share to be verified: at similarity 0.8 one pair in 5,000 shares fewer.
-AGREE = 2
-#: Predecessors that a text meets in a bucket, and about how many texts a part of a large bucket holds.
+#: Texts up to which all pairs of a bucket meet (PART); in larger ones, predecessors that a text meets
+#: (NEAR), and about how many texts a part holds (PART).
 NEAR, PART = 8, 64
 
 #: White space and ASCII punctuation end a word (fixed values).
@@ -135,25 +134,29 @@ def text_key(df: DataFrame) -> F.Column:
 
 
 def sketched(docs: DataFrame, k: int = K, sketches: int = SKETCHES, order: int = ORDER) -> DataFrame:
-    """doc_id, tkey, entries (empty without words) of every row."""
+    """doc_id, tkey, entries (empty without words), n (labels) of every row."""
 
     def run(batches):
         for batch in blocks(batches, "text"):
             words, by = word_hashes(batch.column("text"))
             entries = [sketch(labelled(words[a:b], k), sketches, order).view(np.int64) if b > a else [] for a, b in zip(by, by[1:], strict=False)]
             keys = [digest(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(entries, pa.list_(pa.int64()))], names=["doc_id", "tkey", "entries"])
+            size = np.diff(by)
+            n = np.maximum(size - k + 1, np.minimum(size, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(entries, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["doc_id", "tkey", "entries", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tkey binary, entries array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tkey binary, entries array<long>, n long")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of text keys that share a bucket and at least AGREE entries. texts: tkey, entries.
+def candidates(texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of text keys that share a bucket, but those whose sizes alone keep them below `least`.
+    texts: tkey, entries, n (labels).
 
-    Within a bucket, in the order of a hash of the key, each text meets its NEAR predecessors; buckets
-    of many texts are first cut into parts of about PART by the leading bits of that hash, and all
-    their texts meet the bucket's least text too. Pairs grow linearly with a bucket, never with its
-    square, and as the order is the same in every bucket, large groups repeat the same pairs.
+    In buckets of up to PART texts all pairs meet. Larger ones are cut into parts of about PART by
+    the leading bits of a hash of the key; within a part, in the order of that hash, each text meets
+    its NEAR predecessors, and all texts meet the bucket's least text too. Pairs grow linearly with
+    a bucket, never with its square, and as the order is the same in every bucket, large groups
+    repeat the same pairs.
     """
     h = F.xxhash64("tkey")
     each = texts.select("tkey", F.posexplode("entries").alias("i", "entry")).select("tkey", F.xxhash64("i", "entry").alias("bucket"))
@@ -161,16 +164,16 @@ def candidates(texts: DataFrame) -> DataFrame:
     met = each.join(sizes, "bucket")
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PART))).cast("int")
     # The leading bits of the hash, read as one of 2**bits stretches of its range.
-    part = F.when(F.col("n") > PART, F.floor((h / F.lit(2.0**64) + F.lit(0.5)) * F.pow(F.lit(2.0), bits))).otherwise(F.lit(0)).cast("long")
-    w = W.partitionBy("bucket", "part").orderBy(h, "tkey").rowsBetween(-NEAR, -1)
-    rows = met.withColumn("part", part).select("tkey", F.collect_list("tkey").over(w).alias("others"))
-    chain = rows.select("tkey", F.explode("others").alias("other"))
-    star = met.filter((F.col("n") > NEAR) & (F.col("tkey") != F.col("head"))).select("tkey", F.col("head").alias("other"))
+    part = F.floor((h / F.lit(2.0**64) + F.lit(0.5)) * F.pow(F.lit(2.0), bits)).cast("long")
+    near = lambda rows, key, first: rows.select("tkey", F.collect_list("tkey").over(W.partitionBy(*key).orderBy(h, "tkey").rowsBetween(first, -1)).alias("others")).select("tkey", F.explode("others").alias("other"))
+    all_pairs = near(met.filter(F.col("n") <= PART), ["bucket"], 1 - PART)
+    chain = all_pairs.unionByName(near(met.filter(F.col("n") > PART).withColumn("part", part), ["bucket", "part"], -NEAR))
+    star = met.filter((F.col("n") > PART) & (F.col("tkey") != F.col("head"))).select("tkey", F.col("head").alias("other"))
     pairs = chain.unionByName(star).select(F.least("tkey", "other").alias("a"), F.greatest("tkey", "other").alias("b")).distinct()
-    own = texts.select("tkey", "entries")
-    both = pairs.join(own.withColumnsRenamed({"tkey": "a", "entries": "x"}), "a").join(own.withColumnsRenamed({"tkey": "b", "entries": "y"}), "b")
-    agree = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z))
-    return both.filter((F.col("x") == F.col("y")) | (agree >= AGREE)).select("a", "b")
+    # What two texts share is at most the smaller one's labels, and all of both at least the larger one's.
+    own = texts.select("tkey", "n")
+    both = pairs.join(own.withColumnsRenamed({"tkey": "a", "n": "x"}), "a").join(own.withColumnsRenamed({"tkey": "b", "n": "y"}), "b")
+    return both.filter(F.least("x", "y") / F.greatest("x", "y") >= least).select("a", "b")
 
 
 def sequences(docs: DataFrame, keys: DataFrame, k: int = K) -> DataFrame:
@@ -232,8 +235,8 @@ def classes(docs: DataFrame, k: int = K, least: float = LEAST, sketches: int = S
     """(rows, texts): rows has doc_id, tkey of every row; texts has tkey, class_id (least doc_id of the
     class), keeper (the text key of that document), links (verified links of the text)."""
     rows = staged(sketched(docs, k, sketches, order), "sketches")
-    texts = staged(rows.groupBy("tkey").agg(F.min("doc_id").alias("id"), F.first("entries").alias("entries")), "texts")
-    pairs = staged(candidates(texts.filter(F.size("entries") > 0)), "pairs")
+    texts = staged(rows.groupBy("tkey").agg(F.min("doc_id").alias("id"), F.first("entries").alias("entries"), F.first("n").alias("n")), "texts")
+    pairs = staged(candidates(texts.filter(F.size("entries") > 0), least), "pairs")
     keys = pairs.select(F.col("a").alias("tkey")).unionByName(pairs.select(F.col("b").alias("tkey"))).distinct()
     links = staged(verify(pairs, sequences(docs, keys, k), least), "links")
     roots = components(links)

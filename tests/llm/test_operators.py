@@ -165,6 +165,17 @@ def test_near_duplicates_match_brute_force(spark):
     assert omh.op8_near(df).filter("kept").count() == len(set(got.values()))
 
 
+def test_pairs_that_share_an_entry_meet(spark):
+    # 60 texts in one bucket, and two texts that share one entry of 16.
+    rows = [(bytes([i]), [7, *range(100 * i + 1000, 100 * i + 1015)], 50) for i in range(60)]
+    rows += [(b"x", [-9, *range(1, 16)], 50), (b"y", [-9, *range(21, 36)], 41), (b"z", [-9, *range(41, 56)], 39)]
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in omh.candidates(spark.createDataFrame(rows, "tkey binary, entries array<long>, n long")).collect()}
+    assert got == {(bytes([i]), bytes([j])) for j in range(60) for i in range(j)} | {(b"x", b"y"), (b"y", b"z")}
+    many = [(bytes([i]), [7], 50) for i in range(200)]
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in omh.candidates(spark.createDataFrame(many, "tkey binary, entries array<long>, n long")).collect()}
+    assert {(bytes([0]), bytes([i])) for i in range(1, 200)} <= got and len(got) < 9 * 200
+
+
 def test_alignment_sees_order():
     a = np.arange(100)
     assert omh.aligned(a, a) == 1.0
