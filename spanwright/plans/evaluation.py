@@ -390,6 +390,23 @@ def placeholder_map(spark, d):
     return X.placeholder_map(_entities(spark, d), "doc_id").filter("kind = 'EMAIL'")
 
 
+# The three queries above keep to the kind that their SQL can express; these return every kind.
+@query()
+def redaction_counts_all(spark, d):
+    return X.entity_counts(_entities(spark, d))
+
+
+@query()
+def placeholder_numbers_all(spark, d):
+    e = _entities(spark, d).select("doc_id", F.explode("entities").alias("e"))
+    return e.groupBy("doc_id", F.col("e.placeholder").alias("placeholder")).agg(F.min("e.start").cast("long").alias("start"))
+
+
+@query()
+def placeholder_map_all(spark, d):
+    return X.placeholder_map(_entities(spark, d), "doc_id")
+
+
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def unredact(spark, d):
     # Redacting and restoring gives the text back where a name has one spelling (e-mail and phone here).
