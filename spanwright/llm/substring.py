@@ -3,8 +3,8 @@
 A window is `size` consecutive words. Its fingerprint is the least hash of the shorter word runs in
 it, so neighbouring windows mostly share one: a document becomes a short list of runs of windows
 under one fingerprint. The index keeps (fingerprint, how many runs) in immutable runs of files,
-sorted by fingerprint; each new batch is merge-joined with them and written as a run of its own;
-compaction merges the runs, adding counts. Equal windows have equal fingerprints, so only runs whose
+sorted by fingerprint; each new batch is written as a run of its own; compaction merges the runs,
+adding counts. Repeats are found by one count over all runs, not by joining a batch with history. Equal windows have equal fingerprints, so only runs whose
 fingerprint occurs twice can hold a repeated window: those alone are verified, window by window, by
 a second 64-bit hash of all their words.
 
