@@ -40,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("near-dedup", near_duplicates), ("PII", personal_data), ("mixing", mixture), ("packing", packed)]
 
-#: Learned models, minimum hashes and token ids are beyond SQL; tests compare run() with brute force.
+#: Learned models, minimum hashes and token ids are beyond SQL; tests cover the stages, none runs run().
 ORACLE_SQL = None
 
 
