@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import released, staged
 
 #: Curves; projected dimensions and bits of each; vectors in the fitting sample, at most about.
 CURVES, DIMENSIONS, BITS = 8, 6, 3
@@ -181,7 +181,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, reca
                 lists = [pa.array(list(a.astype(np.int32)), pa.list_(pa.int32())) for a in (own, ask)]
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("ask"), pa.array([r.tobytes() for r in x], pa.binary()), *lists], names=["vec_id", "ask", "vec", "own", "near"])
 
-    placed = staged(fine.mapInArrow(place, "vec_id long, ask boolean, vec binary, own array<int>, near array<int>"), "placed")
+    placed = staged(fine.mapInArrow(released(place), "vec_id long, ask boolean, vec binary, own array<int>, near array<int>"), "placed")
     held = placed.select("vec_id", "vec", F.posexplode("own").alias("curve", "at"))
     asked = placed.filter("ask").select("vec_id", "vec", F.posexplode("near").alias("curve", "mid")).select("vec_id", "vec", "curve", F.explode(F.array(F.col("mid") - 1, F.col("mid"), F.col("mid") + 1)).alias("at"))
     # How many groups each range is dealt to: at most curves * RANGES[0] rows.

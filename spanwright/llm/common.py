@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once inside a Python worker.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Values hashed at once by prefix sums.
+SPAN_VALUES = 1 << 20
 
 #: White space of the word rule [^\x20\x09-\x0D]+ (fixed values).
 SPACE = np.zeros(256, dtype=bool)
@@ -31,21 +34,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where none is configured (a local test session) a temporary folder is set.
+    Only where none is configured in a local session (tests) a temporary folder is set.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanwright-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spanwright-"))
     return sc.getCheckpointDir()
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
+    """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing.
+
+    The files go at the end of the Scratch block around it, or else with the session.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _held.setdefault(id(spark.sparkContext), []).append(path)
     atexit.register(forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+_held: dict[int, list[str]] = {}
+
+
+class Scratch:
+    """Forgets what was staged inside a `with` block, but for what keep() names."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Scratch:
+        self.begin = len(_held.setdefault(id(self.spark.sparkContext), []))
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.staged_at)
+        return df
+
+    def __exit__(self, *error) -> None:
+        held = _held[id(self.spark.sparkContext)]
+        mine, held[self.begin :] = held[self.begin :], []
+        for path in mine:
+            if path in self.kept:
+                held.append(path)
+            else:
+                forget(self.spark, path)
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -57,6 +96,24 @@ def forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def released(run: Callable) -> Callable:
+    """run, giving a worker's spare memory back to the system at the end of each partition: workers
+    are used again, and what one stage kept would narrow the next."""
+
+    def whole(*batches):
+        try:
+            yield from run(*batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return whole
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves no remainder modulo 5 (null ids: as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
@@ -94,7 +151,7 @@ def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             both.append(np.cumprod(p, dtype=np.uint64))
         have = both[0], both[1]
-        if size <= 1 << 23:
+        if size <= 2 * SPAN_VALUES:
             _powers[base] = have
     return have
 
@@ -109,12 +166,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _P) -> np.ndarray:
-    """64-bit hash of values[start:end] for each pair, by prefix sums of a polynomial."""
-    p, inv = powers(len(values) + 1, base)
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * p[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64))
+    """64-bit hash of values[start:end] for each pair, by prefix sums of a polynomial. start ascends.
+
+    Long inputs go through in stretches, so the powers held never exceed one stretch and a span.
+    """
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        to = len(start) if len(values) - low <= SPAN_VALUES else max(at + 1, int(np.searchsorted(start, low + SPAN_VALUES)))
+        s, e = start[at:to] - low, end[at:to] - low
+        some = values[low : low + int(e.max())]
+        p, inv = powers(len(some) + 1, base)
+        total = np.empty(len(some) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum((some.astype(np.uint64) + np.uint64(1)) * p[: len(some)], out=total[1:])
+        out[at:to] = mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

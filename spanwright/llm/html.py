@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import blocks, grams, span_hash, staged, utf8, words
+from .common import blocks, grams, released, span_hash, staged, utf8, words
 
 CHROME, PLAIN, VOUCHED = 0, 1, 2
 
@@ -302,13 +302,13 @@ def extract(pages_df: DataFrame, least: int = 8, pages: int = 3) -> DataFrame:
 
     schema = "page_id long, url string, text string, n_chars long"
     rows = pages_df.select(F.col("page_id").cast("long"), "url", "html").withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
-    parsed = staged(rows.mapInArrow(streams, "blk long, i int, page_id long, url string, host long, same binary, vouched boolean, stream string, kinds binary"), "streams")
+    parsed = staged(rows.mapInArrow(released(streams), "blk long, i int, page_id long, url string, host long, same binary, vouched boolean, stream string, kinds binary"), "streams")
     # Only hosts with a page that vouches for nothing need counts; the bitmap lets few others pass.
     left = parsed.filter("NOT vouched")
     shared = pages_df.sparkSession.sparkContext.broadcast(bitmap.build(left.select("host").distinct(), "host"))
-    evidence = parsed.select("blk", "i", "host", "same", "stream").mapInArrow(wanted, "blk long, i int, host long, same binary, stream string")
+    evidence = parsed.select("blk", "i", "host", "same", "stream").mapInArrow(released(wanted), "blk long, i int, host long, same binary, stream string")
     once = evidence.groupBy("same").agg(F.min(F.struct("blk", "i")).alias("r")).select("r.blk", "r.i")
-    repeated = evidence.join(once, ["blk", "i"]).select("host", "stream").mapInArrow(counted, "host long, h long").groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= pages)
-    hits = left.select("blk", "host", "stream").mapInArrow(asked, "blk long, host long, h long").join(repeated, ["host", "h"]).select("blk", "host", "h")
+    repeated = evidence.join(once, ["blk", "i"]).select("host", "stream").mapInArrow(released(counted), "host long, h long").groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= pages)
+    hits = left.select("blk", "host", "stream").mapInArrow(released(asked), "blk long, host long, h long").join(repeated, ["host", "h"]).select("blk", "host", "h")
     compared = left.select("blk", "page_id", "url", "host", "stream", "kinds").groupBy("blk").cogroup(hits.groupBy("blk")).applyInArrow(finish, schema)
-    return rows.select("page_id", "url", "html").mapInArrow(finished, schema).unionByName(compared)
+    return rows.select("page_id", "url", "html").mapInArrow(released(finished), schema).unionByName(compared)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out
+from .common import blocks, held_out, released
 
 SAMPLE = 12_000
 #: What is added to each count.
@@ -38,7 +38,7 @@ LEXICON, GRAMS, LONGEST = 20_000, 10_000, 5
 LEAST = 3
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words remembered by a worker after backing off; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 50_000
 
 
 @dataclass
@@ -147,8 +147,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in blocks(batches, "text"):
             found = [m.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        m.extra.clear()
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(released(run), schema)
 
 
 def op3_langid(docs: DataFrame) -> DataFrame:

@@ -3,14 +3,15 @@
 A text's words (lower-cased, split at white space and ASCII punctuation) give shingles of `k` words,
 each labelled by its occurrence number. Every one of `sketches` hash functions picks the `order`
 least labelled shingles and keeps them in the order of the text; two texts share such an entry the
-likelier, the more shingles they share in one order. Texts that share an entry form a bucket and
-meet there in linear number (see candidates). Each candidate pair is verified: multiset Jaccard of
-shingles bounds it from above, then matching labelled shingles within a band are aligned (longest
-common order), and aligned / (all of both - aligned) must reach `least`. Links become classes by
-alternating large-star and small-star steps.
+likelier, the more shingles they share in one order. Texts that share an entry form a bucket.
 
-Known gap: in a bucket of more than PART texts not all pairs meet, and a class joins only through
-pairs that did; links between classes can be lost there (the README has figures).
+Buckets are met in steps that never list all pairs of a group (see linked): heads first, then, where
+several classes are left in a bucket, only texts that share one of their rarest labels, which every
+pair that reaches `least` does. What is skipped is either in one class already or cannot reach
+`least`, so the classes are those that all pairs of all buckets would give. Each pair that meets is
+verified: multiset Jaccard of shingles bounds it from above, then matching labelled shingles within
+a band are aligned (longest common order), and aligned / (all of both - aligned) must reach `least`.
+Links become classes by alternating large-star and small-star steps.
 
 Equal texts are one node throughout (keyed by a digest), so copies cost a row each.
 
@@ -23,23 +24,22 @@ no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import SPACE, blocks, mix, span_hash, staged, utf8
+from .common import SPACE, Scratch, blocks, mix, released, span_hash, staged, utf8
 
 K, LEAST = 5, 0.8
 #: At similarity 0.8 an entry of three is shared with probability about 0.51; all 16 miss in 1 of 100,000.
 SKETCHES, ORDER = 16, 3
-#: Texts up to which all pairs of a bucket meet (PART); in larger ones, predecessors that a text meets
-#: (NEAR), and about how many texts a part holds (PART).
-NEAR, PART = 8, 64
+#: Cells of the label counts, at most 2**MOST_CELLS of a byte each.
+MOST_CELLS = 24
 
 #: White space and ASCII punctuation end a word (fixed values).
 _BREAK = SPACE.copy()
@@ -145,118 +145,275 @@ def sketched(docs: DataFrame, k: int = K, sketches: int = SKETCHES, order: int =
             n = np.maximum(size - k + 1, np.minimum(size, 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(entries, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["doc_id", "tkey", "entries", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tkey binary, entries array<long>, n long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, tkey binary, entries array<long>, n long")
 
 
-def candidates(texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b) of text keys that share a bucket, but those whose sizes alone keep them below `least`.
-    texts: tkey, entries, n (labels).
+def members(texts: DataFrame) -> DataFrame:
+    """(bucket, tkey, n): the texts of every bucket that several texts share. texts: tkey, entries, n."""
+    each = texts.select("tkey", "n", F.posexplode("entries").alias("i", "entry")).select(F.xxhash64("i", "entry").alias("bucket"), "tkey", "n")
+    # Staged, so that a join with a bucket of any size can be split.
+    shared = staged(each.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "buckets")
+    return staged(each.join(shared, "bucket"), "members")
 
-    In buckets of up to PART texts all pairs meet. Larger ones are cut into parts of about PART by
-    the leading bits of a hash of the key; within a part, in the order of that hash, each text meets
-    its NEAR predecessors, and all texts meet the bucket's least text too. Pairs grow linearly with
-    a bucket, never with its square, and as the order is the same in every bucket, large groups
-    repeat the same pairs.
-    """
-    h = F.xxhash64("tkey")
-    each = texts.select("tkey", F.posexplode("entries").alias("i", "entry")).select("tkey", F.xxhash64("i", "entry").alias("bucket"))
-    sizes = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tkey").alias("head")).filter("n > 1")
-    met = each.join(sizes, "bucket")
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PART))).cast("int")
-    # The leading bits of the hash, read as one of 2**bits stretches of its range.
-    part = F.floor((h / F.lit(2.0**64) + F.lit(0.5)) * F.pow(F.lit(2.0), bits)).cast("long")
-    near = lambda rows, key, first: rows.select("tkey", F.collect_list("tkey").over(W.partitionBy(*key).orderBy(h, "tkey").rowsBetween(first, -1)).alias("others")).select("tkey", F.explode("others").alias("other"))
-    all_pairs = near(met.filter(F.col("n") <= PART), ["bucket"], 1 - PART)
-    chain = all_pairs.unionByName(near(met.filter(F.col("n") > PART).withColumn("part", part), ["bucket", "part"], -NEAR))
-    star = met.filter((F.col("n") > PART) & (F.col("tkey") != F.col("head"))).select("tkey", F.col("head").alias("other"))
-    pairs = chain.unionByName(star).select(F.least("tkey", "other").alias("a"), F.greatest("tkey", "other").alias("b")).distinct()
-    # What two texts share is at most the smaller one's labels, and all of both at least the larger one's.
-    own = texts.select("tkey", "n")
-    both = pairs.join(own.withColumnsRenamed({"tkey": "a", "n": "x"}), "a").join(own.withColumnsRenamed({"tkey": "b", "n": "y"}), "b")
-    return both.filter(F.least("x", "y") / F.greatest("x", "y") >= least).select("a", "b")
-
-
-def sequences(docs: DataFrame, keys: DataFrame, k: int = K) -> DataFrame:
-    """(tkey, labels) of the texts that `keys` names (and of few others, by the bitmap's grain)."""
+
+def wanted(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(tkey, text) of the texts that `keys` names, once each (and of few others, by the bitmap's grain)."""
     short = keys.select(F.expr("cast(conv(substring(hex(tkey), 1, 16), 16, -10) as long)").alias("h"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(short, "h"))
 
     def run(batches):
         for batch in blocks(batches, "text"):
             digests = [digest(t) for t in batch.column("text").to_pylist()]
-            h = np.array([int.from_bytes(d[:8], "big") for d in digests], np.uint64)
-            keep = np.flatnonzero(bitmap.passes(h, shared.value))
-            few = batch.column("text").take(pa.array(keep))
-            words, by = word_hashes(few)
-            labels = [labelled(words[a:b], k).view(np.int64) for a, b in zip(by, by[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in keep], pa.binary()), pa.array(labels, pa.list_(pa.int64()))], names=["tkey", "labels"])
+            keep = np.flatnonzero(bitmap.passes(np.array([int.from_bytes(d[:8], "big") for d in digests], np.uint64), shared.value))
+            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in keep], pa.binary()), batch.column("text").take(pa.array(keep))], names=["tkey", "text"])
+
+    return docs.select("text").mapInArrow(released(run), "tkey binary, text string").dropDuplicates(["tkey"])
+
+
+def texts_labels(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+    words, by = word_hashes(batch.column("text"))
+    return [labelled(words[a:b], k) for a, b in zip(by, by[1:], strict=False)]
 
-    return docs.select("text").mapInArrow(run, "tkey binary, labels array<long>").dropDuplicates(["tkey"])
 
+def cells(labels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two cells of each label in a table of 2**bits counts."""
+    move = np.uint64(64 - bits)
+    return ((labels * np.uint64(0x9E3779B97F4A7C15)) >> move).astype(np.int64), ((labels * np.uint64(0xC2B2AE3D27D4EB4F)) >> move).astype(np.int64)
 
-def verify(pairs: DataFrame, seqs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches `least`, + similarity."""
+
+def often(labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many texts hold each label, at most so many: the lesser of its two cells (255: or more)."""
+    a, b = cells(labels, len(counts).bit_length() - 1)
+    return np.minimum(counts[a], counts[b])
+
+
+def frequencies(texts: DataFrame, total: int, k: int = K) -> np.ndarray:
+    """Counts of the labels of `texts` (tkey, text) in a table whose size follows `total` up to 2**MOST_CELLS bytes.
+
+    One byte a cell: what reaches the driver and the workers is bounded. A fuller table tells fewer
+    labels apart, which makes more candidates and never fewer links.
+    """
+    bits = min(MOST_CELLS, max(16, (2 * total).bit_length()))
+    part = 1 << 16
+
+    def add(have: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        have[at] = np.minimum(have[at].astype(np.int64) + n, 255)
+
+    def count(batches):
+        have = np.zeros(1 << bits, np.uint8)
+        for batch in blocks(batches, "text"):
+            for at in cells(np.concatenate([np.zeros(0, np.uint64), *texts_labels(batch, k)]), bits):
+                add(have, *np.unique(at, return_counts=True))
+        whole = have.reshape(-1, part)
+        some = np.flatnonzero(whole.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([zlib.compress(whole[i].tobytes(), 1) for i in some], pa.binary())], names=["part", "cells"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        have = np.zeros(part, np.int64)
+        for x in rows.column("cells"):
+            have += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        return pa.table([rows.column("part").combine_chunks().slice(0, 1), pa.array([np.minimum(have, 255).astype(np.uint8).tobytes()], pa.binary())], names=["part", "cells"])
+
+    out = np.zeros((1 << bits) // part * part, np.uint8).reshape(-1, part)
+    for row in texts.select("text").mapInArrow(released(count), "part long, cells binary").groupBy("part").applyInArrow(merge, "part long, cells binary").toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["cells"], np.uint8)
+    return out.reshape(-1)
+
+
+def profiles(texts: DataFrame, counts: np.ndarray, k: int = K, least: float = LEAST) -> DataFrame:
+    """(tkey, n, score, prefix): score tells how common a text's labels are; prefix has its rarest labels.
+
+    All texts rank their labels alike: by count, then by value. Two texts of n and m labels that reach
+    `least` share least/(1+least)*(n+m) of them, so the rarest one that they share is not later than
+    what is left (see pairs_of). prefix holds (label, place) up to the last place that any partner's
+    size allows; labels that no other text holds are left out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            s = np.array([aligned(x[i].values.to_numpy(zero_copy_only=False), y[i].values.to_numpy(zero_copy_only=False), least) for i in range(batch.num_rows)])
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
-            yield out.filter(pa.array(s >= least))
+        for batch in blocks(batches, "text"):
+            keys, n, score, prefix = [], [], [], []
+            for key, labels in zip(batch.column("tkey"), texts_labels(batch, k), strict=True):
+                if len(labels):
+                    f = often(labels, shared.value)
+                    far = len(labels) - int(np.ceil(least * len(labels) - 1e-9)) + 1
+                    first = np.lexsort((labels, f))[:far]
+                    at = np.flatnonzero(f[first] > 1)
+                    keys.append(key)
+                    n.append(len(labels))
+                    score.append(float(np.log(f).mean()))
+                    prefix.append([{"label": x, "place": p} for x, p in zip(labels[first[at]].view(np.int64).tolist(), at.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(prefix, pa.list_(pa.struct([("label", pa.int64()), ("place", pa.int32())])))], names=["tkey", "n", "score", "prefix"])
+
+    return texts.mapInArrow(released(run), "tkey binary, n long, score double, prefix array<struct<label:long,place:int>>")
+
 
-    one = seqs.select(F.col("tkey").alias("a"), F.col("labels").alias("x"))
-    two = seqs.select(F.col("tkey").alias("b"), F.col("labels").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double")
+def stars(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b): each text of a bucket and the bucket's most typical one. rows: bucket, tkey, n, score."""
+    heads = staged(rows.groupBy("bucket").agg(F.max(F.struct("score", "tkey", "n")).alias("h")).select("bucket", F.col("h.tkey").alias("b"), F.col("h.n").alias("m")), "heads")
+    met = rows.join(heads, "bucket").filter((F.col("tkey") != F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9))
+    return met.select(F.least("tkey", "b").alias("a"), F.greatest("tkey", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(tkey, root) of all linked nodes: root is the least key of the component.
+def size_class(n: F.Column) -> F.Column:
+    """Sizes in steps of about 2 %."""
+    return F.floor(F.log2(n) * 32).cast("int")
+
+
+def splits(rows: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(longer, shorter): what texts (tkey, n, score, class, prefix) offer, by label and size class.
+
+    A pair meets with its longer text in the first part and its shorter one in the second. The
+    longer one names the classes of the sizes that its place of the label allows, so texts that
+    share common labels only do not meet at all.
+    """
+    each = rows.select("tkey", "n", "score", "class", F.explode("prefix").alias("p")).select("tkey", "n", "score", "class", F.col("p.label").alias("label"), F.col("p.place").alias("place"))
+    low = F.ceil(F.col("n") * least - 1e-9)
+    high = F.least("n", F.floor((F.col("n") - F.col("place")) * ((1 + least) / least) - F.col("n") + 1e-9))
+    longer = each.withColumn("low", low).withColumn("high", high).filter("low <= high AND high > 0")
+    longer = longer.withColumn("size", F.explode(F.sequence(size_class(F.greatest(F.lit(1), "low")), size_class(F.col("high"))))).drop("low", "high")
+    shorter = each.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * least / (1 + least)) - 1e-9)).withColumn("size", size_class(F.col("n")))
+    return longer, shorter
+
+
+def pairs_of(x: DataFrame, y: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b) of texts of different classes that can reach `least` and share a rare label early enough in both."""
+    one = x.select("label", "size", *[F.col(c).alias(f"x_{c}") for c in ("tkey", "n", "place", "class")])
+    two = y.select("label", "size", *[F.col(c).alias(f"y_{c}") for c in ("tkey", "n", "place", "class")])
+    both = F.ceil((F.col("x_n") + F.col("y_n")) * (least / (1 + least)) - 1e-9)
+    fit = (F.col("x_place") <= F.col("x_n") - both) & (F.col("y_place") <= F.col("y_n") - both)
+    order = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_tkey") > F.col("y_tkey")))
+    met = one.join(two, ["label", "size"]).filter((F.col("x_class") != F.col("y_class")) & fit & order)
+    return met.select(F.least("x_tkey", "y_tkey").alias("a"), F.greatest("x_tkey", "y_tkey").alias("b")).distinct()
+
+
+def mixed(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(label, size, main): where texts of several classes meet, and the class that most of them have."""
+    each = longer.select("label", "size", "class", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(shorter.select("label", "size", "class", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    per = each.groupBy("label", "size", "class").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    found = per.groupBy("label", "size").agg(F.count("*").alias("k"), F.max(F.struct(F.col("x") + F.col("y"), "class")).alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return found.filter("k > 1 AND x > 0 AND y > 0").select("label", "size", F.col("m.class").alias("main"))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:
+    """The pairs (a, b) whose alignment reaches `least`, + similarity. texts: (tkey, text), staged."""
+
+    def run(batches):
+        key, mine = None, np.zeros(0, np.uint64)
+        for whole in batches:
+            for batch in blocks([whole], "x"):
+                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                left = texts_labels(batch.select(["x"]).rename_columns(["text"]), k)
+                s = np.zeros(len(a))
+                for i, other in enumerate(left):
+                    if b[i] != key:
+                        key, mine = b[i], texts_labels(batch.slice(i, 1).select(["y"]).rename_columns(["text"]), k)[0]
+                    s[i] = aligned(other, mine, least)
+                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+                yield out.filter(pa.array(s >= least))
+
+    one = texts.select(F.col("tkey").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("tkey").alias("b"), F.col("text").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(released(run), "a binary, b binary, similarity double")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(tkey, root) of all linked nodes but the roots: root is the least key of the component.
 
     Large-star hangs a node's larger neighbours on its least neighbour, small-star its smaller ones;
-    alternated, they end in one star per component after about log2(diameter) rounds.
+    alternated until every node hangs on a root, which takes about log2(diameter) turns. Least
+    neighbours are added up before their shuffle and staged, so a join with a node of any number of
+    neighbours can be split.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    last = None
-    for turn in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = staged(small.distinct(), f"stars{turn}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    return edges.select(F.col("u").alias("tkey"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("tkey"), F.col("v").alias("root"))).distinct()
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while True:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        each = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        if each.filter("hangs > 1 OR (hangs = 1 AND holds = 1)").isEmpty():
+            return edges.select(F.col("u").alias("tkey"), F.col("v").alias("root"))
+        with Scratch(links.sparkSession) as scratch:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+            large = staged(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v")))
+            edges = scratch.keep(staged(small.distinct(), "small"))
+
+
+def linked(docs: DataFrame, texts: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:
+    """(tkey, root): classes (but for their roots) by verified links, which join all texts that reach
+    `least` and share a bucket.
+
+    First every text of a bucket meets the most typical one, which joins most groups of near copies.
+    Buckets that still hold several classes are split again by the rarest labels of their texts: no
+    pair that reaches `least` is without one in common. There each text meets a head, and at last
+    every text that is not of the commonest class meets all those of other classes, so each pair of
+    classes that is left was compared wherever it could be linked.
+    """
+    rows = members(texts.filter(F.size("entries") > 0))
+    keys = rows.select("tkey", "n").distinct()
+    total = keys.agg(F.sum("n")).first()[0]
+    if not total:
+        return docs.sparkSession.createDataFrame([], "tkey binary, root binary")
+    own = staged(wanted(docs, keys), "wanted")
+    known = staged(profiles(own, frequencies(own, total, k), k, least), "profiles")
+    pairs = staged(stars(rows.join(known.select("tkey", "score"), "tkey"), least), "pairs")
+    roots = components(verify(pairs, own, k, least))
+
+    def classed(rows: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("root", "class"), "tkey", "left").withColumn("class", F.coalesce("class", "tkey"))
+
+    spread = classed(rows.select("bucket", "tkey"))
+    open_ = spread.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("bucket")
+    left = spread.join(staged(open_, "open"), "bucket", "left_semi").select("tkey").distinct()
+    some = staged(known.filter(F.size("prefix") > 0).join(left, "tkey", "left_semi"), "some")
+    for whole in (False, True):
+        longer, shorter = splits(staged(classed(some), "classed"), least)
+        where = staged(mixed(longer, shorter), "mixed")
+        x, y = longer.join(where, ["label", "size"]), shorter.join(where, ["label", "size"])
+        if whole:
+            odd = F.col("class") != F.col("main")
+            found = pairs_of(x.filter(odd), y, least).unionByName(pairs_of(x.filter(~odd), y.filter(odd), least)).distinct()
+        else:
+            found = pairs_of(x, heads_of(y), least).unionByName(pairs_of(heads_of(x), y, least)).distinct()
+        fresh = staged(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            links = verify(fresh, own, k, least).select("a", "b").unionByName(roots.select(F.col("tkey").alias("a"), F.col("root").alias("b")))
+            roots, pairs = components(links), pairs.unionByName(fresh)
+    return roots
+
+
+def heads_of(side: DataFrame) -> DataFrame:
+    """The most typical text of each label and size class."""
+    rest = [c for c in side.columns if c not in ("label", "size", "score", "main")]
+    return side.groupBy("label", "size").agg(F.max(F.struct("score", *rest)).alias("h")).select("label", "size", "h.*")
 
 
 def classes(docs: DataFrame, k: int = K, least: float = LEAST, sketches: int = SKETCHES, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): rows has doc_id, tkey of every row; texts has tkey, class_id (least doc_id of the
-    class), keeper (the text key of that document), links (verified links of the text)."""
-    rows = staged(sketched(docs, k, sketches, order), "sketches")
-    texts = staged(rows.groupBy("tkey").agg(F.min("doc_id").alias("id"), F.first("entries").alias("entries"), F.first("n").alias("n")), "texts")
-    pairs = staged(candidates(texts.filter(F.size("entries") > 0), least), "pairs")
-    keys = pairs.select(F.col("a").alias("tkey")).unionByName(pairs.select(F.col("b").alias("tkey"))).distinct()
-    links = staged(verify(pairs, sequences(docs, keys, k), least), "links")
-    roots = components(links)
-    count = links.select(F.explode(F.array("a", "b")).alias("tkey")).groupBy("tkey").agg(F.count("*").alias("links"))
-    joined = texts.select("tkey", "id").join(roots, "tkey", "left").withColumn("root", F.coalesce("root", "tkey"))
-    first = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("tkey"))).alias("f")).select("root", F.col("f.id").alias("class_id"), F.col("f.tkey").alias("keeper"))
-    out = joined.join(first, "root").join(count, "tkey", "left").select("tkey", "class_id", "keeper", F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.select("doc_id", "tkey"), staged(out, "classes")
+    class), keeper (the text key of that document)."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(staged(sketched(docs, k, sketches, order), "sketches"))
+        texts = staged(rows.groupBy("tkey").agg(F.min("doc_id").alias("id"), F.first("entries").alias("entries"), F.first("n").alias("n")), "texts")
+        roots = linked(docs, texts, k, least)
+        joined = staged(texts.select("tkey", "id").join(roots, "tkey", "left").withColumn("root", F.coalesce("root", "tkey")), "roots")
+        first = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("tkey"))).alias("f")).select("root", F.col("f.id").alias("class_id"), F.col("f.tkey").alias("keeper"))
+        out = scratch.keep(staged(joined.join(staged(first, "first"), "root").select("tkey", "class_id", "keeper"), "classes"))
+    return rows.select("doc_id", "tkey"), out
 
 
 def op8_near(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), links, kept (the class's one document)."""
+    """doc_id, class_id (least doc_id of its class), kept (the class's one document)."""
     rows, texts = classes(docs)
-    return rows.join(texts, "tkey").select("doc_id", "class_id", "links", ((F.col("tkey") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    return rows.join(texts, "tkey").select("doc_id", "class_id", ((F.col("tkey") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each class; columns unchanged."""
     _, texts = classes(docs)
     keep = texts.filter(F.col("tkey") == F.col("keeper")).select("tkey", "class_id")
-    keyed = docs.select("*", text_key(docs).alias("tkey"))
-    one = keyed.join(keep, "tkey").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("class_id"))).dropDuplicates(["tkey"])
-    return one.select(*docs.columns)
+    # The id is part of the key, so the copies of one text spread out; only repeated rows meet.
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key(docs).alias("tkey"), id_.alias("id"))
+    one = keyed.join(keep.select("tkey", F.coalesce(F.col("class_id").cast("string"), F.lit("-")).alias("id")), ["tkey", "id"]).dropDuplicates(["tkey", "id"])
+    return one.select("row.*")

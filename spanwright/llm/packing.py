@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, staged
+from .common import blocks, released, staged
 
 #: The split rule of byte-level BPE vocabularies (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, slots: int = 48, e
         return packer.flush().drop(columns="ids")
 
     arrow = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
-    rows = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(stream, PIECES + ", ids binary"), "pack")
+    rows = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(stream), PIECES + ", ids binary"), "pack")
     final = rows.filter("ids is null").drop("ids")
     near = F.floor(F.shiftright("sequence_id", 32) / group).alias("near")
     rest = rows.filter("ids is not null").groupBy(near)

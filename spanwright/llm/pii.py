@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, released
 
 #: Titles before a name, by the gender they show (fixed values).
 TITLES = {
@@ -306,7 +306,7 @@ def entities(docs: DataFrame, key: bytes, redrawn: dict | None = None) -> DataFr
             rows = sorted(have)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "original", "surrogate"])
 
-    return docs.select("text").mapInArrow(run, "kind string, original string, surrogate string").distinct()
+    return docs.select("text").mapInArrow(released(run), "kind string, original string, surrogate string").distinct()
 
 
 #: More collisions than this mean a broken key or pattern; real ones are next to none.
@@ -343,7 +343,7 @@ def surrogates(docs: DataFrame, key: bytes = b"spanwright", check: bool = True)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, spans_type)], names=[*batch.schema.names, "entities"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(released(run), schema)
 
 
 def op7_pii(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import blocks, forget, grams, shared_dir, sliding_min, span_hash, staged, utf8, words
+from .common import blocks, forget, grams, released, shared_dir, sliding_min, span_hash, staged, utf8, words
 
 SIZE = 35
 #: Spans that a task remembers having sent, at most (8 bytes each).
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, size: int = SIZE, spread: int = SPREAD) -> Dat
             n = np.bincount(inverse, weights=1 + r.twice, minlength=len(key)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["fp", "n"])
 
-    return docs.select("text").mapInArrow(run, "fp long, n int")
+    return docs.select("text").mapInArrow(released(run), "fp long, n int")
 
 
 class FingerprintIndex:
@@ -141,7 +141,7 @@ def records(docs: DataFrame, repeated: DataFrame, size: int = SIZE, spread: int
                 names=["fp", "span", "n", "twice", "tkey", "first"],
             )
 
-    return docs.select("text").mapInArrow(run, "fp long, span long, n byte, twice boolean, tkey binary, first int")
+    return docs.select("text").mapInArrow(released(run), "fp long, span long, n byte, twice boolean, tkey binary, first int")
 
 
 def windows_of(docs: DataFrame, fps: DataFrame, lonely: DataFrame, size: int = SIZE, spread: int = SPREAD) -> DataFrame:
@@ -174,7 +174,7 @@ def windows_of(docs: DataFrame, fps: DataFrame, lonely: DataFrame, size: int = S
                 names=["fp", "window", "span", "i", "weight"],
             )
 
-    return docs.select("text").mapInArrow(run, "fp long, window long, span long, i byte, weight byte")
+    return docs.select("text").mapInArrow(released(run), "fp long, window long, span long, i byte, weight byte")
 
 
 def verified(docs: DataFrame, found: DataFrame, size: int = SIZE, spread: int = SPREAD) -> DataFrame:
@@ -253,9 +253,9 @@ def remove(docs: DataFrame, hits: DataFrame, size: int = SIZE) -> DataFrame:
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    few = own.mapInArrow(touched, "doc_id long, text string").withColumn("tkey", text_key())
-    cuts = few.join(hits, "tkey", "left").select("doc_id", "text", "hits").mapInArrow(run, schema)
-    return own.mapInArrow(untouched, schema).unionByName(cuts)
+    few = own.mapInArrow(released(touched), "doc_id long, text string").withColumn("tkey", text_key())
+    cuts = few.join(hits, "tkey", "left").select("doc_id", "text", "hits").mapInArrow(released(run), schema)
+    return own.mapInArrow(released(untouched), schema).unionByName(cuts)
 
 
 def dedup(docs: DataFrame, batches: int = 2, size: int = SIZE, spread: int = SPREAD) -> DataFrame:

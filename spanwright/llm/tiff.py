@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, released
 
 #: Tags, types' sizes and compression codes of the TIFF 6.0 format (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = (
@@ -285,7 +285,7 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.string()]
     names = [*df.columns, *[c.split()[0] for c in PAGES.split(", ")]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + PAGES
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 #: How the text payloads are stored: (compression, predictor, tile side or 0), dealt by the payload's CRC-32.
@@ -306,7 +306,7 @@ def store_texts(docs: DataFrame, width: int = 192) -> DataFrame:
                 media.append(write([np.frombuffer(payload, np.uint8).reshape(-1, width)], kind, predictor, tile=tile))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n_bytes long, media binary")
 
 
 def digest(pixels: bytes) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out
+from .common import blocks, held_out, released
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         key, n0, n1 = (np.append(x, y) for x, y in ((any_, -1), (have[0, any_], docs_of[0]), (have[1, any_], docs_of[1])))
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n0), pa.array(n1)], names=["key", "n0", "n1"])
 
-    sums = read.mapInArrow(count, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sums = read.mapInArrow(released(count), "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     sizes = read.groupBy().agg(F.count(F.when(F.col("label") == 0, 1)).alias("n0"), F.count(F.when(F.col("label") == 1, 1)).alias("n1")).first()
     c, t = sizes["n0"], sizes["n1"]
     prior = t / (c + t) if c + t else 0.5
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             held = [key[a:b].astype("<u2").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], names=["label", "held"])
 
-    got = read.mapInArrow(rows, "label int, held binary").collect()
+    got = read.mapInArrow(released(rows), "label int, held binary").collect()
     y = np.array([r["label"] for r in got], float)
     each = [np.frombuffer(r["held"], "<u2") for r in got]
     order = sorted(range(len(y)), key=lambda i: (y[i], bytes(each[i])))  # sums in one order give equal models
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = shared.value.score([t or "" for t in batch.column("text").to_pylist()], slot)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(released(run), schema)
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -127,24 +127,45 @@ def test_index_takes_batches_and_compacts(spark):
     assert len(index.runs) == 1 and index.repeated().count() > 0
 
 
-def brute_near(texts):
-    def label(t):
+def labels_of(texts):
+    """Every text's shingles of five words with their occurrence numbers, as numbers."""
+    number, out = {}, []
+    for t in texts:
         w = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())
-        k, seen, out = min(5, len(w)), collections.Counter(), []
+        k, seen, own = min(5, len(w)), collections.Counter(), []
         for i in range(len(w) - k + 1 if w else 0):
             g = tuple(w[i : i + k])
-            out.append((g, seen[g]))
+            own.append(number.setdefault((g, seen[g]), len(number)))
             seen[g] += 1
-        return out
-
-    named, number = [label(t) for t in texts], {}
-    ids = [np.array([number.setdefault(x, len(number)) for x in s], np.int64) for s in named]
-    root = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            if texts[a] == texts[b] or omh.aligned(ids[a], ids[b]) >= omh.LEAST:
-                ra, rb = root[a], root[b]
-                root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+        out.append(np.array(own, np.int64))
+    return out
+
+
+def similar(a, b):
+    """Longest common subsequence by its table, row by row, over all labels of both."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row[-1] >= 0.8 * (len(a) + len(b) - row[-1])
+
+
+def close_pairs(labels):
+    """Pairs (a, b), b < a, that share enough labels in any order."""
+    holds = np.zeros((len(labels), 1 + max(x.max(initial=0) for x in labels)), np.float32)
+    for i, x in enumerate(labels):
+        holds[i, x] = 1
+    size, both = holds.sum(axis=1), holds @ holds.T
+    a, b = np.nonzero((both > 0) & (both >= 0.8 * (size[:, None] + size - both) - 1e-3))
+    return [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if j < i]
+
+
+def brute_near(texts):
+    labels, root = labels_of(texts), list(range(len(texts)))
+    same = {}
+    for a, b in close_pairs(labels) + [(i, same.setdefault(t, i)) for i, t in enumerate(texts)]:
+        if root[a] != root[b] and (texts[a] == texts[b] or similar(labels[a], labels[b])):
+            ra, rb = root[a], root[b]
+            root = [min(ra, rb) if r in (ra, rb) else r for r in root]
     return root
 
 
@@ -165,15 +186,50 @@ def test_near_duplicates_match_brute_force(spark):
     assert omh.op8_near(df).filter("kept").count() == len(set(got.values()))
 
 
-def test_pairs_that_share_an_entry_meet(spark):
-    # 60 texts in one bucket, and two texts that share one entry of 16.
-    rows = [(bytes([i]), [7, *range(100 * i + 1000, 100 * i + 1015)], 50) for i in range(60)]
-    rows += [(b"x", [-9, *range(1, 16)], 50), (b"y", [-9, *range(21, 36)], 41), (b"z", [-9, *range(41, 56)], 39)]
-    got = {(bytes(r["a"]), bytes(r["b"])) for r in omh.candidates(spark.createDataFrame(rows, "tkey binary, entries array<long>, n long")).collect()}
-    assert got == {(bytes([i]), bytes([j])) for j in range(60) for i in range(j)} | {(b"x", b"y"), (b"y", b"z")}
-    many = [(bytes([i]), [7], 50) for i in range(200)]
-    got = {(bytes(r["a"]), bytes(r["b"])) for r in omh.candidates(spark.createDataFrame(many, "tkey binary, entries array<long>, n long")).collect()}
-    assert {(bytes([0]), bytes([i])) for i in range(1, 200)} <= got and len(got) < 9 * 200
+def crowd(rng):
+    """700 texts that all hold one passage: two groups of near copies, chains of small edits, and texts of their own."""
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for group, n in ((0, 300), (1, 250)):
+        base = common + [f"g{group}x{i}" for i in range(16)]
+        for _ in range(n):
+            t = list(base)
+            for at in rng.integers(0, len(t), rng.integers(0, 5)):
+                t[at] = f"e{rng.integers(10**6)}"
+            texts.append(t)
+    chain = common + [f"h{i}" for i in range(20)]
+    for i in range(50):
+        chain = list(chain)
+        chain[60 + i % 20] = f"k{i}"
+        texts.append(chain)
+    texts += [common + [f"o{i}y{j}" for j in range(rng.integers(10, 30))] for i in range(100)]
+    return [" ".join(t) for t in texts]
+
+
+def test_one_bucket_of_many_texts_and_classes(spark):
+    texts = crowd(np.random.default_rng(11))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    # Few and short sketches: one hash function picks the passage's least label, so all share a bucket.
+    entries = omh.sketched(df, sketches=1, order=1).select("entries").distinct().count()
+    rows, classes = omh.classes(df)
+    got = {r["doc_id"]: r["class_id"] for r in rows.join(classes, "tkey").collect()}
+    want = brute_near(texts)
+    sizes = sorted(collections.Counter(want).values())
+    assert entries < 200 and sizes[-2] > 100 and len(sizes) > 100
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_every_pair_that_can_link_shares_a_rare_label_early(spark):
+    """The split's promise on its own: no pair that reaches 0.8 is missed, whatever the counts are."""
+    rng = np.random.default_rng(7)
+    texts = [f"{t} t{i}" for i, t in enumerate(crowd(rng)[::4])]
+    df = spark.createDataFrame([(omh.digest(t), t) for t in texts], "tkey binary, text string")
+    known = omh.profiles(df, omh.frequencies(df, 40_000))
+    longer, shorter = omh.splits(known.withColumn("class", known["tkey"]))
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in omh.pairs_of(longer, shorter).collect()}
+    labels, keys = labels_of(texts), [omh.digest(t) for t in texts]
+    links = {tuple(sorted((keys[i], keys[j]))) for i, j in close_pairs(labels) if similar(labels[i], labels[j])}
+    assert len(links) > 100 and links <= got and len(got) < 4 * len(links)
 
 
 def test_alignment_sees_order():
