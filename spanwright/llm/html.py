@@ -2,14 +2,16 @@
 
 A page is parsed once into blocks of text. Blocks inside an article or main element are vouched for
 by the page itself; blocks inside menus, headers, footers, sidebars, notices, adverts, forms and
-comments are chrome; the rest is plain. In the word streams of chrome and plain blocks, every window
-of `least` words that recurs on `pages` distinct pages of the whole host is covered, and covered
-words go. What is left of chrome goes too (a sure sign is not needed twice); a page that vouches for
-no block keeps the unique runs of its plain blocks.
+comments are chrome; the rest is plain. In the word streams of chrome and plain blocks, every
+substring of `least` words that recurs on `pages` distinct pages of the whole host is covered, and
+covered words go. What is left of chrome goes too (a sure sign is not needed twice); a page that
+vouches for no block keeps the unique runs of its plain blocks.
 
-Windows are counted by (host, hash), added up before their shuffle, so a host of any size spreads
-out; the result is exact up to 64-bit hashes, whatever the host's size. The suffix array (covered)
-finds the same in memory; tests compare the two.
+The suffix array of a host is held in parts: each block of pages sorts the suffixes of its own
+concatenated streams to a depth of `least` words, neighbours that share that many form a group, and
+groups of all blocks meet by (host, their words' hash), distinct pages added up. So a host of any size
+spreads out, and the result is that of one array over the whole host, up to 64-bit hashes. `covered`
+is that one array in memory; tests compare the two.
 
 Defined results: null html is the empty page; pages without text give ''; a null url is a host of
 its own; equal pages count once among distinct pages; repeated rows are extracted each; an empty
@@ -34,18 +36,26 @@ from .common import blocks, grams, released, span_hash, staged, utf8, words
 CHROME, PLAIN, VOUCHED = 0, 1, 2
 
 #: Names of the HTML standard, by what they mean for a page's text (fixed values).
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-SKIPPED = frozenset("head nav header footer aside form button select option datalist menu dialog object canvas audio video map".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
+SKIPPED = frozenset("head nav header footer aside form button select option datalist menu dialog".split())
 HOLDERS = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover semantics".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 #: Words of class and id names that mark what is not the article (fixed values).
 MARKS = frozenset("ad ads advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login widget pagination pager skip".split())
+#: Words that only tell where or in what shape such a part stands (fixed values).
+PLACES = frozenset("site page global main top bottom left right inner outer primary secondary bar box block area section list item items link links wrap wrapper container holder slot unit form".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_NAME = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z]+")
+
+
+def _chrome_name(name: str) -> bool:
+    """A class or id that says nothing but a mark, with or without a place: ad, site-footer, cookie-banner."""
+    words = set(_WORD.findall(name))
+    return not MARKS.isdisjoint(words) and words <= MARKS | PLACES
 
 
 def _marked(name: str, attrs: str) -> bool:
@@ -57,8 +67,8 @@ def _marked(name: str, attrs: str) -> bool:
         return True
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and name not in ("html", "body", "main"):
-            if not MARKS.isdisjoint(_NAME.findall(value)):
+        if key in ("class", "id") and name not in ("html", "body", "main", "article"):
+            if any(map(_chrome_name, value.split())):
                 return True
         elif key == "role" and value.strip() in ROLES or key == "aria-hidden" and value.strip() == "true":
             return True
@@ -139,16 +149,17 @@ def parse(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def suffix_array(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(stream: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order and, for each suffix but the first, the words it shares with the one before.
 
     Prefix doubling: ranks by the first 1, 2, 4 ... words until all differ (a distinct end mark after
-    each page bounds this by the longest repeat); shared lengths follow from the same ranks.
+    each page bounds this by the longest repeat) or `depth` words are told apart; shared lengths, up
+    to that depth at least, follow from the same ranks.
     """
     n = len(stream)
     rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
     levels, step = [rank], 1
-    while n and rank.max() < n - 1 and step < n:
+    while n and rank.max() < n - 1 and step < min(n, depth or n):
         after = np.full(n, -1, np.int64)
         after[: n - step] = rank[step:]
         pair = rank * (n + 1) + after + 1
@@ -215,24 +226,49 @@ def windows(column: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
     return grams(span_hash(data, start, end), least) if len(start) else np.zeros(0, np.uint64), by
 
 
-def own_windows(g: np.ndarray, by: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(page, hash) of the windows that lie within a page, each once a page."""
-    page = np.repeat(np.arange(len(by) - 1), np.diff(by))[: len(g)]
-    inside = np.arange(len(g)) + least <= by[page + 1]
-    page, g = page[inside], g[inside]
-    order = np.lexsort((g, page))
-    page, g = page[order], g[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (page[1:] != page[:-1])
-    return page[new], g[new]
+def marked_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pages' words as numbers, one stream with a distinct end mark after each page; the page of
+    each place; hashes of all words; and n+1 word offsets by page."""
+    data, off = utf8(column)
+    start, end, by = words(data, off)
+    hashes = span_hash(data, start, end) if len(start) else np.zeros(0, np.uint64)
+    size = np.diff(by)
+    number = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
+    page = np.repeat(np.arange(len(size)), size + 1)
+    stop = np.cumsum(size + 1) - 1
+    stream = np.empty(len(page), np.int64)
+    word = np.ones(len(page), bool)
+    word[stop] = False
+    stream[word] = number
+    stream[stop] = len(number) + np.arange(len(size))
+    return stream, page, hashes, by
+
+
+def repeats_within(column: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(page, key) of the groups of suffixes that share their first `least` words, each page once a
+    group; key is those words' hash. Groups of one suffix count: other blocks may hold their fellows."""
+    stream, page, hashes, by = marked_stream(column)
+    order, shared = suffix_array(stream, least)
+    group = np.concatenate([[0], np.cumsum(shared < least)]) if len(order) else np.zeros(0, np.int64)
+    place = order - page[order]  # of the word, without the end marks before it
+    inside = place + least <= by[page[order] + 1]
+    order, group, place = order[inside], group[inside], place[inside]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    _, at = np.unique(group * (len(by) + 1) + page[order], return_index=True)
+    return page[order[at]], span_hash_at(hashes, place[at], least)
+
+
+def span_hash_at(hashes: np.ndarray, place: np.ndarray, least: int) -> np.ndarray:
+    return grams(hashes, least)[place]
 
 
 def extract(pages_df: DataFrame, least: int = 8, pages: int = 3) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Pages that vouch for a block, and empty ones, are finished where they are read. The word streams
-    of all are staged; the windows of the distinct ones are counted by host, and go back, once a
-    block of pages, to the pages that vouch for nothing.
+    of all are staged; the suffix groups of the distinct ones are counted by host, and go back, once
+    a block of pages, to the pages that vouch for nothing.
     """
 
     def finished(batches):
@@ -273,12 +309,12 @@ def extract(pages_df: DataFrame, least: int = 8, pages: int = 3) -> DataFrame:
 
     def counted(batches):
         for batch in blocks(batches, "stream"):
-            page, g = own_windows(*windows(batch.column("stream"), least), least)
+            page, g = repeats_within(batch.column("stream"), least)
             yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(page)), pa.array(g.view(np.int64))], names=["host", "h"])
 
     def asked(batches):
         for batch in blocks(batches, "stream"):
-            page, g = own_windows(*windows(batch.column("stream"), least), least)
+            page, g = repeats_within(batch.column("stream"), least)
             rows = pa.table([batch.column("blk").take(pa.array(page)), batch.column("host").take(pa.array(page)), pa.array(g.view(np.int64))], names=["blk", "host", "h"])
             yield from rows.group_by(["blk", "host", "h"]).aggregate([]).select(["blk", "host", "h"]).to_batches()
 

@@ -273,6 +273,8 @@ def test_suffix_array_matches_sorting():
     for n in (1, 2, 30, 200):
         s = rng.integers(0, 3, n)
         order, shared = html.suffix_array(s)
+        short, least = html.suffix_array(s, 3)
+        assert [s[i : i + 3].tolist() for i in short] == sorted(s[i : i + 3].tolist() for i in range(n)) and (np.minimum(least, 3) == [next((j for j in range(3) if max(a, b) + j >= n or s[a + j] != s[b + j]), 3) for a, b in zip(short, short[1:], strict=False)]).all()
         want = sorted(range(n), key=lambda i: s[i:].tolist())
         assert order.tolist() == want
         for (a, b), k in zip(zip(want, want[1:], strict=False), shared, strict=True):
@@ -309,6 +311,17 @@ def test_repeats_count_on_the_whole_host(spark):
     assert [got[i] for i in range(len(texts))] == [" ".join(w for w, g in zip(s, m, strict=True) if not g) for s, m in zip(streams, marks, strict=True)]
 
 
+def test_class_names_are_read_whole(spark):
+    cases = {
+        "<article class='post comments-open'><p>Hello there</article>": "Hello there",
+        "<article><p>One</p><div class='related-work'>Two</div></article>": "One\nTwo",
+        "<div class='site-footer'>no</div><div id='cookie-banner'>no</div><div class='ad'>no</div><p>yes": "yes",
+        "<p>so <math><mi>x</mi></math> holds<audio>old players</audio>": "so x holds\nold players",
+    }
+    df = spark.createDataFrame([(i, "http://c.example/", h) for i, h in enumerate(cases)], "page_id long, url string, html string")
+    assert [r["text"] for r in html.extract(df).orderBy("page_id").collect()] == list(cases.values())
+
+
 def test_pages_give_their_articles(spark, sf):
     import html as entities
 
