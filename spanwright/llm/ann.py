@@ -2,18 +2,25 @@
 
 Vectors, scaled by the largest norm and given one more coordinate so that a larger inner product is
 a smaller distance, are projected at random onto a few dimensions, shifted, cut to a grid and put on
-a Hilbert curve; several such curves see different neighbours. Each curve is cut into key ranges of
-about equal counts; a query meets the vectors of its own range and of the two beside it, by exact
-inner products in double precision, and the windows of all curves merge into its nearest.
-
-Projections, grid levels and range limits are fitted on a bounded sample, which also tells how
-narrow the ranges may be: the largest number of ranges at which the sample's own queries still find
-`recall` of their neighbours. Vectors without structure need wide ranges, clustered ones narrow.
-Ranges that hold many vectors or queries are dealt to groups of bounded size.
-
-Defined results: vectors that are null, zero, hold a null or non-finite component, have no id, or
-are not of the commonest length take no part; an id that several rows carry counts once, by its best
-score; a query never finds its own id; ties go to the smaller id; an empty table gives no rows.
+a Hilbert curve; several such curves see different neighbours. Each curve's keys are range-partitioned
+and sorted, so every vector gets its rank on every curve. A query meets the vectors whose rank is
+within a window of its own, by exact inner products in double precision, and the windows of all
+curves merge into its nearest.
+
+Projections and grid levels are fitted on a bounded sample. The window is measured: for CHECKED
+queries one scan finds the true neighbours, and their ranks tell, for each number of curves, how wide
+windows must be to hold `recall` of them. The cheapest such choice is taken; where it would compare
+more than the whole table (vectors without structure), one curve with a window over all of it is
+cheapest: each pair is then compared once.
+
+Ranks are cut into blocks, and a block of queries meets a block of vectors as one group, so groups
+are bounded whatever the vectors are. Of equal vectors only the k+1 smallest ids can be among the k
+nearest of anything; the others ask, but are not compared.
+
+Defined results: vectors that are null, zero, hold a null or non-finite component or have no id take
+no part; shorter vectors are read as ending in zeros; an id that several rows carry counts once, by
+its best score; a query never finds its own id; ties go to the smaller id; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -30,12 +37,12 @@ from pyspark.sql import functions as F
 from .common import released, staged
 
 #: Curves; projected dimensions and bits of each; vectors in the fitting sample, at most about.
-CURVES, DIMENSIONS, BITS = 8, 6, 3
+CURVES, DIMENSIONS, BITS = 8, 6, 8
 SAMPLE = 4096
-#: Numbers of ranges to choose from, finest first, and the least vectors a range should hold.
-RANGES, FILLED = (96, 48, 32, 24, 16, 12, 10, 8, 6), 256
-#: Vectors and queries compared at once, at most about.
-GROUP, ASKED = 8192, 1024
+#: Queries whose true neighbours set the window, and the share of these that it must hold.
+CHECKED, RECALL = 64, 0.95
+#: Ranks in a block of vectors, and in a block of queries (one row in twenty asks, as a rule).
+GROUP, ASKED = 8192, 8 * 8192
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -64,142 +71,204 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Curves:
-    """size: components; norm: the largest; per curve a projection, knots of each axis, a shift and range limits."""
+    """size: components; norm: the largest; per curve a projection, knots of each axis and a shift."""
 
     size: int
     norm: float
     planes: list[np.ndarray]
     knots: list[np.ndarray]
     shifts: list[np.ndarray]
-    limits: list[np.ndarray]
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         y = x / self.norm
         return np.column_stack([y, np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1)))])
 
-    def asked(self, q: np.ndarray) -> np.ndarray:
-        return np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
-
-    def key(self, curve: int, lifted: np.ndarray) -> np.ndarray:
-        y = lifted @ self.planes[curve]
-        knots = self.knots[curve]
-        u = np.column_stack([np.interp(y[:, i], knots[:, i], np.linspace(0, 1, len(knots))) for i in range(y.shape[1])])
-        grid = ((u + self.shifts[curve]) / 1.25 * (1 << BITS)).astype(np.int64)
-        return hilbert(np.clip(grid, 0, (1 << BITS) - 1), BITS)
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """(n, curves) places on the curves."""
+        lifted, out = self.lifted(x), []
+        for plane, knots, shift in zip(self.planes, self.knots, self.shifts, strict=True):
+            y = lifted @ plane
+            u = np.column_stack([np.interp(y[:, i], knots[:, i], np.linspace(0, 1, len(knots))) for i in range(y.shape[1])])
+            grid = ((u + shift) / 1.25 * (1 << BITS)).astype(np.int64)
+            out.append(hilbert(np.clip(grid, 0, (1 << BITS) - 1), BITS))
+        return np.column_stack(out)
 
-    def ranges(self, lifted: np.ndarray) -> np.ndarray:
-        """(n, curves) range numbers."""
-        return np.column_stack([np.searchsorted(self.limits[c], self.key(c, lifted), side="right") for c in range(len(self.planes))])
 
-
-def fit(sample: np.ndarray, norm: float, total: int, curves: int = CURVES, recall: float = 0.95, k: int = 20, seed: int = 7) -> Curves:
-    """Curves for `total` vectors from a sample of them (two rows at least)."""
+def fit(sample: np.ndarray, norm: float, curves: int = CURVES, seed: int = 7) -> Curves:
+    """Curves from a sample of the vectors (a row at least)."""
     rng = np.random.default_rng(seed)
     size = sample.shape[1]
     dims = min(DIMENSIONS, size + 1)
     planes = [np.linalg.qr(rng.normal(size=(size + 1, size + 1)))[0][:, :dims] for _ in range(curves)]
     shifts = [rng.random(dims) * 0.25 for _ in range(curves)]
-    fitted = Curves(size, norm, planes, [], shifts, [])
+    fitted = Curves(size, norm, planes, [], shifts)
     lifted = fitted.lifted(sample)
     fitted.knots = [np.maximum.accumulate(np.quantile(lifted @ p, np.linspace(0, 1, 65), axis=0) + np.arange(65)[:, None] * 1e-12) for p in planes]
-    keys = np.column_stack([fitted.key(c, lifted) for c in range(curves)])
-    some = np.arange(0, len(sample), max(1, len(sample) // 256))
-    asked = fitted.asked(sample[some])
-    asked_keys = np.column_stack([fitted.key(c, asked) for c in range(curves)])
-    score = sample[some] @ sample.T
-    score[np.arange(len(some)), some] = -np.inf
-    near = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
-    best = None
-    for n in RANGES:
-        if total // n < FILLED:
-            continue
-        limits = [np.unique(np.quantile(keys[:, c], np.arange(1, n) / n, method="lower")) for c in range(curves)]
-        found = np.zeros(near.shape, bool)
-        for c in range(curves):
-            own = np.searchsorted(limits[c], keys[:, c], side="right")
-            ask = np.searchsorted(limits[c], asked_keys[:, c], side="right")
-            found |= np.abs(own[near] - ask[:, None]) <= 1
-        best = limits
-        if found.mean() >= recall:
-            break
-    else:
-        if total // RANGES[-1] < 2 * FILLED or best is None:
-            best = [np.zeros(0, np.int64)] * curves  # few vectors: one range, all of them
-    fitted.limits = best
     return fitted
 
 
-def nearest(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of `held` for each of `asked` (vec_id, vec as float64 bytes): query_id, vec_id, score."""
-    none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+def windows(apart: np.ndarray, total: int, recall: float = RECALL) -> tuple[int, int]:
+    """(curves, window): the cheapest choice that holds `recall` of the neighbours.
+
+    apart: (neighbours, curves) how many ranks each lies from its query. No choice costs more than
+    one curve whose window is the whole table.
+    """
+    best = (total, 1, total)
+    for c in range(1, apart.shape[1] + 1 if len(apart) else 1):
+        nearest_ = np.sort(apart[:, :c].min(axis=1))
+        width = int(nearest_[int(np.ceil(recall * len(nearest_))) - 1])
+        best = min(best, (c * min(total, 2 * width + 1), c, width))
+    return best[1], best[2]
+
+
+def matrix(vecs: pd.Series | list[bytes], size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs), np.float64).reshape(-1, size)
+
+
+def nearest(asked: pd.DataFrame, held: pd.DataFrame, k: int, width: int, size: int) -> pd.DataFrame:
+    """The k best of `held` within `width` ranks of each of `asked` (vec_id, at, vec as float64 bytes): query_id, vec_id, score."""
+    out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
     if not len(asked) or not len(held):
-        return none
-    # Of equal vectors the k+1 smallest ids can matter (one may be the query's own).
-    held = held.sort_values("vec_id").drop_duplicates()
-    held = held[held.groupby("vec").cumcount() <= k]
-    x = np.frombuffer(b"".join(held["vec"]), np.float64).reshape(len(held), -1)
-    ids = held["vec_id"].to_numpy()
-    q = np.frombuffer(b"".join(asked["vec"]), np.float64).reshape(len(asked), -1)
-    out = []
-    rough = q @ x.T
-    for i, query in enumerate(asked["vec_id"].to_numpy()):
-        s = rough[i]
-        s[ids == query] = -np.inf
-        take = min(k, len(s))
-        least = np.partition(s, len(s) - take)[len(s) - take]
-        some = np.flatnonzero((s >= least - 1e-9 * max(1.0, abs(least))) & (s > -np.inf)) if least > -np.inf else np.flatnonzero(s > -np.inf)
-        exact = (x[some] * q[i]).sum(axis=1)
-        order = np.lexsort((ids[some], -exact))[:k]
-        out.append(pd.DataFrame({"query_id": query, "vec_id": ids[some][order], "score": exact[order]}))
-    return pd.concat(out) if out else none
-
-
-def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, recall: float = 0.95) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row of (vec_id, embedding) that is_query marks."""
-    spark = vectors.sparkSession
+        return out[0]
+    held = held.sort_values("at")
+    x, ids, at = matrix(held["vec"], size), held["vec_id"].to_numpy(), held["at"].to_numpy()
+    q, mine = matrix(asked["vec"], size), asked["at"].to_numpy()
+    low, high = np.searchsorted(at, mine - width), np.searchsorted(at, mine + width, side="right")
+    for begin in range(0, len(q), 512):
+        rough = q[begin : begin + 512] @ x.T
+        for i, query in enumerate(asked["vec_id"].to_numpy()[begin : begin + 512], begin):
+            own = slice(low[i], high[i])
+            s = np.where(ids[own] == query, -np.inf, rough[i - begin, own])
+            # Equal ids count once, so as many more are looked at as ids repeat here.
+            take = min(k + len(s) - len(np.unique(ids[own])), len(s))
+            if not take:
+                continue
+            least = np.partition(s, len(s) - take)[len(s) - take]
+            some = np.flatnonzero((s >= least - 1e-9 * max(1.0, abs(least))) & (s > -np.inf)) if least > -np.inf else np.flatnonzero(s > -np.inf)
+            exact, found = (x[own][some] * q[i]).sum(axis=1), ids[own][some]
+            order = np.lexsort((found, -exact))
+            _, first = np.unique(found[order], return_index=True)
+            order = order[np.sort(first)][:k]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": found[order], "score": exact[order]}))
+    return pd.concat(out)
+
+
+def keyed(vectors: DataFrame, is_query, k: int, curves: int) -> tuple[DataFrame, int] | None:
+    """((uid, vec_id, ask, held, vec, keys), components) of the rows that take part; held: may be a neighbour."""
     v = F.col("embedding").cast("array<double>")
     fine = vectors.select(F.col("vec_id").cast("long"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask")).filter("vec_id is not null and v is not null")
     fine = fine.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
-    norms = fine.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0d, (a, x) -> a + x * x)")).alias("norm"))
-    sizes = norms.orderBy(F.desc("n"), "size").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes or sizes[0]["n"] < 2:
-        return spark.createDataFrame([], schema)
-    size, total, norm = sizes[0]["size"], sizes[0]["n"], float(np.sqrt(sizes[0]["norm"]))
-    fine = fine.filter(F.size("v") == size)
+    whole = fine.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size"), F.max(F.expr("aggregate(v, 0d, (a, x) -> a + x * x)")).alias("norm")).first()
+    total, size = whole["n"], whole["size"]
+    if total < 2:
+        return None
     share = min(1.0, SAMPLE / total)
-    draw = fine.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < round(share * 1_000_000)).select("vec_id", "v").orderBy("vec_id").limit(2 * SAMPLE).collect()
-    sample = np.array([r["v"] for r in draw]) if len(draw) > 1 else np.array([r["v"] for r in fine.select("v").limit(64).collect()])
-    model = spark.sparkContext.broadcast(fit(sample, norm, total, curves, recall, k))
+    draw = fine.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < max(1, round(share * 1_000_000))).select("vec_id", "v").orderBy("vec_id").limit(2 * SAMPLE).collect()
+    rows = [r["v"] for r in draw] or [r["v"] for r in fine.select("v").limit(64).collect()]
+    sample = np.zeros((len(rows), size))
+    for i, r in enumerate(rows):
+        sample[i, : len(r)] = r
+    model = vectors.sparkSession.sparkContext.broadcast(fit(sample, float(np.sqrt(whole["norm"])), curves))
 
     def place(batches):
-        m = model.value
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column("v").flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
-                own, ask = m.ranges(m.lifted(x)), m.ranges(m.asked(x))
-                lists = [pa.array(list(a.astype(np.int32)), pa.list_(pa.int32())) for a in (own, ask)]
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("ask"), pa.array([r.tobytes() for r in x], pa.binary()), *lists], names=["vec_id", "ask", "vec", "own", "near"])
-
-    placed = staged(fine.mapInArrow(released(place), "vec_id long, ask boolean, vec binary, own array<int>, near array<int>"), "placed")
-    held = placed.select("vec_id", "vec", F.posexplode("own").alias("curve", "at"))
-    asked = placed.filter("ask").select("vec_id", "vec", F.posexplode("near").alias("curve", "mid")).select("vec_id", "vec", "curve", F.explode(F.array(F.col("mid") - 1, F.col("mid"), F.col("mid") + 1)).alias("at"))
-    # How many groups each range is dealt to: at most curves * RANGES[0] rows.
-    counts = held.groupBy("curve", "at").agg(F.count("*").alias("n")).join(asked.groupBy("curve", "at").agg(F.count("*").alias("q")), ["curve", "at"]).collect()
-    deal = {(r["curve"], r["at"]): (-(-r["n"] // GROUP), -(-r["q"] // ASKED)) for r in counts}
-    if not deal:
-        return spark.createDataFrame([], schema)
-    lookup = spark.createDataFrame([(c, a, h, q) for (c, a), (h, q) in deal.items()], "curve int, at int, h int, q int")
-    turn = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lookup = F.broadcast(lookup)  # at most CURVES * RANGES[0] rows
-    held = held.join(lookup, ["curve", "at"]).select("curve", "at", turn("h").alias("hs"), every("q").alias("qs"), F.lit(False).alias("ask"), "vec_id", "vec")
-    asked = asked.join(lookup, ["curve", "at"]).select("curve", "at", turn("q").alias("qs"), every("h").alias("hs"), F.lit(True).alias("ask"), "vec_id", "vec")
+                lists = batch.column("v")
+                sizes = np.asarray(lists.value_lengths())
+                x = np.zeros((batch.num_rows, size))
+                x[np.arange(size)[None, :] < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+                keys = pa.array(list(model.value.keys(x)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("ask"), pa.array([r.tobytes() for r in x], pa.binary()), keys], names=["vec_id", "ask", "vec", "keys"])
+
+    placed = fine.mapInArrow(released(place), "vec_id long, ask boolean, vec binary, keys array<long>")
+    placed = staged(placed.select(F.monotonically_increasing_id().alias("uid"), "*", F.md5("vec").alias("h")), "placed")
+    # The (k+1)th smallest id of each vector that more ids than that carry. The ranking is limited before its shuffle.
+    turn = F.row_number().over(W.partitionBy("h").orderBy("vec_id"))
+    last = staged(placed.select("h", "vec_id").distinct().withColumn("turn", turn).filter(F.col("turn") <= k + 1).filter(F.col("turn") == k + 1).select("h", F.col("vec_id").alias("last")), "last")
+    held = F.col("last").isNull() | (F.col("vec_id") <= F.col("last"))
+    return placed.join(last, "h", "left").select("uid", "vec_id", "ask", held.alias("held"), "vec", "keys").filter("held OR ask"), size
+
+
+def ranked(rows: DataFrame, curves: int) -> DataFrame:
+    """(uid, curve, at): each row's rank on each curve, from 0, by range partitions and their sizes."""
+    each = rows.select("uid", "vec_id", F.posexplode("keys").alias("curve", "key"))
+    parts = max(curves, rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = each.repartitionByRange(parts, "curve", "key", "vec_id", "uid").sortWithinPartitions("curve", "key", "vec_id", "uid")
+    place = F.monotonically_increasing_id()
+    kept = staged(sorted_.select("uid", "curve", F.shiftrightunsigned(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "order")
+    counts = sorted((r["part"], r["n"]) for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row per partition
+    total = sum(n for _, n in counts)
+    before = np.concatenate([[0], np.cumsum([n for _, n in counts])])
+    offsets = rows.sparkSession.createDataFrame([(int(p), int(b)) for (p, _), b in zip(counts, before, strict=False)] or [(0, 0)], "part long, before long")
+    at = F.col("i") + F.col("before") - F.col("curve") * (total // curves)
+    return kept.join(F.broadcast(offsets), "part").select("uid", "curve", at.alias("at"))  # a row per partition
+
+
+def true_neighbours(rows: DataFrame, k: int, size: int, checked: int) -> list[tuple[int, int]]:
+    """(query's uid, neighbour's uid) of the exact k nearest of `checked` queries: one scan, k rows a query from each task."""
+    some = rows.filter("ask").orderBy(F.xxhash64("uid")).limit(checked).select("uid", "vec_id", "vec").collect()
+    if not some:
+        return []
+    shared = rows.sparkSession.sparkContext.broadcast([(r["uid"], r["vec_id"], bytes(r["vec"])) for r in some])
+
+    def scan(batches):
+        q = matrix([v for _, _, v in shared.value], size)
+        best = None
+        for batch in batches:
+            x = matrix(batch.column("vec").to_pylist(), size)
+            ids = batch.column("vec_id").to_numpy()
+            s = q @ x.T
+            s[ids[None, :] == np.array([i for _, i, _ in shared.value])[:, None]] = -np.inf
+            uid = np.broadcast_to(batch.column("uid").to_numpy(), s.shape)
+            if best is not None:
+                s, uid = np.hstack([best[0], s]), np.hstack([best[1], uid])
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(s, top, 1), np.take_along_axis(uid, top, 1)
+        if best is not None:
+            own = np.repeat([u for u, _, _ in shared.value], best[0].shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(best[1].ravel(), pa.int64()), pa.array(best[0].ravel(), pa.float64())], names=["query", "uid", "score"])
+
+    found = rows.filter("held").select("uid", "vec_id", "vec").mapInArrow(released(scan), "query long, uid long, score double").filter("score > double('-infinity')")
+    turn = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "uid"))
+    return [(r["query"], r["uid"]) for r in found.withColumn("turn", turn).filter(F.col("turn") <= k).collect()]
+
+
+def chosen(rows: DataFrame, order: DataFrame, total: int, k: int, size: int, curves: int, recall: float) -> tuple[int, int]:
+    """The number of curves and the window that the checked queries ask for."""
+    pairs = true_neighbours(rows, k, size, CHECKED)
+    names = sorted({u for p in pairs for u in p})
+    wanted = rows.sparkSession.createDataFrame([(u,) for u in names], "uid long")  # at most CHECKED * (k + 1) rows
+    at = {(r["uid"], r["curve"]): r["at"] for r in order.join(F.broadcast(wanted), "uid").collect()}
+    apart = np.array([[abs(at[q, c] - at[u, c]) for c in range(curves)] for q, u in pairs], np.int64).reshape(-1, curves)
+    return windows(apart, total, recall)
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, recall: float = RECALL, told: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row of (vec_id, embedding) that is_query marks.
+
+    told, where given, receives the curves, the window and the share of the table that a query meets.
+    """
+    spark = vectors.sparkSession
+    made = keyed(vectors, is_query, k, curves)
+    if made is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows, size = staged(made[0], "keyed"), made[1]
+    total = rows.count()
+    order = ranked(rows, curves)
+    used, width = chosen(rows, order, total, k, size, curves, recall)
+    if told is not None:
+        told.update(curves=used, window=width, share=used * min(total, 2 * width + 1) / total)
+    placed = order.filter(F.col("curve") < used).join(rows.select("uid", "vec_id", "ask", "held", "vec"), "uid")
+    span = lambda a, b, n: F.explode(F.sequence(F.floor(F.greatest(F.lit(0), a) / n), F.floor(F.least(F.lit(total - 1), b) / n)))
+    low, high = F.col("at") - width, F.col("at") + width
+    own = ["curve", "at", "vec_id", "vec"]
+    held = placed.filter("held").select(*own, F.lit(False).alias("ask"), F.floor(F.col("at") / GROUP).alias("block"), span(low, high, ASKED).alias("queries"))
+    asked = placed.filter("ask").select(*own, F.lit(True).alias("ask"), span(low, high, GROUP).alias("block"), F.floor(F.col("at") / ASKED).alias("queries"))
 
     def meet(df: pd.DataFrame) -> pd.DataFrame:
-        return nearest(df.loc[df["ask"], ["vec_id", "vec"]], df.loc[~df["ask"], ["vec_id", "vec"]], k)
+        return nearest(df[df["ask"]], df[~df["ask"]], k, width, size)
 
-    found = held.unionByName(asked).groupBy("curve", "at", "hs", "qs").applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = held.unionByName(asked).groupBy("curve", "block", "queries").applyInPandas(meet, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -240,25 +240,39 @@ def test_alignment_sees_order():
     assert omh.aligned(a, a + 1000) == 0.0
 
 
+def recall_of(frame, ids, x, told):
+    from pyspark.sql import functions as F
+
+    got = collections.defaultdict(list)
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, told=told).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[i]).sum(axis=1)
+        s[i] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        mine = got[ids[i]]
+        assert len(mine) == 20 and mine == sorted(mine, key=lambda m: (-m[1], m[0]))
+        hits.append(len({m[0] for m in mine} & set(ids[best])) / 20)
+    return np.mean(hits)
+
+
 def test_neighbours_reach_their_recall(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     d = df.toPandas()
     ids, x = d.vec_id.to_numpy(), np.array(d.embedding.tolist(), float)
-    wide = np.concatenate([x, np.random.default_rng(1).normal(size=(6000, x.shape[1]))])
-    big = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<double>")
-    for frame, ids, x in ((df, ids, x), (big, np.arange(len(wide)), wide)):
-        got = collections.defaultdict(list)
-        for r in ann.op4_ann(frame).orderBy("query_id", "rank").collect():
-            got[r["query_id"]].append((r["vec_id"], r["score"]))
-        hits = []
-        for i in np.flatnonzero(ids % 20 == 0):
-            s = (x * x[i]).sum(axis=1)
-            s[i] = -np.inf
-            best = np.lexsort((ids, -s))[:20]
-            mine = got[ids[i]]
-            assert len(mine) == 20 and mine == sorted(mine, key=lambda m: (-m[1], m[0]))
-            hits.append(len({m[0] for m in mine} & set(ids[best])) / 20)
-        assert np.mean(hits) >= 0.9
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    told = {}
+    assert recall_of(df, ids, x, told) >= 0.9 and told["share"] <= 1
+    # Clustered vectors: windows hold a small share of the table, at two sizes; and a vector that a third of the rows carry.
+    rng = np.random.default_rng(1)
+    for n in (4000, 12_000):
+        centres = rng.normal(size=(n // 100, 32)) * 2
+        x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 32)) * 0.3
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        if n == 4000:
+            x[rng.random(n) < 0.33] = x[0]
+        assert recall_of(frame(x), np.arange(n), x, told) >= 0.9 and told["share"] < 0.5, told
 
 
 def test_hilbert_steps_to_neighbours():
