@@ -116,15 +116,27 @@ def test_substrings_match_brute_force(spark, docs):
 
 
 def test_index_takes_batches_and_compacts(spark):
-    index = substring.FingerprintIndex(spark, fanout=3)
+    index = substring.FingerprintIndex(spark, fanout=3, buckets=4)
     one = " ".join(f"w{i}" for i in range(60))
     frames = [spark.createDataFrame([(t,)], "text string") for t in (one, " ".join(f"v{i}" for i in range(60)), "new " + one)]
-    index.add(frames[0])
-    assert index.seen(frames[1]).count() == 0 and index.seen(frames[2]).count() > 0
-    index.add(frames[1])
-    assert len(index.runs) == 2 and index.history().filter("n > 1").count() == 0
-    index.add(frames[2])
-    assert len(index.runs) == 1 and index.repeated().count() > 0
+    assert index.add(frames[0]).count() == 0
+    assert index.add(frames[1]).count() == 0 and len(index.runs) == 2
+    assert index.add(frames[2]).count() > 0 and len(index.runs) == 1
+    assert spark.table(index.runs[0]).filter("n > 1").count() > 0
+    assert index.add(frames[1]).count() > 0 and len(index.runs) == 2
+    # History is joined where it lies: its side of the merge join has no exchange.
+    plan = spark.table(index.runs[1]).hint("merge").join(spark.table(index.runs[0]), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.drop(index.runs)
+
+
+def test_batches_give_what_the_whole_gives(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[a : a + n]) + f" only{j}" for j, (a, n) in enumerate(rng.integers(0, 120, (50, 2)))] + [None, "", " ".join(["ha"] * 80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(df, batches=3).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_windows(texts, 35)
 
 
 def labels_of(texts):
