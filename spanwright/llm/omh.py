@@ -249,7 +249,7 @@ def profiles(texts: DataFrame, counts: np.ndarray, k: int = K, least: float = LE
 
 
 def stars(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b): each text of a bucket and the bucket's most typical one. rows: bucket, tkey, n, score."""
+    """(a, b): each text of a bucket and the bucket's most typical one. rows: bucket, tkey, n, score, staged."""
     heads = staged(rows.groupBy("bucket").agg(F.max(F.struct("score", "tkey", "n")).alias("h")).select("bucket", F.col("h.tkey").alias("b"), F.col("h.n").alias("m")), "heads")
     met = rows.join(heads, "bucket").filter((F.col("tkey") != F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9))
     return met.select(F.least("tkey", "b").alias("a"), F.greatest("tkey", "b").alias("b")).distinct()
@@ -260,14 +260,13 @@ def size_class(n: F.Column) -> F.Column:
     return F.floor(F.log2(n) * 32).cast("int")
 
 
-def splits(rows: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(longer, shorter): what texts (tkey, n, score, class, prefix) offer, by label and size class.
+def splits(each: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(longer, shorter): what texts offer (tkey, n, score, class, label, place), by label and size class.
 
     A pair meets with its longer text in the first part and its shorter one in the second. The
     longer one names the classes of the sizes that its place of the label allows, so texts that
     share common labels only do not meet at all.
     """
-    each = rows.select("tkey", "n", "score", "class", F.explode("prefix").alias("p")).select("tkey", "n", "score", "class", F.col("p.label").alias("label"), F.col("p.place").alias("place"))
     low = F.ceil(F.col("n") * least - 1e-9)
     high = F.least("n", F.floor((F.col("n") - F.col("place")) * ((1 + least) / least) - F.col("n") + 1e-9))
     longer = each.withColumn("low", low).withColumn("high", high).filter("low <= high AND high > 0")
@@ -284,15 +283,15 @@ def pairs_of(x: DataFrame, y: DataFrame, least: float = LEAST) -> DataFrame:
     fit = (F.col("x_place") <= F.col("x_n") - both) & (F.col("y_place") <= F.col("y_n") - both)
     order = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_tkey") > F.col("y_tkey")))
     met = one.join(two, ["label", "size"]).filter((F.col("x_class") != F.col("y_class")) & fit & order)
-    return met.select(F.least("x_tkey", "y_tkey").alias("a"), F.greatest("x_tkey", "y_tkey").alias("b")).distinct()
+    return met.select(F.least("x_tkey", "y_tkey").alias("a"), F.greatest("x_tkey", "y_tkey").alias("b"))
 
 
 def mixed(longer: DataFrame, shorter: DataFrame) -> DataFrame:
     """(label, size, main): where texts of several classes meet, and the class that most of them have."""
     each = longer.select("label", "size", "class", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(shorter.select("label", "size", "class", F.lit(0).alias("x"), F.lit(1).alias("y")))
     per = each.groupBy("label", "size", "class").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    found = per.groupBy("label", "size").agg(F.count("*").alias("k"), F.max(F.struct(F.col("x") + F.col("y"), "class")).alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    return found.filter("k > 1 AND x > 0 AND y > 0").select("label", "size", F.col("m.class").alias("main"))
+    found = per.groupBy("label", "size").agg(F.count("*").alias("k"), F.max_by("class", F.col("x") + F.col("y")).alias("main"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return found.filter("k > 1 AND x > 0 AND y > 0").select("label", "size", "main")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:
@@ -351,41 +350,48 @@ def linked(docs: DataFrame, texts: DataFrame, k: int = K, least: float = LEAST)
     classes that is left was compared wherever it could be linked.
     """
     rows = members(texts.filter(F.size("entries") > 0))
-    keys = rows.select("tkey", "n").distinct()
+    keys = staged(rows.select("tkey", "n").distinct(), "involved")
     total = keys.agg(F.sum("n")).first()[0]
     if not total:
         return docs.sparkSession.createDataFrame([], "tkey binary, root binary")
     own = staged(wanted(docs, keys), "wanted")
     known = staged(profiles(own, frequencies(own, total, k), k, least), "profiles")
-    pairs = staged(stars(rows.join(known.select("tkey", "score"), "tkey"), least), "pairs")
+    pairs = staged(stars(staged(rows.join(known.select("tkey", "score"), "tkey"), "scored"), least), "pairs")
     roots = components(verify(pairs, own, k, least))
 
     def classed(rows: DataFrame) -> DataFrame:
-        return rows.join(roots.withColumnRenamed("root", "class"), "tkey", "left").withColumn("class", F.coalesce("class", "tkey"))
-
-    spread = classed(rows.select("bucket", "tkey"))
-    open_ = spread.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("bucket")
-    left = spread.join(staged(open_, "open"), "bucket", "left_semi").select("tkey").distinct()
-    some = staged(known.filter(F.size("prefix") > 0).join(left, "tkey", "left_semi"), "some")
+        """+ class, as a number: a hash of the root's key."""
+        return rows.join(roots, "tkey", "left").withColumn("class", F.xxhash64(F.coalesce("root", "tkey"))).drop("root")
+
+    several = F.min("class") != F.max("class")
+    spread = staged(classed(rows.select("bucket", "tkey")), "spread")
+    open_ = staged(spread.groupBy("bucket").agg(several.alias("open")).filter("open").select("bucket"), "open")
+    left = spread.join(open_, "bucket", "left_semi").select("tkey", "class").distinct()
+    each = staged(known.join(left, "tkey").select("tkey", "n", "score", "class", F.explode("prefix").alias("p")).select("tkey", "n", "score", "class", "p.*"), "labels")
+    where = staged(each.groupBy("label").agg(several.alias("open")).filter("open").select("label"), "met")
+    each = staged(each.join(where, "label"), "labels")
     for whole in (False, True):
-        longer, shorter = splits(staged(classed(some), "classed"), least)
-        where = staged(mixed(longer, shorter), "mixed")
-        x, y = longer.join(where, ["label", "size"]), shorter.join(where, ["label", "size"])
+        longer, shorter = splits(each, least)
         if whole:
+            main = staged(mixed(longer, shorter), "mixed")
+            x, y = longer.join(main, ["label", "size"]), shorter.join(main, ["label", "size"])
             odd = F.col("class") != F.col("main")
-            found = pairs_of(x.filter(odd), y, least).unionByName(pairs_of(x.filter(~odd), y.filter(odd), least)).distinct()
+            found = pairs_of(x.filter(odd), y, least).unionByName(pairs_of(x.filter(~odd), y.filter(odd), least))
         else:
-            found = pairs_of(x, heads_of(y), least).unionByName(pairs_of(heads_of(x), y, least)).distinct()
-        fresh = staged(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
+            found = pairs_of(longer, heads_of(shorter), least).unionByName(pairs_of(heads_of(longer), shorter, least))
+        fresh = staged(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
-            links = verify(fresh, own, k, least).select("a", "b").unionByName(roots.select(F.col("tkey").alias("a"), F.col("root").alias("b")))
-            roots, pairs = components(links), pairs.unionByName(fresh)
+            links = staged(verify(fresh, own, k, least).select("a", "b"), "links")
+            if not links.isEmpty():
+                roots = components(links.unionByName(roots.select(F.col("tkey").alias("a"), F.col("root").alias("b"))))
+                each = staged(classed(each.drop("class")), "labels")
+            pairs = pairs.unionByName(fresh)
     return roots
 
 
 def heads_of(side: DataFrame) -> DataFrame:
     """The most typical text of each label and size class."""
-    rest = [c for c in side.columns if c not in ("label", "size", "score", "main")]
+    rest = [c for c in side.columns if c not in ("label", "size", "score")]
     return side.groupBy("label", "size").agg(F.max(F.struct("score", *rest)).alias("h")).select("label", "size", "h.*")
 
 

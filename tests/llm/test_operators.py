@@ -237,7 +237,7 @@ def test_every_pair_that_can_link_shares_a_rare_label_early(spark):
     texts = [f"{t} t{i}" for i, t in enumerate(crowd(rng)[::4])]
     df = spark.createDataFrame([(omh.digest(t), t) for t in texts], "tkey binary, text string")
     known = omh.profiles(df, omh.frequencies(df, 40_000))
-    longer, shorter = omh.splits(known.withColumn("class", known["tkey"]))
+    longer, shorter = omh.splits(known.selectExpr("tkey", "n", "score", "xxhash64(tkey) AS class", "explode(prefix) AS p").select("tkey", "n", "score", "class", "p.*"))
     got = {(bytes(r["a"]), bytes(r["b"])) for r in omh.pairs_of(longer, shorter).collect()}
     labels, keys = labels_of(texts), [omh.digest(t) for t in texts]
     links = {tuple(sorted((keys[i], keys[j]))) for i, j in close_pairs(labels) if similar(labels[i], labels[j])}
