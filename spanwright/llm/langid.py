@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, released
+from .common import blocks, held_out, released, staged
 
-SAMPLE = 12_000
+#: Documents in the training sample, at most about; languages learned, the commonest first.
+SAMPLE, LANGS = 12_000, 1_000
 #: What is added to each count.
 ADDED = 0.5
 #: Lexicon entries per language; n-grams per language and length; longest n-gram.
@@ -97,7 +98,7 @@ def quotas(per: dict[str, int], sample: int) -> dict[str, float]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     marked = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    per = {r["lang"]: r["n"] for r in marked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per = {r["lang"]: r["n"] for r in marked.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not per:
         return Model([], {}, [{} for _ in range(LONGEST + 1)], np.zeros((0, 0)), np.zeros(0))
     # A language is drawn below its share of the range of a hash; one that is drawn whole has all of it.
@@ -106,7 +107,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     shares = F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, _below long"))
     some = marked.select("doc_id", "lang", "text").join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(range_)) < F.col("_below"))
     units = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("unit"))
-    words = units.groupBy("lang", "unit").agg(F.count("*").alias("n")).withColumn("len", F.lit(0))
+    words = staged(units.groupBy("lang", "unit").agg(F.count("*").alias("n")), "words").withColumn("len", F.lit(0))
     marked_word = F.concat(F.lit("<"), "unit", F.lit(">"))
     pieces = words.select("lang", "n", marked_word.alias("m"), F.explode(F.array(*[F.lit(k) for k in range(1, LONGEST + 1)])).alias("len")).filter("length(m) >= len")
     pieces = pieces.select("lang", "n", "len", F.explode(F.expr("transform(sequence(1, length(m) - len + 1), i -> substring(m, i, len))")).alias("unit"))

@@ -105,11 +105,11 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: documents with their own columns, each as often as it is taken (0, 1, 2 ...)."""
-    p = plan(staged(sized(docs), "mix-sizes"), weights, share, most).withColumnRenamed("source", "_s")
-    more = F.coalesce((drawn(docs) <= F.col("threshold")).cast("int"), F.lit(0))
-    joined = docs.join(p.select("_s", "base", "threshold"), F.col("source").eqNullSafe(F.col("_s")))
-    copies = joined.select(*[docs[c] for c in docs.columns], (F.col("base") + more).alias("_copies")).filter("_copies > 0")
-    return copies.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    p = plan(staged(sized(docs), "mix-sizes"), weights, share, most).select(F.col("source").alias("s"), "base", "threshold")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), drawn(docs).alias("h"))  # whatever the columns' names
+    more = F.coalesce((F.col("h") <= F.col("threshold")).cast("int"), F.lit(0))
+    copies = rows.join(p, F.col("row.source").eqNullSafe(F.col("s"))).select("row", (F.col("base") + more).alias("copies")).filter("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op6_mix(docs: DataFrame) -> DataFrame:

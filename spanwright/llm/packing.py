@@ -43,8 +43,9 @@ def byte_letters() -> dict[str, int]:
 class Encoder:
     """Token ids as the `tokenizers` library gives them for a byte-level BPE file.
 
-    The same vocabulary and merges run in tiktoken where the file allows it (ids in merge order, no
-    special token's string in the text), else in `tokenizers` itself; both give equal ids.
+    The same vocabulary and merges run in tiktoken where the file allows it (ids in merge order, the
+    plain byte-level split, no normalizer, no special token's string in the text), else in
+    `tokenizers` itself; both give equal ids.
     """
 
     def __init__(self, path: str):
@@ -56,7 +57,9 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"].get("merges", [])]
-        if all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
+        split = spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer") and not spec["model"].get("ignore_merges")
+        if plain and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
             import tiktoken
 
             ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in self.special}
@@ -68,8 +71,8 @@ class Encoder:
                 if len(text) > 200_000:
                     return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
                 return np.array(self.fast.encode_ordinary(text), "<u4")
-            except BaseException as error:  # its regex gives up on some very long runs
-                if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+            except BaseException as error:  # its regex gives up on some very long runs, by a panic that is no Exception
+                if not isinstance(error, ValueError) and type(error).__name__ != "PanicException":
                     raise
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 

@@ -1,18 +1,21 @@
 """PII surrogates: keyed, type-consistent, format-preserving replacements.
 
 Detected entities are replaced by a keyed permutation of all strings of their own format: digits
-stay digits, letters stay letters of their case, card numbers keep their checksum, country codes and
-domain endings stay. A permutation cannot merge two entities nor map one to itself, and depends on
-the key alone, so the same entity gets the same surrogate in every document and every run. Names
-become pronounceable names of the same script, given names with an ending for the gender that the
-title shows; a surname keeps one surrogate with or without title or given name.
-
-A collision check then runs over all distinct entities: should two share a surrogate (or one hit
-another original of the corpus), the later one is drawn anew.
+stay digits, letters stay letters of their case, card and account numbers keep their checksums,
+country codes and domain endings stay. A permutation cannot merge two entities nor map one to itself,
+and depends on the key alone, so the same entity gets the same surrogate in every document and every
+run. Names become pronounceable names of the same script, given names with an ending for the gender
+that a title in the document shows (none: a neutral ending); a surname keeps one surrogate with or
+without title or given name.
+
+A collision check then runs over all distinct entities: should two of a kind share a surrogate, or a
+surrogate be another original of its kind in the corpus, it is drawn anew, until none is left; an
+entity that cannot be settled in ATTEMPTS draws fails the job rather than pass. Draws are kept as a
+table and meet the documents that hold such an entity in a join.
 
 Defined results: null text stays null, empty stays empty; a text without entities is returned
 unchanged; repeated rows are replaced alike; an empty table gives no rows; other columns are kept
-by `surrogates`.
+by `surrogates`, but for one named `entities`.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ import hmac
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blocks, released
+from . import bitmap
+from .common import blocks, released, staged
 
 #: Titles before a name, by the gender they show (fixed values).
 TITLES = {
@@ -53,7 +59,11 @@ PATTERNS = [
     ("PHONE", re.compile(r"(?<![\w.])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)")),
     ("PHONE", re.compile(r"(?<![\w.])(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)")),
 ]
-_HINT = re.compile(r"[0-9@]")
+#: What every match of PATTERNS holds: a digit, an @, or the beginning of a key.
+_HINT = re.compile(r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-")
+#: Words that a name can be, and what joins their parts.
+_NAME = re.compile(rf"(?<!\w){_CAP}(?!\w)")
+_JOIN = re.compile(r"['’-]")
 
 KINDS = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
 
@@ -153,6 +163,12 @@ def checksum(digits: str) -> int:
     return -total % 10
 
 
+def remainder(account: str) -> int:
+    """An account number modulo 97, its first four characters last, letters as 10 to 35."""
+    plain = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
 def name_part(word: str, key: bytes, kind: str, gender: str) -> str:
     """A pronounceable word of the same script; distinct words give distinct results."""
     low = word.lower()
@@ -227,7 +243,14 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
     if kind == "SSN":
         return refill(text, same_form(digits, key, kind))
     if kind == "IBAN":
-        return text[:2] + same_form(text[2:], key, kind)
+        if remainder(text) == 1:
+            body = same_form(text[4:], key, kind)
+            return f"{text[:2]}{98 - remainder(text[:2] + '00' + body):02d}{body}"
+        new = text
+        while True:  # stay among the numbers whose check digits are wrong
+            new = text[:2] + same_form(new[2:], key, "NUMBER" + text[:2])
+            if remainder(new) != 1:
+                return new
     if kind == "KEY":
         lead = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-", text)[0]
         return lead + same_form(text[len(lead) :], key, kind + lead)
@@ -236,18 +259,34 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
     return same_form(text, key, kind)
 
 
+def mentions(text: str, known: dict[str, str]):
+    """(start, end, kind) of the known names, as words or as parts of joined words, the longest first."""
+    for m in _NAME.finditer(text):
+        edges = [m.start(), *(m.start() + j.end() for j in _JOIN.finditer(m[0])), m.end() + 1]
+        i = 0
+        while i < len(edges) - 1:
+            for j in range(len(edges) - 1, i, -1):
+                kind = known.get(text[edges[i] : edges[j] - 1])
+                if kind:
+                    yield edges[i], edges[j] - 1, kind
+                    i = j
+                    break
+            else:
+                i += 1
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order, without overlaps."""
     found: list[tuple[int, int, str]] = []
     if _HINT.search(text):
-        taken: list[tuple[int, int]] = []
+        taken = bytearray(len(text))
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):
                 a, b = m.span(m.lastindex or 0)
                 if kind == "IP" and any(int(x) > 255 for x in m[0].split(".")):
                     continue
-                if not any(a < d and c < b for c, d in taken):
-                    taken.append((a, b))
+                if not any(taken[a:b]):
+                    taken[a:b] = b"\1" * (b - a)
                     found.append((a, b, kind))
     known: dict[str, str] = {}
     for pattern in (_PERSON, _NAMED):
@@ -258,11 +297,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             two = m[5] and m[5] not in _GENDER and (m[5][0].isupper() or m[5][0].lower() == m[5][0].upper())
             parts = [(3, f"GIVEN:{gender}"), (5, "SURNAME")] if two else [(3, "SURNAME")]
             for g, kind in parts:
-                known.setdefault(m[g], kind)
+                if known.setdefault(m[g], kind).endswith(":u"):
+                    known[m[g]] = kind  # a title elsewhere in the text tells the gender
                 found.append((*m.span(g), kind))
     if known:
-        again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")(?!\w)")
-        found += [(*m.span(), known[m[0]]) for m in again.finditer(text)]
+        found = [(a, b, known.get(text[a:b], kind) if kind.startswith("GIVEN") else kind) for a, b, kind in found]
+        found += mentions(text, known)
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for a, b, kind in found:
@@ -279,11 +319,16 @@ def normal(kind: str, text: str) -> str:
     return re.sub(r"\D", "", text) if kind in ("CARD", "PHONE", "SSN") else text
 
 
-def replace(text: str, key: bytes, redrawn: dict[tuple[str, str], int]) -> tuple[str, list[tuple]]:
+def entity_key(kind: str, original: str) -> int:
+    """64 bits that name an entity in bitmaps."""
+    return int.from_bytes(hashlib.md5(f"{kind}\0{original}".encode()).digest()[:8], "big")
+
+
+def replace(text: str, key: bytes, redrawn: dict[tuple[str, str], int] | None = None) -> tuple[str, list[tuple]]:
     """The text with surrogates, and (kind, start, end, surrogate) with places in the new text."""
     parts, spans, at, size = [], [], 0, 0
     for a, b, kind in detect(text):
-        new = surrogate(kind, text[a:b], key, redrawn.get((kind, normal(kind, text[a:b])), 0))
+        new = surrogate(kind, text[a:b], key, redrawn.get((kind, normal(kind, text[a:b])), 0) if redrawn else 0)
         parts += [text[at:a], new]
         size += a - at
         spans.append((kind, size, size + len(new), new))
@@ -292,68 +337,132 @@ def replace(text: str, key: bytes, redrawn: dict[tuple[str, str], int]) -> tuple
     return ("".join(parts) + text[at:], spans) if spans else (text, spans)
 
 
-def entities(docs: DataFrame, key: bytes, redrawn: dict | None = None) -> DataFrame:
-    """All distinct entities: kind, original (normal form), surrogate (normal form)."""
-    moved = redrawn or {}
+ENTITY = "kind string, original string, mention string, attempt int, surrogate string"
+
+
+def entities(docs: DataFrame, key: bytes) -> DataFrame:
+    """All distinct entities by kind and normal form: one mention, and its surrogate's normal form at the first draw."""
 
     def run(batches):
         for batch in blocks(batches, "text"):
-            have = set()
+            have = {}
             for text in batch.column("text").to_pylist():
                 for a, b, kind in detect(text or ""):
-                    old = normal(kind, text[a:b])
-                    have.add((kind, old, normal(kind, surrogate(kind, text[a:b], key, moved.get((kind, old), 0)))))
-            rows = sorted(have)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "original", "surrogate"])
+                    mention = text[a:b]
+                    name = kind, normal(kind, mention)
+                    have[name] = min(mention, have.get(name, mention))
+            rows = [(kind, old, m, 0, normal(kind, surrogate(kind, m, key))) for (kind, old), m in sorted(have.items())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 3 else pa.string()) for i in range(5)], names=["kind", "original", "mention", "attempt", "surrogate"])
 
-    return docs.select("text").mapInArrow(released(run), "kind string, original string, surrogate string").distinct()
+    found = docs.select("text").mapInArrow(released(run), ENTITY)
+    return found.groupBy("kind", "original").agg(F.min(F.struct("mention", "attempt", "surrogate")).alias("x")).select("kind", "original", "x.*")
 
 
-#: More collisions than this mean a broken key or pattern; real ones are next to none.
-MOST_REDRAWN = 10_000
+#: Draws of an entity before the job fails.
+ATTEMPTS = 32
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """Entities to draw anew: those that share their surrogate with an earlier one of their kind."""
+    """(kind, original) to draw anew: those that share their surrogate with a lesser original of their
+    kind, or whose surrogate is an original of their kind."""
     shared = found.groupBy("kind", "surrogate").agg(F.min("original").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return found.join(shared.select("kind", "surrogate", "first"), ["kind", "surrogate"]).filter(F.col("original") != F.col("first")).select("kind", "original")
+    later = found.join(shared, ["kind", "surrogate"]).filter(F.col("original") != F.col("first")).select("kind", "original")
+    taken = found.join(found.select("kind", F.col("original").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "original")
+    return later.unionByName(taken).distinct()
+
+
+def settled(docs: DataFrame, key: bytes) -> DataFrame:
+    """(kind, original, attempt) of the entities that had to be drawn anew; staged."""
+    found = staged(entities(docs, key), "entities")
 
+    def again(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            new = [normal(r["kind"], surrogate(r["kind"], r["mention"], key, r["attempt"] + 1)) for r in rows]
+            tries = [r["attempt"] + 1 for r in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tries, pa.int32()), pa.array(new, pa.string())], names=batch.schema.names)
 
-def surrogates(docs: DataFrame, key: bytes = b"spanwright", check: bool = True) -> DataFrame:
+    for _ in range(ATTEMPTS):
+        clash = staged(collisions(found), "collisions")
+        if clash.isEmpty():
+            return staged(found.filter("attempt > 0").select("kind", "original", "attempt"), "redrawn")
+        names = ["kind", "original", "mention", "attempt", "surrogate"]
+        moved = found.join(clash, ["kind", "original"], "left_semi").select(*names).mapInArrow(again, ENTITY)
+        found = staged(found.join(clash, ["kind", "original"], "left_anti").select(*names).unionByName(moved), "entities")
+    raise ValueError(f"surrogates still collide after {ATTEMPTS} draws")
+
+
+def surrogates(docs: DataFrame, key: bytes, check: bool = True) -> DataFrame:
     """docs with surrogates in `text`, + entities (KINDS). check: look for collisions first, and redraw."""
-    redrawn: dict[tuple[str, str], int] = {}
-    for attempt in range(1, 9) if check else ():
-        clash = collisions(entities(docs, key, redrawn)).limit(MOST_REDRAWN).collect()
-        if not clash:
-            break
-        redrawn |= {(r["kind"], r["original"]): attempt for r in clash}
     keep = [c for c in docs.columns if c != "entities"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + f", entities {KINDS}"
+    plain = docs.select(*[F.col(f"`{c}`") for c in keep])
     at = keep.index("text")
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
+    few = None
+    if check:
+        moved = settled(docs, key)
+        if not moved.isEmpty():
+            h = F.expr("cast(conv(substring(md5(concat(kind, '\\0', original)), 1, 16), 16, -10) as long)")
+            few = docs.sparkSession.sparkContext.broadcast(bitmap.build(moved.select(h.alias("h")), "h"))
+
+    def hit(text: str | None) -> bool:
+        """Whether the text may hold an entity that was drawn anew."""
+        names = [entity_key(kind, normal(kind, text[a:b])) for a, b, kind in detect(text or "")]
+        return bool(names) and bool(bitmap.passes(np.array(names, np.uint64), few.value).any())
+
+    def put(batch, redrawn):
+        texts, spans = [], []
+        for text, drawn in zip(batch.column(at).to_pylist(), redrawn, strict=True):
+            new, found = replace(text, key, drawn) if text else (text, [])
+            texts.append(new)
+            spans.append([dict(zip(("kind", "start", "end", "surrogate"), s, strict=True)) for s in found])
+        columns = list(batch.columns[: len(keep)])
+        columns[at] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays([*columns, pa.array(spans, spans_type)], names=[*keep, "entities"])
 
     def run(batches):
         for batch in blocks(batches, "text"):
-            texts, spans = [], []
-            for text in batch.column("text").to_pylist():
-                new, found = replace(text, key, redrawn) if text else (text, [])
-                texts.append(new)
-                spans.append([dict(zip(("kind", "start", "end", "surrogate"), s, strict=True)) for s in found])
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, spans_type)], names=[*batch.schema.names, "entities"])
+            if few is not None:
+                batch = batch.filter(pa.array([not hit(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield put(batch, [None] * batch.num_rows)
 
-    return docs.select(*keep).mapInArrow(released(run), schema)
+    schema = T.StructType([*plain.schema, T.StructField("entities", T._parse_datatype_string(KINDS))])
+    out = plain.mapInArrow(released(run), schema)
+    if few is None:
+        return out
 
+    def names(batches):
+        for batch in blocks(batches, "text"):
+            some = batch.filter(pa.array([hit(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            found = [sorted({(kind, normal(kind, t[a:b])) for a, b, kind in detect(t)}) for t in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array([[{"kind": k, "original": o} for k, o in f] for f in found], pa.list_(pa.struct([("kind", pa.string()), ("original", pa.string())])))], names=[*keep, "_names"])
+
+    def late(batches):
+        for batch in blocks(batches, "text"):
+            drawn = [{(x["kind"], x["original"]): x["attempt"] for x in row} for row in batch.column(len(keep)).to_pylist()]
+            yield put(batch, drawn)
 
-def op7_pii(docs: DataFrame) -> DataFrame:
+    # Staged, so that a row's number holds, and keyed by it: rows may be equal.
+    touched = plain.mapInArrow(released(names), T.StructType([*plain.schema, T.StructField("_names", T._parse_datatype_string("array<struct<kind:string,original:string>>"))])).withColumn("_row", F.monotonically_increasing_id())
+    touched = staged(touched.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), "_names", "_row"), "touched")
+    draws = touched.select("_row", F.explode("_names").alias("n")).select("_row", "n.*").join(moved, ["kind", "original"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "original", "attempt")).alias("_draws"))
+    whole = touched.join(draws, "_row", "left").select("_doc.*", F.coalesce("_draws", F.array().cast("array<struct<kind:string,original:string,attempt:int>>")).alias("_draws"))
+    return out.unionByName(whole.mapInArrow(released(late), schema))
+
+
+def op7_pii(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text (with surrogates), n_entities, entities (places in the new text)."""
-    return surrogates(docs.select("doc_id", "text")).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+    return surrogates(docs.select("doc_id", "text"), key).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
-def replaced(docs: DataFrame, key: bytes = b"spanwright") -> DataFrame:
+def replaced(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with surrogates in `text` and, where there is such a column, n_chars of the new text."""
-    out = surrogates(docs, key).drop("entities")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    # One struct column carries the other columns, whatever their names.
+    own = surrogates(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), key)
+    out = own.select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return out
+
+
+def session_key(spark) -> bytes:
+    """The key of the registered queries: spark.spanwright.pii.key, or else a public one that protects nothing."""
+    return spark.conf.get("spark.spanwright.pii.key", "public key of the test tables").encode()

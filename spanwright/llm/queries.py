@@ -19,7 +19,7 @@ QUERIES = {
     "op3_langid": lambda spark, d: langid.op3_langid(table(spark, d, "documents")),
     "op4_ann": lambda spark, d: ann.op4_ann(table(spark, d, "embeddings")),
     "op5_media": lambda spark, d: tiff.op5_media(table(spark, d, "documents")),
-    "op7_pii": lambda spark, d: pii.op7_pii(table(spark, d, "documents")),
+    "op7_pii": lambda spark, d: pii.op7_pii(table(spark, d, "documents"), pii.session_key(spark)),
     "op8_near": lambda spark, d: omh.op8_near(table(spark, d, "documents")),
     "op9_html": lambda spark, d: html.extract(table(spark, d, "pages")),
     "op10_substring": lambda spark, d: substring.op10_substring(table(spark, d, "documents")),

@@ -2,10 +2,12 @@
 
 The reader walks the chain of image directories in either byte order and decodes strips and tiles
 that are stored plain, by PackBits, by LZW (most significant bit first, early code change) or by
-deflate, undoes the horizontal predictor, and takes 8-bit samples, interleaved or in planes.
+deflate, undoes the horizontal predictor, and takes 8-bit samples, interleaved or in planes. Other
+sample depths and predictors give an error row.
 
-Defined results: null media give no pages; a broken file gives one row with its error and no pixels;
-an empty table gives no rows; repeated rows are decoded each; other columns are carried.
+Defined results: null media give no pages; a broken page gives one row with its number, its error and
+no pixels, and ends its file; an empty table gives no rows; repeated rows are decoded each; other
+columns are carried, but for those named as the result's.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12:
 PLAIN, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {PLAIN: "plain", LZW: "lzw", DEFLATE: "deflate", DEFLATE_OLD: "deflate", PACKBITS: "packbits"}
 
+#: Bytes that a stored byte stands for, at most: a 12-bit LZW code for a word of 3,838.
+MOST_UNPACKED = 2560
+
 PAGES = "page int, width int, height int, samples int, compression string, tiled boolean, predictor int, pixels binary, error string"
 
 
@@ -143,11 +148,12 @@ def lzw_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def inflate(kind: int, data: bytes) -> bytes:
+def inflate(kind: int, data: bytes, size: int) -> bytes:
+    """The `size` bytes that are stored as data (more may come where a row of runs is cut)."""
     if kind == PLAIN:
         return data
     if kind in (DEFLATE, DEFLATE_OLD):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if kind == PACKBITS:
         return packbits_decode(data)
     if kind == LZW:
@@ -240,13 +246,18 @@ def decode(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     wide = one(TILE_WIDTH) if tiled else width
     tall = one(TILE_HEIGHT) if tiled else min(one(STRIP_ROWS, height), height)
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+    if not wide or not tall:
+        raise ValueError("tiles without sides")
+    # No stored byte stands for more: sides beyond that are damage, and would ask for any amount of memory.
+    if max(height * width * samples, tall * wide * deep) > MOST_UNPACKED * (min(sum(counts), len(data)) + 1):
+        raise ValueError("sides are larger than what is stored")
     out = np.empty((height, width, samples), np.uint8)
     k = 0
     for plane in range(planes):
         for y in range(0, height, tall):
             for x in range(0, width, wide):
                 rows = tall if tiled else min(tall, height - y)
-                raw = inflate(kind, data[offsets[k] : offsets[k] + counts[k]])
+                raw = inflate(kind, data[offsets[k] : offsets[k] + counts[k]], rows * wide * deep)
                 part = np.frombuffer(raw, np.uint8, rows * wide * deep).reshape(rows, wide, deep)
                 if predictor == 2:
                     part = np.cumsum(part, axis=1, dtype=np.uint8)
@@ -263,15 +274,18 @@ def read(data: bytes) -> Iterator[tuple]:
     """(page, width, height, samples, compression, tiled, predictor, pixels, error) of each page."""
     page = 0
     try:
-        for page, tags in enumerate(directories(data)):
+        for tags in directories(data):
             image = decode(data, tags)
             yield page, image.shape[1], image.shape[0], image.shape[2], NAMES[tags.get(COMPRESSION, (1,))[0]], TILE_OFFSETS in tags, tags.get(PREDICTOR, (1,))[0], image.tobytes(), None
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as error:
+            page += 1
+    except (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error) as error:
         yield page, None, None, None, None, None, None, None, str(error)[:200] or type(error).__name__
 
 
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page of the files in `media`, beside the other columns of df (which must not be named as PAGES)."""
+    """One row per page of the files in `media`, beside the other columns of df (those named as PAGES are replaced)."""
+    own_names = [c.split()[0] for c in PAGES.split(", ")]
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in own_names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +297,7 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(v, t) for v, t in zip(zip(*found, strict=True), kinds, strict=True)]], names=names)
 
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.string()]
-    names = [*df.columns, *[c.split()[0] for c in PAGES.split(", ")]]
+    names = [*df.columns, *own_names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + PAGES
     return df.mapInArrow(released(run), schema)
 

@@ -8,7 +8,8 @@ over presence times ratio is trained on them. Scoring is one narrow pass over wh
 The fit uses a bounded sample of labelled rows (`sample`, by hash of the id); all rows are scored.
 
 Defined results: null or empty texts score the intercept alone; rows without id are held out; a
-null label is no label; an id with both labels trains as both; without any usable label of either
+null label is no label; an id with both labels trains as both, one
+that several rows carry by its least text; without any usable label of either
 class every score is the share of toxic labels (0.5 if none); repeated rows are scored each.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, released
+from .common import blocks, held_out, released, staged
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -132,8 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     some = marked.filter(draw < F.lit(round(1_000_000 * min(1.0, sample / max(1, total)))))
     few = some.dropDuplicates()
-    # At most about `sample` narrow rows: a size set by the parameter, whatever the tables hold.
+    # At most about `sample` narrow rows, and a text for each: sizes set by the parameter, whatever the tables hold.
     read = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").filter("text is not null")
+    read = staged(read.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled").select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros((2, 1 << BITS), np.int64)
