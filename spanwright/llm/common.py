@@ -45,13 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
-    The files go at the end of the Scratch block around it, or else with the session.
+    gather: as two files a core at most, for narrow tables that would else be many tiny files. The
+    files go at the end of the Scratch block around it, or else with the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if gather:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     _held.setdefault(id(spark.sparkContext), []).append(path)
     atexit.register(forget, spark, path)

@@ -152,7 +152,7 @@ def members(texts: DataFrame) -> DataFrame:
     """(bucket, tkey, n): the texts of every bucket that several texts share. texts: tkey, entries, n."""
     each = texts.select("tkey", "n", F.posexplode("entries").alias("i", "entry")).select(F.xxhash64("i", "entry").alias("bucket"), "tkey", "n")
     # Staged, so that a join with a bucket of any size can be split.
-    shared = staged(each.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "buckets")
+    shared = staged(each.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "buckets", True)
     return staged(each.join(shared, "bucket"), "members")
 
 
@@ -250,7 +250,7 @@ def profiles(texts: DataFrame, counts: np.ndarray, k: int = K, least: float = LE
 
 def stars(rows: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b): each text of a bucket and the bucket's most typical one. rows: bucket, tkey, n, score, staged."""
-    heads = staged(rows.groupBy("bucket").agg(F.max(F.struct("score", "tkey", "n")).alias("h")).select("bucket", F.col("h.tkey").alias("b"), F.col("h.n").alias("m")), "heads")
+    heads = staged(rows.groupBy("bucket").agg(F.max(F.struct("score", "tkey", "n")).alias("h")).select("bucket", F.col("h.tkey").alias("b"), F.col("h.n").alias("m")), "heads", True)
     met = rows.join(heads, "bucket").filter((F.col("tkey") != F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9))
     return met.select(F.least("tkey", "b").alias("a"), F.greatest("tkey", "b").alias("b")).distinct()
 
@@ -324,7 +324,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbours are added up before their shuffle and staged, so a join with a node of any number of
     neighbours can be split.
     """
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", True)
     while True:
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
         each = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
@@ -332,11 +332,11 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("tkey"), F.col("v").alias("root"))
         with Scratch(links.sparkSession) as scratch:
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-            large = staged(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-            low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low", True)
+            large = staged(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", True)
+            low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low", True)
             small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v")))
-            edges = scratch.keep(staged(small.distinct(), "small"))
+            edges = scratch.keep(staged(small.distinct(), "small", True))
 
 
 def linked(docs: DataFrame, texts: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:
@@ -350,13 +350,13 @@ def linked(docs: DataFrame, texts: DataFrame, k: int = K, least: float = LEAST)
     classes that is left was compared wherever it could be linked.
     """
     rows = members(texts.filter(F.size("entries") > 0))
-    keys = staged(rows.select("tkey", "n").distinct(), "involved")
+    keys = staged(rows.select("tkey", "n").distinct(), "involved", True)
     total = keys.agg(F.sum("n")).first()[0]
     if not total:
         return docs.sparkSession.createDataFrame([], "tkey binary, root binary")
     own = staged(wanted(docs, keys), "wanted")
     known = staged(profiles(own, frequencies(own, total, k), k, least), "profiles")
-    pairs = staged(stars(staged(rows.join(known.select("tkey", "score"), "tkey"), "scored"), least), "pairs")
+    pairs = staged(stars(staged(rows.join(known.select("tkey", "score"), "tkey"), "scored", True), least), "pairs", True)
     roots = components(verify(pairs, own, k, least))
 
     def classed(rows: DataFrame) -> DataFrame:
@@ -364,27 +364,27 @@ def linked(docs: DataFrame, texts: DataFrame, k: int = K, least: float = LEAST)
         return rows.join(roots, "tkey", "left").withColumn("class", F.xxhash64(F.coalesce("root", "tkey"))).drop("root")
 
     several = F.min("class") != F.max("class")
-    spread = staged(classed(rows.select("bucket", "tkey")), "spread")
-    open_ = staged(spread.groupBy("bucket").agg(several.alias("open")).filter("open").select("bucket"), "open")
+    spread = staged(classed(rows.select("bucket", "tkey")), "spread", True)
+    open_ = staged(spread.groupBy("bucket").agg(several.alias("open")).filter("open").select("bucket"), "open", True)
     left = spread.join(open_, "bucket", "left_semi").select("tkey", "class").distinct()
-    each = staged(known.join(left, "tkey").select("tkey", "n", "score", "class", F.explode("prefix").alias("p")).select("tkey", "n", "score", "class", "p.*"), "labels")
-    where = staged(each.groupBy("label").agg(several.alias("open")).filter("open").select("label"), "met")
-    each = staged(each.join(where, "label"), "labels")
+    each = staged(known.join(left, "tkey").select("tkey", "n", "score", "class", F.explode("prefix").alias("p")).select("tkey", "n", "score", "class", "p.*"), "labels", True)
+    where = staged(each.groupBy("label").agg(several.alias("open")).filter("open").select("label"), "met", True)
+    each = staged(each.join(where, "label"), "labels", True)
     for whole in (False, True):
         longer, shorter = splits(each, least)
         if whole:
-            main = staged(mixed(longer, shorter), "mixed")
+            main = staged(mixed(longer, shorter), "mixed", True)
             x, y = longer.join(main, ["label", "size"]), shorter.join(main, ["label", "size"])
             odd = F.col("class") != F.col("main")
             found = pairs_of(x.filter(odd), y, least).unionByName(pairs_of(x.filter(~odd), y.filter(odd), least))
         else:
             found = pairs_of(longer, heads_of(shorter), least).unionByName(pairs_of(heads_of(longer), shorter, least))
-        fresh = staged(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        fresh = staged(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", True)
         if not fresh.isEmpty():
-            links = staged(verify(fresh, own, k, least).select("a", "b"), "links")
+            links = staged(verify(fresh, own, k, least).select("a", "b"), "links", True)
             if not links.isEmpty():
                 roots = components(links.unionByName(roots.select(F.col("tkey").alias("a"), F.col("root").alias("b"))))
-                each = staged(classed(each.drop("class")), "labels")
+                each = staged(classed(each.drop("class")), "labels", True)
             pairs = pairs.unionByName(fresh)
     return roots
 
@@ -402,9 +402,9 @@ def classes(docs: DataFrame, k: int = K, least: float = LEAST, sketches: int = S
         rows = scratch.keep(staged(sketched(docs, k, sketches, order), "sketches"))
         texts = staged(rows.groupBy("tkey").agg(F.min("doc_id").alias("id"), F.first("entries").alias("entries"), F.first("n").alias("n")), "texts")
         roots = linked(docs, texts, k, least)
-        joined = staged(texts.select("tkey", "id").join(roots, "tkey", "left").withColumn("root", F.coalesce("root", "tkey")), "roots")
+        joined = staged(texts.select("tkey", "id").join(roots, "tkey", "left").withColumn("root", F.coalesce("root", "tkey")), "roots", True)
         first = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("tkey"))).alias("f")).select("root", F.col("f.id").alias("class_id"), F.col("f.tkey").alias("keeper"))
-        out = scratch.keep(staged(joined.join(staged(first, "first"), "root").select("tkey", "class_id", "keeper"), "classes"))
+        out = scratch.keep(staged(joined.join(staged(first, "first", True), "root").select("tkey", "class_id", "keeper"), "classes", True))
     return rows.select("doc_id", "tkey"), out
 
 
