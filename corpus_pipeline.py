@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanwright.llm import langid, mixing, omh, packing, pii
-from spanwright.llm.common import Scratch, staged, table
+from spanwright.llm.common import Scratch, forget, staged, table
 from spanwright.llm.queries import tokenizer_path
 
 
@@ -51,10 +51,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that packing makes of the documents of sf_dir. What a stage wrote goes when the next one's is written."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES[:-1]):
         with Scratch(spark) as scratch:
             docs = scratch.keep(staged(stage(spark, docs, sf_dir), f"pipeline-{i}"))
+        if before:
+            forget(spark, before)
+        before = docs.staged_at
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
