@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
+from .context import build_prompts
+from .redaction import redact, redact_question, redacted_text, segment_map, segments, to_original, unredact
 from .spans import merge_regions, resolve_quotes, verify_citations
 
 #: The gate's default signal and threshold (fixed values): a question is blocked strictly below it.
@@ -17,6 +19,7 @@ SIGNAL, THRESHOLD = "top_ts_rank", 0.02507458
 #: Stop reasons of a generation that ended by itself (fixed values).
 NORMAL_STOPS = ("end_turn", "stop", "")
 ANSWER = "status string, answer string, citations array<struct<chunk_id:string,quote:string>>"
+VERDICT = "verdict string, reason string"
 COMPLETION = "question_id long, text string, input_tokens long, output_tokens long, model string, stop_reason string"
 
 
@@ -62,11 +65,60 @@ class StubClient:
         return text, -(-len(prompt) * 2 // 7), -(-len(text) * 2 // 7), "stop"
 
 
-def make_client(name: str) -> StubClient:
-    """A client by model name. Paid and networked providers are not bundled: only the offline stub is."""
+class ContextFull(ValueError):
+    """A prompt and its answer do not fit the model's window: it would be cut without a word."""
+
+
+@dataclass(frozen=True)
+class WindowedClient:
+    """A client that refuses prompts which leave no room for the answer in the model's window."""
+
+    inner: StubClient
+    window: int = 16_384
+    answer: int = 1_024
+
+    @property
+    def model(self) -> str:
+        return self.inner.model
+
+    def complete(self, prompt: str) -> tuple[str, int, int, str]:
+        text, used, made, stop = self.inner.complete(prompt)
+        if used + self.answer > self.window:
+            raise ContextFull(f"{used} prompt tokens and {self.answer} for the answer exceed the window of {self.window}")
+        return text, used, made, stop
+
+
+#: Providers by the beginning of a model's name: (who serves it, whether each call costs money).
+PROVIDERS = {"ollama:": ("local", False), "claude-": ("anthropic", True), "gpt-": ("openai", True), "o1": ("openai", True), "o3": ("openai", True), "o4": ("openai", True)}
+
+
+def provider(name: str) -> tuple[str, bool]:
+    for start, told in PROVIDERS.items():
+        if name.startswith(start):
+            return told
+    raise ValueError(f"no provider serves model {name!r}")
+
+
+def make_client(name: str, clients: dict[str, Callable[[str], StubClient]] | None = None, allow_paid: bool = False) -> StubClient:
+    """A client by model name. clients: makers by provider; only the offline stub (ollama:stub) is bundled.
+
+    A provider that charges is refused unless the caller allows paid calls.
+    """
+    who, paid = provider(name)
+    if paid and not allow_paid:
+        raise ValueError(f"model {name!r} costs money per call; allow paid calls to use it")
+    if clients and who in clients:
+        return clients[who](name)
     if name.startswith("ollama:stub"):
         return StubClient(name)
-    raise ValueError(f"no offline client for model {name!r}")
+    raise ValueError(f"no client for provider {who!r} of model {name!r}")
+
+
+def within_cost(plan: DataFrame, usd_per_million: float, most_usd: float = 0.0) -> DataFrame:
+    """plan as from cache_plan() + est_usd; fails where the calls still to make would cost more than allowed."""
+    usd = F.col("est_tokens") / 1e6 * usd_per_million
+    over = F.concat_ws(" ", F.lit("the run would cost"), F.format_string("%.2f", usd), F.lit(f"USD; allowed are {most_usd:.2f}"))
+    return plan.withColumn("est_usd", F.when(usd <= most_usd, usd).otherwise(F.raise_error(over).cast("double")))
 
 
 def call_model(prompts: DataFrame, client: StubClient) -> DataFrame:
@@ -103,17 +155,83 @@ def parsed(completions: DataFrame) -> DataFrame:
     return completions.withColumn("parsed", p).withColumn("error", error)
 
 
-def check_citations(answers: DataFrame, context: DataFrame, docs: DataFrame) -> DataFrame:
+def verdicts(completions: DataFrame) -> DataFrame:
+    """(question_id, verdict, reason) of a judge's outputs (question_id, text), read leniently: what is no
+    object with a verdict and a reason counts as 'incorrect' and is quoted."""
+    said = F.from_json("text", VERDICT)
+    whole = said["verdict"].isNotNull() & said["reason"].isNotNull()
+    reason = F.concat(F.lit("unparseable judge output: "), F.substring(F.coalesce("text", F.lit("")), 1, 80))
+    return completions.select("question_id", F.when(whole, said["verdict"]).otherwise("incorrect").alias("verdict"), F.when(whole, said["reason"]).otherwise(reason).alias("reason"))
+
+
+def regions_of(context: DataFrame) -> DataFrame:
+    """(question_id, doc_id, regions): what was shown of each document, merged, in order."""
+    shown = context.select("question_id", "doc_id", F.col("start_char").alias("start"), F.col("end_char").alias("end"))
+    return merge_regions(shown, "question_id", "doc_id").groupBy("question_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("regions"))
+
+
+def veiled(docs: DataFrame, context: DataFrame) -> DataFrame:
+    """(doc_id, text, entities) of the documents that a context shows."""
+    return redact(docs.select("doc_id", "text").join(context.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
+def redacted_inputs(questions: DataFrame, context: DataFrame, hidden: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions, context) with names and contact data replaced; hidden as from veiled().
+
+    Placeholders count per document, so a question may show one document only; more fail the job.
+    """
+    rows = context.join(hidden.select("doc_id", F.col("text").alias("_text"), "entities"), "doc_id")
+    shown = redacted_text("_text", segments("_text", "entities", F.col("start_char"), F.col("end_char")))
+    excerpts = rows.withColumn("chunk_text", shown).select(*[c for c in context.columns])
+    one = context.groupBy("question_id").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("doc_id"))
+    one = one.withColumn("doc_id", F.when(F.col("n") == 1, F.col("doc_id")).otherwise(F.raise_error(F.lit("redaction takes one document per question")).cast(context.schema["doc_id"].dataType)))
+    surfaces = F.array_distinct(F.transform("entities", lambda e: F.struct(F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"]).alias("surface"), e["placeholder"].alias("placeholder"))))
+    spelled = one.select("question_id", "doc_id").join(hidden.select("doc_id", surfaces.alias("_s")), "doc_id").select("question_id", "_s")
+    none = F.array().cast("array<struct<surface:string,placeholder:string>>")
+    asked = questions.join(spelled, "question_id", "left").withColumn("question", redact_question("question", F.coalesce("_s", none)))
+    return asked.select(*questions.columns), excerpts
+
+
+def shown_regions(context: DataFrame, hidden: DataFrame) -> DataFrame:
+    """(question_id, doc_id, regions, shown, places, maps): the redacted regions in order as one text, where
+    each lies in it, and how its pieces map to the document."""
+    each = regions_of(context).join(hidden, "doc_id").select("question_id", "doc_id", "regions", "text", "entities", F.posexplode("regions").alias("i", "r"))
+    pieces = segments("text", "entities", F.col("r.start"), F.col("r.end"))
+    cut = each.select("question_id", "doc_id", "regions", "i", F.explode(F.array(F.struct(redacted_text("text", pieces).alias("t"), segment_map(pieces).alias("m")))).alias("x"))
+    joined = cut.groupBy("question_id", "doc_id", "regions").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x"))
+    before = lambda i: F.aggregate(F.slice("x", 1, i), F.lit(0), lambda a, y: a + F.length(y["x"]["t"]))
+    places = F.transform("x", lambda y, i: F.struct(before(i).alias("start"), (before(i) + F.length(y["x"]["t"])).alias("end")))
+    return joined.select("question_id", "doc_id", "regions", F.array_join(F.transform("x", lambda y: y["x"]["t"]), "").alias("shown"), places.alias("places"), F.transform("x", lambda y: y["x"]["m"]).alias("maps"))
+
+
+def found_behind(quotes: DataFrame, hidden: DataFrame, context: DataFrame) -> DataFrame:
+    """quotes (question_id, doc_id, quote ...) + start, end, mode: sought in what the model saw, region by
+    region, and mapped back to the document; a quote that touches a placeholder holds all that it hides."""
+    seen = quotes.join(shown_regions(context, hidden).drop("regions"), ["question_id", "doc_id"], "left")
+    asked = seen.withColumnRenamed("shown", "text").withColumnRenamed("places", "regions")
+    hit = resolve_quotes(asked, per_region=True)
+    at = F.expr("array_position(transform(regions, r -> r.start <= start AND start < r.end), true)").cast("int")
+    place = hit.withColumn("_at", at)
+    low = F.col("start") - F.get("regions", F.col("_at") - 1)["start"]
+    span = to_original(F.get("maps", F.col("_at") - 1), low, low + F.col("end") - F.col("start"))
+    back = place.withColumn("_o", F.when(F.col("start").isNotNull(), span))
+    return back.select(*quotes.columns, F.col("_o.start").alias("start"), F.col("_o.end").alias("end"), "mode")
+
+
+def check_citations(answers: DataFrame, context: DataFrame, docs: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     """answers (question_id, citations array<struct<chunk_id,quote>>) -> (question_id, citations, reasons, whitespace_matches).
 
     context: (question_id, label, doc_id, start_char, end_char); the label picks the document, the
-    quote may lie in any of its shown regions.
+    quote may lie in any of its shown regions. hidden (veiled documents): the model saw them redacted.
     """
     shown = context.select("question_id", "doc_id", F.col("start_char").alias("start"), F.col("end_char").alias("end"))
-    regions = merge_regions(shown, "question_id", "doc_id").groupBy("question_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("regions"))
     each = answers.select("question_id", F.posexplode("citations").alias("i", "c")).select("question_id", "i", F.col("c.chunk_id").alias("label"), F.col("c.quote").alias("quote"))
-    placed = each.join(context.select("question_id", "label", "doc_id"), ["question_id", "label"], "left").join(regions, ["question_id", "doc_id"], "left").join(docs.select("doc_id", "text"), "doc_id", "left")
-    found = resolve_quotes(placed)
+    placed = each.join(context.select("question_id", "label", "doc_id"), ["question_id", "label"], "left")
+    whole = docs.select("doc_id", "text")
+    if hidden is None:
+        found = resolve_quotes(placed.join(regions_of(context), ["question_id", "doc_id"], "left").join(whole, "doc_id", "left"))
+    else:
+        found = found_behind(placed, hidden, context).join(whole, "doc_id", "left")
     quoted = F.expr("substring(text, start + 1, end - start)")
     cites = found.withColumn("quoted_text", quoted)
     checked = verify_citations(cites.select("question_id", "i", "label", "doc_id", "start", "end", "quoted_text", "mode"), docs, shown)
@@ -132,6 +250,45 @@ def check_citations(answers: DataFrame, context: DataFrame, docs: DataFrame) ->
     return out.select("question_id", unique.alias("citations"), "reasons", "whitespace_matches")
 
 
+def restored(results: DataFrame, context: DataFrame, hidden: DataFrame) -> DataFrame:
+    """results with the names put back in `answer`: each placeholder as its document first spells it."""
+    spelling = lambda e: F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"])
+    first = F.aggregate(
+        "entities", F.array().cast("array<struct<key:string,value:string>>"),
+        lambda a, e: F.when(F.exists(a, lambda x: x["key"] == e["placeholder"]), a).otherwise(F.array_append(a, F.struct(e["placeholder"].alias("key"), spelling(e).alias("value")))))
+    names = context.select("question_id", "doc_id").distinct().join(hidden.select("doc_id", F.map_from_entries(first).alias("_m")), "doc_id").select("question_id", "_m")
+    none = F.create_map().cast("map<string,string>")
+    return results.join(names, "question_id", "left").withColumn("answer", unredact("answer", F.coalesce("_m", none))).select(*results.columns)
+
+
+def redactions(context: DataFrame, hidden: DataFrame) -> DataFrame:
+    """(question_id, redactions): how many entities of each kind the shown spans touch, each counted once."""
+    spans = context.groupBy("question_id", "doc_id").agg(F.collect_list(F.struct("start_char", "end_char")).alias("_s"))
+    touched = F.filter("entities", lambda e: F.exists("_s", lambda s: (e["start"] < s["end_char"]) & (s["start_char"] < e["end"])))
+    each = spans.join(hidden, "doc_id").select("question_id", F.explode(touched).alias("e")).groupBy("question_id", F.col("e.kind").alias("kind")).agg(F.count("*").alias("n"))
+    return each.groupBy("question_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("redactions"))
+
+
+def known_documents(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """asked (question_id, doc_id), failing where a document does not exist."""
+    rows = asked.join(docs.select("doc_id", F.lit(True).alias("_known")), "doc_id", "left")
+    ok = F.when(F.col("_known"), F.col("doc_id")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("unknown document"), F.col("doc_id").cast("string"))).cast(asked.schema["doc_id"].dataType))
+    return rows.select(*[ok.alias(c) if c == "doc_id" else c for c in asked.columns])
+
+
+def answer_questions(questions: DataFrame, gate: DataFrame, context: DataFrame, docs: DataFrame, client: StubClient, redaction: bool = True) -> DataFrame:
+    """The whole flow for questions (question_id, question) with their contexts: what passes the gate is
+    redacted, asked, parsed, checked against the documents, decided, and given its names back."""
+    open_ = context.join(gate.filter("NOT gated").select("question_id"), "question_id", "left_semi")
+    asked = questions.join(gate.filter("NOT gated").select("question_id"), "question_id", "left_semi")
+    hidden = veiled(docs, open_) if redaction else None
+    shown = redacted_inputs(asked, open_, hidden) if redaction else (asked, open_)
+    done = parsed(call_model(build_prompts(*shown), client))
+    checks = check_citations(done.filter("error IS NULL").select("question_id", "parsed.citations"), open_, docs, hidden)
+    results = decide(questions, gate, done, checks)
+    return restored(results, open_, hidden).join(redactions(open_, hidden), "question_id", "left") if redaction else results
+
+
 def decide(questions: DataFrame, gate: DataFrame, completions: DataFrame, checks: DataFrame) -> DataFrame:
     """One result per question, in the fixed order of decisions: gate, parse, abstention, citations, answer.
 
@@ -147,7 +304,7 @@ def decide(questions: DataFrame, gate: DataFrame, completions: DataFrame, checks
     shown = status == "answered"
     return rows.select(
         "question_id", status.alias("status"), F.when(~gated, said).alias("model_status"), gated.alias("gated"),
-        F.when(shown, F.col("parsed.answer")).alias("answer"), F.when(shown, F.size("citations")).otherwise(0).alias("citation_count"),
+        F.when(shown, F.col("parsed.answer")).alias("answer"), F.when(shown, F.col("citations")).alias("citations"), F.when(shown, F.size("citations")).otherwise(0).alias("citation_count"),
         why.cast("array<string>").alias("rejection_reasons"), F.coalesce("whitespace_matches", F.lit(0)).cast("long").alias("whitespace_matches"),
         F.coalesce("input_tokens", F.lit(0)).cast("long").alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).cast("long").alias("output_tokens"), "model")
 

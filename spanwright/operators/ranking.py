@@ -7,6 +7,13 @@ sums, top-k is a ranked window that Spark prunes per partition before the shuffl
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,25 +73,77 @@ def lexical(terms: DataFrame, posts: DataFrame) -> DataFrame:
     return hit.join(size, "question_id").select("question_id", "chunk_id", F.round(F.col("h") / F.col("terms") * LEXEME / BASEL, 6).alias("score"))
 
 
-def hash_buckets(units: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """Sparse hashing embedding: (key, keep..., bucket, weight), weights of unit length per key.
+def hash_vectors(units: DataFrame, text: str, name: str = "vec") -> DataFrame:
+    """units + the hashing embedding of `text`: DIMENSIONS doubles of unit length, all 0 without words.
+
+    A word's bucket is its MD5, read as one number, modulo DIMENSIONS. Words are split by Spark; counting them by bucket is one pass over Arrow batches, without a shuffle.
+    """
+
+    def run(words: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        out = []
+        for own in words:
+            x = np.zeros(DIMENSIONS)
+            for w in own if own is not None else ():
+                at = known.get(w)
+                if at is None:
+                    at = known[w] = int.from_bytes(hashlib.md5(w.encode()).digest(), "big") % DIMENSIONS
+                x[at] += 1
+            norm = np.sqrt((x * x).sum())
+            out.append(x / norm if norm else x)
+        return pd.Series(out)
+
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]+"), F.lit(0))
+    return units.withColumn(name, F.pandas_udf(run, "array<double>")(words))
+
+
+#: Questions scored at once against every vector, at most (their matrix is broadcast: 12 MB).
+BLOCK = 4096
+
+
+def vector_top(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(question_id, chunk_id, score): the k best cosines in scope from each task; only positive ones.
 
-    A word's bucket is its MD5, read as one number, modulo DIMENSIONS.
+    questions: (question_id, scope, vec); vectors: (chunk_id, scope, vec), of unit length. Questions
+    are broadcast in blocks of bounded size and each task keeps its own best, so what is shuffled is
+    k rows a question and task; a few questions or many cost one scan of the vectors a block.
     """
-    words = units.select(key, *keep, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    # The digest is folded from its 32-bit quarters, as no integer type holds it whole.
-    at = F.lit(0).cast("long")
-    for i in range(4):
-        at = F.pmod(at * (2**32 % DIMENSIONS) + F.conv(F.substring(F.md5("word"), 1 + 8 * i, 8), 16, 10).cast("long"), F.lit(DIMENSIONS))
-    raw = words.select(key, *keep, at.cast("int").alias("bucket")).groupBy(key, *keep, "bucket").agg(F.count("*").alias("c"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    return raw.join(norm, key).select(key, *keep, "bucket", (F.col("c") / F.col("norm")).alias("weight"))
-
-
-def hash_cosine(questions: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(question_id, chunk_id, score): cosine of hashing embeddings, by sparse join within scope."""
-    q = hash_buckets(questions, "question_id", "question", "scope").withColumnRenamed("weight", "q")
-    return buckets.join(q, ["scope", "bucket"]).groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("score"))
+    spark = questions.sparkSession
+    asked = questions.select("question_id", "scope", "vec").orderBy("question_id").toLocalIterator()
+    out = None
+    while block := list(itertools.islice(asked, BLOCK)):
+        by: dict = {}
+        for r in block:
+            by.setdefault(r["scope"], []).append(r)
+        shared = spark.sparkContext.broadcast({s: ([r["question_id"] for r in rows], np.array([r["vec"] for r in rows])) for s, rows in by.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best: dict = {}
+            for batch in batches:
+                scopes = np.array(batch.column("scope").to_pylist(), object)
+                for scope in set(scopes) & set(shared.value):
+                    at = np.flatnonzero(scopes == scope)
+                    own = batch.take(pa.array(at))
+                    x = own.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+                    ids = own.column("chunk_id").to_numpy(zero_copy_only=False)
+                    s = shared.value[scope][1] @ x.T
+                    for i, row in enumerate(s):
+                        old_ids, old = best.get((scope, i), (ids[:0], row[:0]))
+                        all_ids, all_s = np.concatenate([old_ids, ids]), np.concatenate([old, row])
+                        if len(all_s) > k:
+                            near = np.flatnonzero(all_s >= np.partition(all_s, -k)[-k] - 1e-6)  # what may tie when rounded
+                            keep = near[np.lexsort((all_ids[near], -np.round(all_s[near], 6)))[:k]]
+                            all_ids, all_s = all_ids[keep], all_s[keep]
+                        best[scope, i] = all_ids, all_s
+            for (scope, i), (ids, s) in best.items():
+                n = s > 0
+                yield pa.RecordBatch.from_arrays([pa.array([shared.value[scope][0][i]] * int(n.sum()), pa.int64()), pa.array(ids[n], pa.int64()), pa.array(s[n])], names=["question_id", "chunk_id", "score"])
+
+        found = vectors.select("chunk_id", "scope", "vec").mapInArrow(run, "question_id long, chunk_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "question_id long, chunk_id long, score double")
+    return out.withColumn("score", F.round("score", 6))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -52,7 +52,10 @@ def round_robin(pool: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category"))
     # Later turns cannot be drawn, so each category keeps at most n rows for the final order.
     few = pool.withColumn("_t", turn).filter(F.col("_t") <= n).withColumn("_p", place)
-    return few.orderBy("_t", "_p").limit(n).drop("_t", "_p")
+    drawn = few.orderBy("_t", "_p").limit(n).drop("_t", "_p")
+    # Fewer than asked for is an error, told with the rows: the count is of n rows at most.
+    short = F.when(F.count("*").over(W.partitionBy(F.lit(0))) < n, F.raise_error(F.lit(f"fewer than {n} questions to draw from")))
+    return drawn.withColumn("_short", short).filter("_short IS NULL").drop("_short")
 
 
 def numbered(rows: DataFrame, order: str, prefix: str) -> DataFrame:

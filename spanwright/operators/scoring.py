@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import reason_kind
-from .metrics import rate, share
+from .metrics import at_index, percentile_index, rate, share
 from .spans import overlaps
 
 #: Prices per million tokens, input and output (fixed values); local models cost nothing.
@@ -54,10 +54,17 @@ def reasons(answers: DataFrame) -> DataFrame:
     return answers.select(F.explode("rejection_reasons").alias("r")).groupBy(reason_kind("r").alias("reason")).agg(F.count("*").alias("n"))
 
 
+def latency(answers: DataFrame) -> DataFrame:
+    """One row: latency_p50_ms, latency_p95_ms (null without rows)."""
+    at = lambda q, name: at_index(answers, "latency_ms", percentile_index(q)).agg(F.max("latency_ms").alias(name))
+    return at(0.5, "latency_p50_ms").crossJoin(at(0.95, "latency_p95_ms"))  # one row each
+
+
 def run_summary(answers: DataFrame) -> DataFrame:
-    """One row of run-level figures."""
+    """One row of run-level figures. Latency is that of answers that were really called for: not cached, not gated."""
     asserted, answered = F.col("model_status") == "answered", F.col("status") == "answered"
-    return answers.agg(
+    states = [(f"{s}_{'absent' if absent else 'answerable'}", (F.col("status") == s) & (F.col("is_impossible") == absent)) for s in ("answered", "not_found", "rejected") for absent in (False, True)]
+    row = answers.agg(
         F.count("*").alias("n"),
         F.round(rate(F.col("grounded")), 6).alias("grounded_accuracy"),
         F.sum((~F.col("is_impossible")).cast("long")).alias("answerable"),
@@ -68,7 +75,12 @@ def run_summary(answers: DataFrame) -> DataFrame:
         F.sum("citations").alias("citations"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
+        F.round(F.sum(F.coalesce(F.col("cost_usd"), F.lit(0.0))), 6).alias("cost_usd"),
+        *[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(name) for name, c in states],
     )
+    called = answers.filter("NOT gated AND NOT cached")
+    why = reasons(answers).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("rejection_reasons"))
+    return row.crossJoin(latency(called)).crossJoin(why)  # one row each
 
 
 def model_metrics(scored: DataFrame) -> DataFrame:
@@ -85,12 +97,16 @@ def model_metrics(scored: DataFrame) -> DataFrame:
         "confidently_wrong_model": rate(F.col("model_wrong")),
         "mean_input_tokens": F.coalesce(F.avg(F.when(F.col("model").isNotNull(), F.col("input_tokens"))), F.lit(0.0)),
     }
-    return scored.agg(F.count("*").alias("n"), F.sum(F.col("gated").cast("long")).alias("gated"), *[F.round(v, 6).alias(k) for k, v in figures.items()], F.lit(0.0).alias("cost_per_100_usd"))
+    row = scored.agg(F.count("*").alias("n"), F.sum(F.col("gated").cast("long")).alias("gated"), *[F.round(v, 6).alias(k) for k, v in figures.items()], F.lit(0.0).alias("cost_per_100_usd"))
+    seconds = [F.round(F.col(f"latency_{p}_ms") / 1000, 6).alias(f"latency_{p}_s") for p in ("p50", "p95")]
+    return row.crossJoin(latency(scored.filter("NOT gated")).select(*seconds))  # one row each
 
 
-def cost(answers: DataFrame, prices: DataFrame) -> DataFrame:
-    """answers + cost_usd; prices: (model, input_price, output_price), absent for local models."""
+def cost(answers: DataFrame, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:
+    """answers + cost_usd by prices per million tokens; local models and gated answers cost nothing, other unknown models fail."""
     local = F.col("model").startswith("ollama:") | F.col("model").isNull()
-    usd = F.col("input_tokens") / 1e6 * F.col("input_price") + F.col("output_tokens") / 1e6 * F.col("output_price")
-    priced = answers.join(F.broadcast(prices), "model", "left")  # a short list of models
-    return priced.withColumn("cost_usd", F.when(local, F.lit(0.0)).when(F.col("input_price").isNull(), F.raise_error(F.concat(F.lit("no price for model "), "model"))).otherwise(usd)).drop("input_price", "output_price")
+    usd = F.lit(None).cast("double")
+    for model, (into, out) in prices.items():
+        usd = F.when(F.col("model") == model, F.col("input_tokens") / 1e6 * into + F.col("output_tokens") / 1e6 * out).otherwise(usd)
+    known = F.when(usd.isNotNull(), usd).otherwise(F.raise_error(F.concat(F.lit("no price for model "), F.col("model"))).cast("double"))
+    return answers.withColumn("cost_usd", F.when(local, F.lit(0.0)).otherwise(known))

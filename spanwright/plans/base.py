@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOPWORDS
 from ..operators import chunking, ranking
 from ..operators.sampling import CATEGORIES
+from ..sources.store import kept
 from ..sources.tables import matters, read
 
 #: A chunk's id: its document's id and its ordinal.
@@ -23,8 +24,16 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of all documents, written once a session: every ranking and span query reads them."""
+    return kept(spark, "chunks", [read(spark, d, "documents")], lambda: chunked(spark, d))
+
+
+def chunked(spark: SparkSession, d: str) -> DataFrame:
     rows = chunking.chunk(documents(spark, d).select("doc_id", "matter_id", "text"))
-    return rows.withColumn("chunk_id", F.col("doc_id") * CHUNKS_PER_DOC + F.col("ordinal")).withColumn("scope", F.col("matter_id"))
+    whole = F.when(F.col("ordinal") < CHUNKS_PER_DOC, F.col("doc_id") * CHUNKS_PER_DOC + F.col("ordinal"))
+    # A document of more chunks would take the next one's ids: it fails instead.
+    at = F.coalesce(whole, F.when(F.col("doc_id").isNotNull(), F.raise_error(F.concat(F.lit("too many chunks in document "), "doc_id"))).cast("long"))
+    return rows.withColumn("chunk_id", at).withColumn("scope", F.col("matter_id"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +44,15 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.postings(chunks(spark, d), "chunk_id", "chunk_text", False, "scope")
+    """(chunk_id, scope, dl, term, tf) of all chunks, written once a session, terms of a scope together."""
+    make = lambda: ranking.postings(chunks(spark, d), "chunk_id", "chunk_text", False, "scope").sortWithinPartitions("scope", "term")
+    return kept(spark, "postings", [read(spark, d, "documents")], make)
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, scope, vec): the chunks' hashing embeddings, written once a session."""
+    make = lambda: ranking.hash_vectors(chunks(spark, d), "chunk_text").select("chunk_id", "scope", "vec")
+    return kept(spark, "vectors", [read(spark, d, "documents")], make)
 
 
 def _words(s: str) -> str:
@@ -44,14 +61,14 @@ def _words(s: str) -> str:
 
 DOCS = "docs AS (SELECT *, doc_id % 4 AS matter_id FROM documents)"
 CHUNKS = DOCS + r""",
-raw_ AS (SELECT doc_id, matter_id, text, regexp_extract_all(text, '\S+') AS ws, regexp_extract_all(text, '\s+') AS g0, length(regexp_extract(text, '^\s*')) AS lead FROM docs),
+raw_ AS MATERIALIZED (SELECT doc_id, matter_id, text, regexp_extract_all(text, '\S+') AS ws, regexp_extract_all(text, '\s+') AS g0, length(regexp_extract(text, '^\s*')) AS lead FROM docs),
 gap_ AS (SELECT doc_id, matter_id, ws, CASE WHEN lead > 0 THEN g0[2:] ELSE g0 END AS gs, lead, len(ws) AS n FROM raw_),
-word_ AS (SELECT doc_id, matter_id, lead, n, unnest(range(1, n + 1)) AS i, unnest(ws) AS w, unnest(CASE WHEN len(gs) < n THEN list_append(gs, '') ELSE gs[:n] END) AS g FROM gap_ WHERE n > 0),
-pos_ AS (SELECT doc_id, matter_id, n, i, lead + coalesce(sum(length(w) + length(g)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(w) AS l FROM word_),
+word_ AS MATERIALIZED (SELECT doc_id, matter_id, lead, n, unnest(range(1, n + 1)) AS i, unnest(ws) AS w, unnest(CASE WHEN len(gs) < n THEN list_append(gs, '') ELSE gs[:n] END) AS g FROM gap_ WHERE n > 0),
+pos_ AS MATERIALIZED (SELECT doc_id, matter_id, n, i, lead + coalesce(sum(length(w) + length(g)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(w) AS l FROM word_),
 win_ AS (SELECT s.doc_id, s.matter_id, ((s.i - 1) // 160)::INT AS ordinal, s.a::INT AS start_char, (e.a + e.l)::INT AS end_char
          FROM pos_ s JOIN pos_ e ON s.doc_id = e.doc_id AND e.i = least(s.i + 199, s.n)
          WHERE (s.i - 1) % 160 = 0 AND (s.i = 1 OR s.i + 39 < s.n)),
-chunks AS (SELECT w.doc_id, w.matter_id, w.matter_id AS scope, w.ordinal, w.start_char, w.end_char, w.doc_id * 100000 + w.ordinal AS chunk_id,
+chunks AS MATERIALIZED (SELECT w.doc_id, w.matter_id, w.matter_id AS scope, w.ordinal, w.start_char, w.end_char, w.doc_id * 100000 + w.ordinal AS chunk_id,
            substring(d.text, w.start_char + 1, w.end_char - w.start_char) AS chunk_text
            FROM win_ w JOIN documents d USING (doc_id))"""
 STOP = _words(STOPWORDS)
@@ -97,23 +114,31 @@ bm AS (SELECT t.question_id, p.chunk_id, round(sum(ln(1.0e0 + (st_.n - df_.df +
 bmr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM bm WHERE score > 0)"""
 
 #: Gold: where a benchmark passage first occurs in a document of its matter.
-GOLD = """gold AS (SELECT b.item_id AS question_id, d.doc_id, (instr(d.text, b.text) - 1)::INT AS start, (instr(d.text, b.text) - 1 + length(b.text))::INT AS "end", b.text AS quote
+GOLD = """gold AS MATERIALIZED (SELECT b.item_id AS question_id, d.doc_id, (instr(d.text, b.text) - 1)::INT AS start, (instr(d.text, b.text) - 1 + length(b.text))::INT AS "end", b.text AS quote
          FROM benchmark b JOIN docs d ON d.matter_id = b.item_id % 4 WHERE contains(d.text, b.text))"""
 #: How many words anchor a passage in a document before the exact comparison.
 ANCHOR = 5
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """(question_id, doc_id, start, end, quote): passages meet documents by a hash of their first words, then exactly."""
+    """(question_id, doc_id, start, end, quote): where passages first occur; written once a session."""
+    return kept(spark, "gold", [read(spark, d, "documents"), read(spark, d, "benchmark")], lambda: located(spark, d))
+
+
+def located(spark: SparkSession, d: str) -> DataFrame:
+    """Passages meet documents by a hash of their inner words, then exactly: the first and last word may
+    stand inside others. A passage of fewer than three words meets every document of its scope."""
     docs = documents(spark, d).select("doc_id", F.col("matter_id").alias("scope"), "text")
     q = questions(spark, d).select("question_id", "scope", F.col("question").alias("quote"))
     words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
     split = F.regexp_extract_all("quote", F.lit(r"\S+"), F.lit(0))
-    anchored = q.withColumn("_n", F.least(F.size(split), F.lit(ANCHOR))).withColumn("anchor", F.xxhash64(F.slice(split, 1, ANCHOR)))
+    whole = q.withColumn("_w", split).withColumn("_n", F.least(F.size("_w") - 2, F.lit(ANCHOR)))
+    anchored = whole.filter("_n > 0").withColumn("anchor", F.expr("xxhash64(slice(_w, 2, _n))"))
     lengths = [r["_n"] for r in anchored.select("_n").distinct().collect()]  # at most ANCHOR values
     pinned = docs.select("doc_id", "scope", F.explode(F.array(words)).alias("w"))  # the pattern runs once a text
     places = pinned.select("doc_id", "scope", F.explode(_anchors(F.col("w"), lengths)).alias("anchor"))
     pairs = places.join(anchored.select("question_id", "scope", "anchor"), ["scope", "anchor"]).select("question_id", "doc_id").distinct()
+    pairs = pairs.unionByName(whole.filter("_n <= 0").select("question_id", "scope").join(docs.select("doc_id", "scope"), "scope").select("question_id", "doc_id"))
     rows = pairs.join(q, "question_id").join(docs.select("doc_id", "text"), "doc_id")
     return rows.withColumn("_at", F.expr("locate(quote, text)")).filter("_at > 0").select("question_id", "doc_id", (F.col("_at") - 1).alias("start"), (F.col("_at") - 1 + F.length("quote")).alias("end"), "quote")
 

@@ -9,10 +9,13 @@ from ..operators import answering as A
 from ..operators import context as C
 from ..operators import metrics as M
 from ..operators import ranking as R
+from ..operators import reports as P
 from ..operators import redaction as X
 from ..operators import sampling as Q
 from ..operators import scoring as O
 from ..operators import spans as S
+from ..sources.session import run_metadata as run_row
+from ..sources.store import written
 from ..sources.tables import read
 from . import base as B
 from .retrieval import RANKINGS, _bm25, _hybrid, _lexical, _vector
@@ -59,19 +62,40 @@ def outcome_scores(spark, d):
     return O.outcomes(answers(spark, d)).select("question_id", "correct", "abstained", "shown_wrong", "model_wrong")
 
 
-@query(f"""WITH {_SCORED} SELECT count(*) AS n, sum(gated::INT)::BIGINT AS gated, round(avg(correct::INT), 6) AS accuracy, round(avg(CASE WHEN NOT is_impossible THEN correct::INT END), 6) AS accuracy_answerable,
+def _latency(where, divide=""):
+    at = lambda q: f"round(min(CASE WHEN i >= least(n - 1, floor({q}e0 * n)) THEN v END){divide}, 6)"
+    return f"SELECT {at(0.5)} AS p50, {at(0.95)} AS p95 FROM (SELECT latency_ms AS v, row_number() OVER (ORDER BY latency_ms) - 1 AS i, count(*) OVER () AS n FROM scored WHERE {where})"
+
+
+@query(f"""WITH {_SCORED}, lat AS ({_latency("NOT gated", " / 1000")}) SELECT count(*) AS n, sum(gated::INT)::BIGINT AS gated, round(avg(correct::INT), 6) AS accuracy, round(avg(CASE WHEN NOT is_impossible THEN correct::INT END), 6) AS accuracy_answerable,
  round(avg(CASE WHEN is_impossible THEN abstained::INT END), 6) AS abstention_absent, round(avg(CASE WHEN NOT is_impossible THEN abstained::INT END), 6) AS over_abstention_answerable,
  round(avg(CASE WHEN model_status = 'answered' THEN (status = 'answered')::INT END), 6) AS citation_validity, round(avg(shown_wrong::INT), 6) AS confidently_wrong_shown, round(avg(model_wrong::INT), 6) AS confidently_wrong_model,
- round(avg(CASE WHEN model IS NOT NULL THEN input_tokens END), 6) AS mean_input_tokens, 0.0e0 AS cost_per_100_usd FROM scored""")
+ round(avg(CASE WHEN model IS NOT NULL THEN input_tokens END), 6) AS mean_input_tokens, 0.0e0 AS cost_per_100_usd, (SELECT p50 FROM lat) AS latency_p50_s, (SELECT p95 FROM lat) AS latency_p95_s FROM scored""")
 def model_metrics(spark, d):
     return O.model_metrics(O.outcomes(answers(spark, d)))
 
 
-@query(f"""WITH {_SCORED} SELECT count(*) AS n, round(avg(correct::INT), 6) AS grounded_accuracy, sum((NOT is_impossible)::INT)::BIGINT AS answerable, sum(is_impossible::INT)::BIGINT AS absent, sum(gated::INT)::BIGINT AS gated,
+@query(f"""WITH {_SCORED}, lat AS ({_latency("NOT gated AND NOT cached")}),
+why AS (SELECT list({{'reason': reason, 'n': n}} ORDER BY reason) AS w FROM (SELECT split_part(reason, ':', 1) AS reason, count(*) AS n FROM ans WHERE reason IS NOT NULL GROUP BY 1))
+SELECT count(*) AS n, round(avg(correct::INT), 6) AS grounded_accuracy, sum((NOT is_impossible)::INT)::BIGINT AS answerable, sum(is_impossible::INT)::BIGINT AS absent, sum(gated::INT)::BIGINT AS gated,
  round(avg(CASE WHEN model_status = 'answered' THEN (status = 'answered')::INT END), 6) AS citation_validity, sum(whitespace_matches)::BIGINT AS whitespace_matches, sum(citations)::BIGINT AS citations,
- sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM scored""")
+ sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, 0.0e0 AS cost_usd,
+ {", ".join(f"sum((status = '{s}' AND {'' if absent else 'NOT '}is_impossible)::INT)::BIGINT AS {s}_{'absent' if absent else 'answerable'}" for s in ("answered", "not_found", "rejected") for absent in (False, True))},
+ (SELECT p50 FROM lat) AS latency_p50_ms, (SELECT p95 FROM lat) AS latency_p95_ms, list_transform((SELECT w FROM why), lambda x: x.reason || '=' || x.n) AS rejection_reasons FROM scored""")
 def run_summary(spark, d):
-    return O.run_summary(O.outcomes(answers(spark, d)).withColumn("grounded", F.col("correct")))
+    rows = O.run_summary(O.cost(O.outcomes(answers(spark, d))).withColumn("grounded", F.col("correct")))
+    told = F.transform(F.map_entries("rejection_reasons"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return rows.withColumn("rejection_reasons", told).withColumn("latency_p50_ms", F.round("latency_p50_ms", 6)).withColumn("latency_p95_ms", F.round("latency_p95_ms", 6))
+
+
+_PRICED = "CASE WHEN n_chars % 3 = 0 THEN 'ollama:stub' WHEN n_chars % 3 = 1 THEN 'claude-haiku-4-5' ELSE 'claude-opus-5-5' END"
+
+
+@query(f"""SELECT doc_id AS question_id, round(CASE {_PRICED} WHEN 'claude-haiku-4-5' THEN ceil(n_chars / 3.5e0) / 1000000.0e0 * 1.0e0 + n_chars % 97 / 1000000.0e0 * 5.0e0
+ WHEN 'claude-opus-5-5' THEN ceil(n_chars / 3.5e0) / 1000000.0e0 * 4.0e0 + n_chars % 97 / 1000000.0e0 * 20.0e0 ELSE 0.0e0 END, 9) AS cost_usd FROM documents""")
+def answer_cost(spark, d):
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.expr(_PRICED).alias("model"), F.ceil(F.col("n_chars") / 3.5).alias("input_tokens"), (F.col("n_chars") % 97).alias("output_tokens"))
+    return O.cost(rows).select("question_id", F.round("cost_usd", 9).alias("cost_usd"))
 
 
 @query(f"WITH {ANSWERS} SELECT status, is_impossible, count(*) AS n FROM ans GROUP BY ALL")
@@ -110,7 +134,7 @@ def _raters(spark, d):
 
 
 @query("""WITH p AS (SELECT quality AS a, 1 - toxic AS b FROM labels), s AS (SELECT count(*) AS n, avg((a = b)::INT) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM p)
-SELECT n, round(po, 9) AS raw_agreement, round(CASE WHEN pe = 1 THEN NULL ELSE (po - pe) / (1 - pe) END, 9) AS cohen_kappa FROM s""")
+SELECT n, round(po, 9) AS raw_agreement, round(CASE WHEN pe = 1 THEN 'NaN'::DOUBLE ELSE (po - pe) / (1 - pe) END, 9) AS cohen_kappa FROM s""")
 def cohen_kappa(spark, d):
     return M.kappa(_raters(spark, d), "human", "judge").select("n", F.round("raw_agreement", 9).alias("raw_agreement"), F.round("cohen_kappa", 9).alias("cohen_kappa"))
 
@@ -129,12 +153,23 @@ def rater_agreement(spark, d):
     return split.join(a, ["run", "qid"]).select("item_id", "human", "judge")
 
 
-def _relevant(spark, d, ranking, k=10):
+def _tops(spark, d):
+    """(lexical, vector): each question's best chunks, as deep as fusion looks; computed once."""
+    return tuple(written(R.top(f(spark, d), R.DEPTH), "top").select("question_id", "chunk_id", "rank", "score") for f in (_lexical, _vector))
+
+
+def _first_hits(spark, d, hits):
+    """(method, question_id, rank): the first relevant of hits (method, question_id, chunk_id, rank), for every question with gold."""
     g = B.gold(spark, d).select("question_id", "doc_id", "start", "end")
-    hits = R.top(ranking, k).join(B.chunks(spark, d).select("chunk_id", "doc_id", "start_char", "end_char"), "chunk_id")
-    ok = hits.join(g, ["question_id", "doc_id"]).filter(S.overlaps("start_char", "end_char", "start", "end")).select("question_id", "rank")
-    asked = g.select("question_id").distinct()
-    return M.first_hit_rank(asked.join(ok, "question_id", "left").withColumn("hit", F.col("rank").isNotNull()), "hit", "question_id")
+    placed = hits.join(B.chunks(spark, d).select("chunk_id", "doc_id", "start_char", "end_char"), "chunk_id")
+    ok = placed.join(g, ["question_id", "doc_id"]).filter(S.overlaps("start_char", "end_char", "start", "end")).groupBy("method", "question_id").agg(F.min("rank").alias("rank"))
+    asked = g.select("question_id").distinct().join(hits.select("method").distinct())  # a row per method
+    return asked.join(ok, ["method", "question_id"], "left").select("method", "question_id", "rank")
+
+
+def _relevant(spark, d, ranking, k=10):
+    hits = R.top(ranking, k).select(F.lit("-").alias("method"), "question_id", "chunk_id", "rank")
+    return _first_hits(spark, d, hits).select("question_id", "rank")
 
 
 def _first_sql(table, name):
@@ -157,11 +192,73 @@ _METRICS = " UNION ALL ".join(
 
 @query(f"WITH {_ALL} {_METRICS}")
 def retrieval_metrics(spark, d):
-    out = None
-    for m, (f, _) in RANKINGS.items():
-        rows = _relevant(spark, d, f(spark, d)).agg(F.count("*").alias("n"), *[F.round(M.recall_at("rank", k), 6).alias(f"recall_{k}") for k in (1, 5, 10)], F.round(M.reciprocal_rank_at("rank", 10), 6).alias("mrr_10")).select(F.lit(m).alias("method"), "*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    figures = [F.round(M.recall_at("rank", k), 6).alias(f"recall_{k}") for k in (1, 5, 10)]
+    return _all_hits(spark, d).groupBy("method").agg(F.count("*").alias("n"), *figures, F.round(M.reciprocal_rank_at("rank", 10), 6).alias("mrr_10"))
+
+
+def _all_hits(spark, d):
+    """(method, question_id, rank) of the first relevant chunk by every method."""
+    lexical, vector = _tops(spark, d)
+    ranked = {"lexical": lexical, "bm25": R.top(_bm25(spark, d), 10), "vector": vector, "hybrid": R.fuse([lexical, vector], 10)}
+    hits = None
+    for m in RANKINGS:
+        rows = ranked[m].filter("rank <= 10").select(F.lit(m).alias("method"), "question_id", "chunk_id", "rank")
+        hits = rows if hits is None else hits.unionByName(rows)
+    return _first_hits(spark, d, written(hits, "hits"))
+
+
+_FIGURES = " UNION ALL ".join(
+    f"SELECT '{m}' AS method, '{f}' AS figure, a.question_id, {x.format('a')}{minus} AS x FROM fh_{m} a JOIN fh_lexical b USING (question_id)"
+    for m in RANKINGS
+    for f, x, minus in (
+        ("recall_5", "CASE WHEN {0}.rank <= 5 THEN 1.0e0 ELSE 0.0e0 END", ""),
+        ("mrr_10", "CASE WHEN {0}.rank <= 10 THEN 1.0e0 / {0}.rank ELSE 0.0e0 END", ""),
+        ("recall_5 - lexical", "CASE WHEN {0}.rank <= 5 THEN 1.0e0 ELSE 0.0e0 END", " - CASE WHEN b.rank <= 5 THEN 1.0e0 ELSE 0.0e0 END"),
+    )
+)
+
+
+@query(f"""WITH {_ALL}, fig_ AS ({_FIGURES}), v AS (SELECT *, row_number() OVER (PARTITION BY method, figure ORDER BY question_id) - 1 AS i FROM fig_),
+z AS (SELECT method, figure, count(*) AS n, avg(x) AS mean FROM v GROUP BY ALL), nn AS (SELECT max(n) AS n FROM z),
+dr AS (SELECT r, ('0x' || substr(md5(r || ':' || j), 1, 8))::BIGINT % nn.n AS i FROM range(2000) a(r), nn, range(nn.n) b(j)),
+m AS (SELECT method, figure, r, round(avg(x), 9) AS m FROM dr JOIN v USING (i) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY method, figure ORDER BY m, r) AS k_ FROM m)
+SELECT method, figure, any_value(z.n) AS n, round(any_value(z.mean), 9) AS mean, max(CASE WHEN k_ = 51 THEN m END) AS lo, max(CASE WHEN k_ = 1950 THEN m END) AS hi FROM o JOIN z USING (method, figure) GROUP BY ALL""")
+def retrieval_bundle(spark, d):
+    """Every method's figures and its difference to full text, question by question, with bootstrap intervals."""
+    hits = written(_all_hits(spark, d), "first-hits")
+    recall = F.when(F.col("rank") <= 5, 1.0).otherwise(0.0)
+    mrr = F.when(F.col("rank") <= 10, 1.0 / F.col("rank")).otherwise(0.0)
+    base = hits.filter("method = 'lexical'").select("question_id", recall.alias("x"))
+    figures = hits.select("method", "question_id", F.lit("recall_5").alias("figure"), recall.alias("x")).unionByName(hits.select("method", "question_id", F.lit("mrr_10").alias("figure"), mrr.alias("x")))
+    for m in RANKINGS:
+        pair = M.paired(hits.filter(F.col("method") == m).select("question_id", recall.alias("x")), base, "question_id", "x")
+        figures = figures.unionByName(pair.select(F.lit(m).alias("method"), "question_id", F.lit("recall_5 - lexical").alias("figure"), "x"))
+    figures = written(figures, "figures")
+    n = figures.groupBy("method", "figure").agg(F.count("*").alias("n"))
+    return M.bootstrap(figures, "x", "question_id", groups=("method", "figure")).join(n, ["method", "figure"]).select("method", "figure", "n", F.round("mean", 9).alias("mean"), "lo", "hi")
+
+
+@query()
+def retrieval_report(spark, d):
+    """The bundle as lines of Markdown."""
+    whole = retrieval_bundle(spark, d)
+    named = {"recall_5": "recall_5", "mrr_10": "mrr_10"}
+    wide = whole.groupBy("method", "n").agg(*[F.max(F.when(F.col("figure") == f, F.col(c))).alias(f + suffix) for f in named for c, suffix in (("mean", ""), ("lo", "_lo"), ("hi", "_hi"))])
+    rest = retrieval_metrics(spark, d).select("method", "recall_1", "recall_10")
+    return P.retrieval_report(wide.join(rest, "method"))
+
+
+@query()
+def answer_report(spark, d):
+    """The outcome figures of the run as lines of Markdown."""
+    return P.answer_report(model_metrics(spark, d).withColumn("model", F.lit("ollama:stub")))
+
+
+@query("SELECT 'spanwright' AS label, 6 AS k, true AS redact")
+def run_metadata(spark, d):
+    """What a run is made with: the settings that the session gives, and versions."""
+    row = run_row(spark, "spanwright")
+    return row.select("label", F.col("settings")["k"].cast("int").alias("k"), F.col("settings")["redact"].cast("boolean").alias("redact"))
 
 
 @query(_FIRST + "SELECT q.category, count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0e0 ELSE 0.0e0 END), 6) AS recall_5 FROM fh JOIN questions q USING (question_id) GROUP BY q.category")
@@ -184,9 +281,10 @@ z AS (SELECT count(*) AS n, avg(x) AS mean FROM v), dr AS (SELECT r, j, ('0x' ||
 m AS (SELECT r, round(avg(x), 9) AS m FROM dr JOIN v USING (i) GROUP BY r), o AS (SELECT m, row_number() OVER (ORDER BY m, r) AS k_ FROM m)
 SELECT round((SELECT mean FROM z), 9) AS mean, max(CASE WHEN k_ = 51 THEN m END) AS lo, max(CASE WHEN k_ = 1950 THEN m END) AS hi FROM o""")
 def paired_diff(spark, d):
-    a = _relevant(spark, d, _hybrid(spark, d)).select("question_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("a"))
-    b = _relevant(spark, d, _lexical(spark, d)).select("question_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("b"))
-    return M.bootstrap(a.join(b, "question_id").select("question_id", (F.col("a") - F.col("b")).alias("x")), "x", "question_id").withColumn("mean", F.round("mean", 9))
+    lexical, vector = _tops(spark, d)
+    a = _relevant(spark, d, R.fuse([lexical, vector], 10)).select("question_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("x"))
+    b = _relevant(spark, d, lexical).select("question_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("x"))
+    return M.bootstrap(M.paired(a, b, "question_id", "x"), "x", "question_id").withColumn("mean", F.round("mean", 9))
 
 
 _SIGNAL = f"""WITH {B.LEXICAL}, {B.GOLD}, sig AS (SELECT q.question_id, coalesce(max(l.score), 0.0e0) AS s, q.question_id IN (SELECT question_id FROM gold) AS pos FROM questions q LEFT JOIN lexr l ON l.question_id = q.question_id AND l.rank = 1 GROUP BY q.question_id) """
@@ -213,6 +311,32 @@ def gate_calibrate(spark, d):
     return both.groupBy("threshold").agg(F.round(M.share(blocked, F.col("pos")), 6).alias("false_abstain"), F.round(M.share(blocked, ~F.col("pos")), 6).alias("caught"))
 
 
+_CHOICE = f"""WITH {B.HYBRID}, {B.GOLD}, both_ AS (SELECT q.question_id, 'top_ts_rank' AS signal, coalesce(max(l.score), 0.0e0) AS s FROM questions q LEFT JOIN lexr l ON l.question_id = q.question_id AND l.rank = 1 GROUP BY q.question_id
+ UNION ALL SELECT q.question_id, 'top_cosine', coalesce(max(v.score), 0.0e0) FROM questions q LEFT JOIN vecr v ON v.question_id = q.question_id AND v.rank = 1 GROUP BY q.question_id),
+sig AS (SELECT *, question_id IN (SELECT question_id FROM gold) AS pos, question_id % 4 <> 3 AS dev FROM both_),
+auc_ AS (SELECT a.signal, a.dev, sum(CASE WHEN a.s > b.s THEN 1.0e0 WHEN a.s = b.s THEN 0.5e0 ELSE 0 END) / count(*) AS auc FROM sig a JOIN sig b ON a.signal = b.signal AND a.dev = b.dev AND a.pos AND NOT b.pos GROUP BY ALL),
+best_ AS (SELECT signal, auc FROM (SELECT DISTINCT signal FROM sig) LEFT JOIN (SELECT signal, auc FROM auc_ WHERE dev) USING (signal) ORDER BY coalesce(auc, -1.0e0) DESC, signal DESC LIMIT 1),
+cut_ AS (SELECT s AS threshold FROM (SELECT sig.s, row_number() OVER (ORDER BY sig.s) - 1 AS i, count(*) OVER () AS n FROM sig JOIN best_ USING (signal) WHERE pos AND dev) WHERE i = floor(0.02e0 * n))"""
+
+
+@query(_CHOICE + """ SELECT b.signal, round(b.auc, 9) AS auc_dev, round((SELECT auc FROM auc_ WHERE NOT dev AND auc_.signal = b.signal), 9) AS auc_test, (SELECT threshold FROM cut_) AS threshold,
+ round(avg(CASE WHEN dev AND pos THEN (s < (SELECT threshold FROM cut_))::INT END), 6) AS blocked_dev, round(avg(CASE WHEN dev AND NOT pos THEN (s < (SELECT threshold FROM cut_))::INT END), 6) AS caught_dev,
+ round(avg(CASE WHEN NOT dev AND pos THEN (s < (SELECT threshold FROM cut_))::INT END), 6) AS blocked_test, round(avg(CASE WHEN NOT dev AND NOT pos THEN (s < (SELECT threshold FROM cut_))::INT END), 6) AS caught_test
+ FROM best_ b JOIN sig ON sig.signal = b.signal GROUP BY b.signal, b.auc""")
+def gate_choice(spark, d):
+    # Three questions in four choose signal and threshold; the rest tests them.
+    present = B.gold(spark, d).select("question_id").distinct().withColumn("pos", F.lit(True))
+    both = R.signals(B.questions(spark, d), *_tops(spark, d)).join(present, "question_id", "left")
+    each = both.select("question_id", F.coalesce("pos", F.lit(False)).alias("pos"), (F.pmod("question_id", F.lit(4)) != 3).alias("dev"), F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).alias("s")) for c in ("top_ts_rank", "top_cosine")])).alias("x")).select("question_id", "pos", "dev", "x.*")
+    each = written(each, "signals")
+    best = M.best_signal(each.filter("dev"), "signal", "s", F.col("pos"))
+    test = M.auc(each.filter("NOT dev"), "s", F.col("pos"), "signal").withColumnRenamed("auc", "auc_test")
+    rows = each.join(F.broadcast(best.join(test, "signal", "left")), "signal")  # one row
+    below, pos, dev = F.col("s") < F.col("threshold"), F.col("pos"), F.col("dev")
+    cases = {"blocked_dev": pos & dev, "caught_dev": ~pos & dev, "blocked_test": pos & ~dev, "caught_test": ~pos & ~dev}
+    return rows.groupBy("signal", F.round("auc", 9).alias("auc_dev"), F.round("auc_test", 9).alias("auc_test"), "threshold").agg(*[F.round(M.share(below, c), 6).alias(k) for k, c in cases.items()])
+
+
 @query(_SIGNAL + f"SELECT question_id, s < {A.THRESHOLD}e0 AS gated FROM sig")
 def gate_filter(spark, d):
     return _signal(spark, d).select("question_id", A.blocked("s").alias("gated"))
@@ -281,8 +405,8 @@ keep_ AS (SELECT question_id, chunk_id FROM (SELECT *, row_number() OVER (PARTIT
 ctx AS (SELECT k.question_id, c.chunk_id, c.doc_id, c.start_char, c.end_char, c.chunk_text, 'C' || row_number() OVER (PARTITION BY k.question_id ORDER BY c.doc_id, c.start_char) AS label FROM keep_ k JOIN chunks c USING (chunk_id))"""
 
 
-def _context(spark, d):
-    ranked = _hybrid(spark, d, 20)
+def _context(spark, d, ranked=None):
+    ranked = written(_hybrid(spark, d, 20), "ranked") if ranked is None else ranked
     chunks = B.chunks(spark, d).select("chunk_id", "doc_id", "start_char", "end_char", "chunk_text")
     # The first chunk of the best document is reserved.
     first = ranked.filter("rank = 1").select("question_id", (F.floor(F.col("chunk_id") / B.CHUNKS_PER_DOC) * B.CHUNKS_PER_DOC).alias("chunk_id"))
@@ -299,9 +423,9 @@ def build_context(spark, d):
 h AS (SELECT DISTINCT cf.config, cf.question_id FROM cf JOIN chunks c USING (chunk_id) JOIN gold g ON g.question_id = cf.question_id AND g.doc_id = c.doc_id AND c.start_char < g."end" AND g.start < c.end_char)
 SELECT k.config, count(*) AS n, round(avg((h.config IS NOT NULL)::INT), 6) AS context_recall FROM (VALUES ('top-5'), ('top-6'), ('top-6, first chunk reserved')) k(config) CROSS JOIN a LEFT JOIN h ON h.config = k.config AND h.question_id = a.question_id GROUP BY k.config""")
 def context_recall(spark, d):
-    ranked = _hybrid(spark, d, 20).select("question_id", "chunk_id", "rank")
+    ranked = written(_hybrid(spark, d, 20).select("question_id", "chunk_id", "rank"), "ranked")
     parts = [ranked.filter(F.col("rank") <= k).select(F.lit(f"top-{k}").alias("config"), "question_id", "chunk_id") for k in (5, 6)]
-    seen = parts[0].unionByName(parts[1]).unionByName(_context(spark, d).select(F.lit("top-6, first chunk reserved").alias("config"), "question_id", "chunk_id"))
+    seen = parts[0].unionByName(parts[1]).unionByName(_context(spark, d, ranked).select(F.lit("top-6, first chunk reserved").alias("config"), "question_id", "chunk_id"))
     g = B.gold(spark, d).select("question_id", "doc_id", "start", "end")
     hit = seen.join(B.chunks(spark, d).select("chunk_id", "doc_id", "start_char", "end_char"), "chunk_id").join(g, ["question_id", "doc_id"]).filter(S.overlaps("start_char", "end_char", "start", "end")).select("config", "question_id").distinct().withColumn("hit", F.lit(1.0))
     names = F.explode(F.array(F.lit("top-5"), F.lit("top-6"), F.lit("top-6, first chunk reserved"))).alias("config")
@@ -430,16 +554,53 @@ def grounded_correct(spark, d):
     return O.grounded(a, best.select("question_id", "doc_id", "start", "end"), g).select("question_id", "grounded")
 
 
+def _asked(spark, d):
+    """(questions, gate, context, docs) of questions that ask one document each: the one of their best chunk."""
+    asked = B.questions(spark, d)
+    lexical, vector = _tops(spark, d)
+    gate = written(R.signals(asked, lexical, vector).select("question_id", A.blocked().alias("gated")), "gate")
+    ranked = R.fuse([lexical, vector], 20).withColumn("doc_id", F.floor(F.col("chunk_id") / B.CHUNKS_PER_DOC))
+    ranked = written(ranked.select("question_id", "chunk_id", "rank", "doc_id"), "ranked")
+    one = A.known_documents(ranked.filter("rank = 1").select("question_id", "doc_id"), B.documents(spark, d))
+    context = written(_context(spark, d, ranked.join(one, ["question_id", "doc_id"], "left_semi").drop("doc_id")), "context")
+    return asked, gate, context, B.documents(spark, d).select("doc_id", "text").join(one.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 @query()
 def answer_pipeline(spark, d):
-    """All stages with the offline stub: hybrid ranking, gate, context, prompt, model, checks, decision."""
-    asked = B.questions(spark, d)
-    gate = R.signals(asked, _lexical(spark, d), _vector(spark, d)).select("question_id", A.blocked().alias("gated"))
-    context = _context(spark, d)
-    prompts = C.build_prompts(asked, context).join(gate.filter("NOT gated"), "question_id", "left_semi")
-    done = A.parsed(A.call_model(prompts, A.StubClient()))
-    checks = A.check_citations(done.filter("error IS NULL").select("question_id", "parsed.citations"), context, B.documents(spark, d).select("doc_id", "text"))
-    return A.decide(asked, gate, done, checks)
+    """All stages with the offline stub: hybrid ranking, gate, context, redaction, prompt, model, checks,
+    decision, and the names put back."""
+    asked, gate, context, docs = _asked(spark, d)
+    return A.answer_questions(asked.select("question_id", "question"), gate, context, docs, A.StubClient())
+
+
+_PLAIN = _CONTEXT.replace("ctx AS (", "ctx0 AS (").replace("top_ AS (SELECT question_id, chunk_id, rank FROM rrfr WHERE rank <= 20)", "top0_ AS (SELECT question_id, chunk_id, rank FROM rrfr WHERE rank <= 20),\ntop_ AS (SELECT t.* FROM top0_ t JOIN top0_ o ON o.question_id = t.question_id AND o.rank = 1 AND o.chunk_id // 100000 = t.chunk_id // 100000)") + """,
+ctx AS (SELECT * FROM ctx0),
+lead_ AS (SELECT question_id, chunk_id, doc_id, regexp_extract(chunk_text, '^\\s*((?:\\S+\\s+){0,11}\\S+)', 1) AS quote FROM ctx WHERE label = 'C1'),
+sig_ AS (SELECT q.question_id, coalesce(max(l.score), 0.0e0) < """ + f"{A.THRESHOLD}e0" + """ AS gated FROM questions q LEFT JOIN lexr l ON l.question_id = q.question_id AND l.rank = 1 GROUP BY q.question_id),
+n_ AS (SELECT question_id, doc_id, start_char, end_char, CASE WHEN start_char > max(end_char) OVER (PARTITION BY question_id, doc_id ORDER BY start_char, end_char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS gap FROM ctx),
+isl_ AS (SELECT *, sum(gap) OVER (PARTITION BY question_id, doc_id ORDER BY start_char, end_char ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM n_),
+reg_ AS (SELECT question_id, doc_id, min(start_char) AS a, max(end_char) AS z FROM isl_ GROUP BY question_id, doc_id, k),
+hit_ AS (SELECT l.question_id, l.doc_id, l.quote, min(CASE WHEN contains(substring(d.text, r.a + 1, r.z - r.a), l.quote) THEN r.a + instr(substring(d.text, r.a + 1, r.z - r.a), l.quote) - 1 END) AS at
+ FROM lead_ l JOIN reg_ r ON r.question_id = l.question_id AND r.doc_id = l.doc_id JOIN documents d ON d.doc_id = l.doc_id GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PLAIN} SELECT s.question_id, CASE WHEN s.gated OR h.question_id IS NULL THEN 'not_found' ELSE 'answered' END AS status, s.gated,
+ CASE WHEN s.gated THEN NULL ELSE h.doc_id END AS doc_id, CASE WHEN s.gated THEN NULL ELSE h.at::INT END AS start, CASE WHEN s.gated THEN NULL ELSE (h.at + length(h.quote))::INT END AS "end" FROM sig_ s LEFT JOIN hit_ h USING (question_id)""")
+def answer_plain(spark, d):
+    """The same flow without redaction: each question's status and the span that its answer cites."""
+    asked, gate, context, docs = _asked(spark, d)
+    done = A.answer_questions(asked.select("question_id", "question"), gate, context, docs, A.StubClient(), redaction=False)
+    first = F.get("citations", F.lit(0))
+    return done.select("question_id", "status", "gated", first["doc_id"].alias("doc_id"), first["start"].alias("start"), first["end"].alias("end"))
+
+
+@query("""SELECT doc_id AS question_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'correct' ELSE 'incorrect' END AS verdict,
+ CASE WHEN quality = 1 AND toxic = 0 THEN 'agrees' WHEN quality = 1 THEN 'differs' WHEN toxic = 1 THEN 'unparseable judge output: no verdict here' ELSE 'unparseable judge output: {"verdict":"correct"}' END AS reason FROM labels""")
+def judge_verdicts(spark, d):
+    """What a judge said of each answer, read leniently: anything but a verdict with its reason is 'incorrect'."""
+    said = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 0, '{"verdict":"correct","reason":"agrees"}').otherwise('{"reason":"differs","verdict":"incorrect"}')).when(F.col("toxic") == 1, "no verdict here").otherwise('{"verdict":"correct"}')
+    return A.verdicts(read(spark, d, "labels").select(F.col("doc_id").alias("question_id"), said.alias("text")))
 
 
 @query("SELECT DISTINCT role AS model FROM conversations")

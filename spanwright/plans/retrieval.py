@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import embedding as E
 from ..operators import ranking as R
 from ..operators import spans as S
 from ..sources import corpus, tables
+from ..sources.store import written
 from . import base as B
 
 QUERIES, ORACLES = {}, {}
@@ -30,7 +32,7 @@ _SPAN = "chunk_id, doc_id, ordinal, start_char, end_char"
 
 @query(f"WITH {B.CHUNKS} SELECT {_SPAN}, md5(chunk_text) AS text_md5 FROM chunks")
 def chunk_windows(spark, d):
-    return B.chunks(spark, d).select(*_SPAN.split(", "), F.md5("chunk_text").alias("text_md5"))
+    return B.chunked(spark, d).select(*_SPAN.split(", "), F.md5("chunk_text").alias("text_md5"))
 
 
 @query(f"WITH {B.CHUNKS} SELECT c.chunk_id, substring(d.text, start_char + 1, end_char - start_char) = chunk_text AS same FROM chunks c JOIN documents d USING (doc_id)")
@@ -67,8 +69,9 @@ def constraint_violations(spark, d):
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, (row_number() OVER (ORDER BY doc_id) - 1) % 4 AS matter_id, 'matter ' || ((row_number() OVER (ORDER BY doc_id) - 1) % 4) AS matter FROM documents")
 def matter_assign(spark, d):
     # A global number by ranges: each range counts its rows, earlier counts are added, no single task sorts all.
+    # The ranges are written, so that counts and places come from the same ones.
     docs = tables.read(spark, d, "documents").select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    part = docs.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    part = written(docs.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
     from pyspark.sql import Window as W
 
     before = part.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -77,10 +80,12 @@ def matter_assign(spark, d):
     return rows.withColumn("matter_id", F.pmod("position", F.lit(4))).withColumn("matter", F.concat(F.lit("matter "), "matter_id"))
 
 
-@query(f"WITH {B.DOCS} SELECT min(doc_id) AS doc_id, matter_id, sha256(text) AS sha256, length(any_value(text)) AS char_count FROM docs GROUP BY matter_id, sha256(text)")
+@query(f"""WITH {B.DOCS}, have AS (SELECT DISTINCT matter_id, sha256(text) AS h FROM docs WHERE doc_id % 5 = 0)
+SELECT min(doc_id) AS doc_id, matter_id, sha256(text) AS sha256, length(any_value(text)) AS char_count FROM docs WHERE (matter_id, sha256(text)) NOT IN (SELECT (matter_id, h) FROM have) GROUP BY matter_id, sha256(text)""")
 def ingest_dedup(spark, d):
+    # One document in five is there already; what a matter holds is not taken again.
     docs = corpus.hashed(B.documents(spark, d).select("doc_id", "matter_id", "text"))
-    return corpus.to_ingest(docs, docs.limit(0)).select("doc_id", "matter_id", "sha256", "char_count")
+    return corpus.to_ingest(docs, docs.filter("doc_id % 5 = 0")).select("doc_id", "matter_id", "sha256", "char_count")
 
 
 @query("""SELECT 'doc-' || doc_id AS title, CASE WHEN lang = 'es' THEN 'missing' WHEN lang = 'de' THEN 'changed' ELSE 'ok' END AS state FROM documents""")
@@ -138,7 +143,7 @@ def _bm25(spark, d):
 
 
 def _vector(spark, d):
-    return R.hash_cosine(B.questions(spark, d), R.hash_buckets(B.chunks(spark, d), "chunk_id", "chunk_text", "scope"))
+    return R.vector_top(R.hash_vectors(B.questions(spark, d), "question"), B.vectors(spark, d), R.DEPTH)
 
 
 def _hybrid(spark, d, k=10):
@@ -161,7 +166,8 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {B.CHUNKS}, {B.buckets_sql('cb', 'chunks', 'chunk_id', 'chunk_text', 'scope')} SELECT chunk_id, bucket, round(weight, 6) AS weight FROM cb")
 def hash_embed(spark, d):
-    return R.hash_buckets(B.chunks(spark, d), "chunk_id", "chunk_text", "scope").select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
+    each = R.hash_vectors(B.chunks(spark, d), "chunk_text").select("chunk_id", F.posexplode("vec").alias("bucket", "weight"))
+    return each.filter("weight > 0").select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {B.CHUNKS} SELECT chunk_id FROM chunks WHERE doc_id % 3 = 0 OR doc_id % 3 = 1")
@@ -172,6 +178,25 @@ def embed_stale(spark, d):
     return corpus.stale(have, "current").select("chunk_id")
 
 
+@query(f"""WITH {B.CHUNKS}, {B.buckets_sql('cb', 'chunks', 'chunk_id', 'chunk_text', 'scope')}, n_ AS (SELECT chunk_id, count(*) AS n, round(max(weight), 6) AS heaviest FROM cb GROUP BY chunk_id)
+SELECT chunk_id, CASE WHEN doc_id % 3 = 2 THEN 'kept' ELSE 'hashing-384' END AS made_by, CASE WHEN doc_id % 3 = 2 THEN 1 ELSE coalesce(n, 0) END AS buckets, CASE WHEN doc_id % 3 = 2 THEN 7.0e0 ELSE coalesce(heaviest, 0.0e0) END AS heaviest FROM chunks LEFT JOIN n_ USING (chunk_id)""")
+def embed_merge(spark, d):
+    # A third has no vector, a third an older model's, a third a current one, which stays as it is.
+    turn = F.pmod("doc_id", F.lit(3))
+    model = E.embedder("hashing-384")
+    seven = F.array(F.lit(7.0))
+    have = B.chunks(spark, d).withColumn("embedding_model", F.when(turn == 0, F.lit(None).cast("string")).when(turn == 1, "older").otherwise(model.key)).withColumn("embedding", F.when(turn == 0, F.lit(None)).otherwise(seven))
+    done = E.searchable(E.embedded(have, model), model.key)
+    used = F.size(F.filter("embedding", lambda x: x > 0))
+    return done.select("chunk_id", F.when(turn == 2, "kept").otherwise(F.col("embedding_model")).alias("made_by"), used.alias("buckets"), F.round(F.array_max("embedding"), 6).alias("heaviest"))
+
+
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS first_day, date_diff('day', cast(min(ts) AS DATE), cast(max(ts) AS DATE))::INT AS days, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_at FROM events GROUP BY user_id""")
+def activity_dates(spark, d):
+    e = tables.read(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    return e.select("user_id", F.date_format("a", "yyyy-MM-dd").alias("first_day"), F.date_diff(F.to_date("z"), F.to_date("a")).alias("days"), F.date_format("z", "yyyy-MM-dd'T'HH:mm:ss").alias("last_at"))
+
+
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)

@@ -42,8 +42,20 @@ def test_cache_calls_each_miss_once(spark):
     cache = fresh.dropDuplicates(["key"]).drop("question_id", "cached")
     assert A.cached_call(prompts, A.StubClient(), cache).filter("cached").count() == 3
     assert A.cached_call(prompts, A.StubClient(), empty, offline=True).filter("stop_reason = 'offline_miss'").count() == 3
-    with pytest.raises(ValueError):
-        A.make_client("gpt-x")
+    for name, why in (("gpt-x", "costs money"), ("other", "no provider"), ("ollama:qwen", "no client")):
+        with pytest.raises(ValueError, match=why):
+            A.make_client(name)
+    assert A.make_client("gpt-x", {"openai": A.StubClient}, allow_paid=True).model == "gpt-x" and A.make_client("ollama:stub").model == "ollama:stub"
+    with pytest.raises(A.ContextFull):
+        A.WindowedClient(A.StubClient(), 1_030).complete("word " * 100)
+    assert A.WindowedClient(A.StubClient()).complete("p")[3] == "stop"
+
+
+def test_cost_above_the_limit_is_refused(spark):
+    plan = spark.createDataFrame([(1, 1, 2, 500_000)], "gated long, cached long, to_call long, est_tokens long")
+    assert A.within_cost(plan, 2.0, 1.0).first()["est_usd"] == 1.0 and A.within_cost(plan, 0.0).first()["est_usd"] == 0.0
+    with pytest.raises(Exception, match="would cost 1.00 USD; allowed are 0.50"):
+        A.within_cost(plan, 2.0, 0.5).collect()
 
 
 def test_context_keeps_the_reserved_chunk(spark):
@@ -60,3 +72,59 @@ def test_audit_names_a_matter_only_when_unique(spark):
     rows = spark.createDataFrame([(1, "answered", False, "m", 1, [], 0, 1, 1), (2, "answered", False, "m", 1, [], 0, 1, 1)], "question_id int, status string, gated boolean, model string, citation_count int, rejection_reasons array<string>, whitespace_matches int, input_tokens int, output_tokens int")
     scope = spark.createDataFrame([(1, 1, 5), (1, 2, 5), (2, 1, 5), (2, 3, 6)], "question_id int, doc_id int, matter_id int")
     assert {r["question_id"]: r["matter_id"] for r in A.audit(rows, scope).collect()} == {1: 5, 2: None}
+
+
+VEILED = (
+    "This Agreement is between Acme Widgets, Inc. and Beta LLC. Acme Widgets shall pay  the fee. "
+    "Write to jane@acme.example.com or (555) 123-4567. Beta LLC may end it. Acme Widgets, Inc. may not."
+)
+
+
+def asked_behind(spark, replies, question="May Acme Widgets end it?", cuts=((0, 95), (85, len(VEILED)))):
+    """answer_questions over one redacted document, with a client that returns replies[prompt's last word]."""
+
+    class Client:
+        model = "ollama:test"
+
+        def complete(self, prompt):
+            assert "Acme" not in prompt and "jane@" not in prompt and "123-4567" not in prompt and "PARTY_1" in prompt
+            return replies[prompt.rsplit(" ", 1)[1]], 1, 1, "stop"
+
+    docs = spark.createDataFrame([(1, VEILED)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"{question} {k}") for i, k in enumerate(replies)], "question_id long, question string")
+    ctx = [(i, f"C{j + 1}", j, 1, a, b, VEILED[a:b]) for i in range(len(replies)) for j, (a, b) in enumerate(cuts)]
+    context = spark.createDataFrame(ctx, "question_id long, label string, chunk_id long, doc_id long, start_char int, end_char int, chunk_text string")
+    gate = asked.selectExpr("question_id", "false AS gated")
+    return A.answer_questions(asked, gate, context, docs, Client()).orderBy("question_id").collect()
+
+
+def test_answers_behind_redaction(spark):
+    say = lambda answer, *quotes, label="C1": json.dumps({"status": "answered", "answer": answer, "citations": [{"chunk_id": label, "quote": q} for q in quotes]})
+    got = asked_behind(spark, {
+        "a": say("PARTY_1 pays, PARTY_2 not; see EMAIL_1, PARTY_9.", "PARTY_1 shall pay  the"), "b": say("x", "PARTY_1 shall pay the fee.", "EMAIL_1 or PHONE_1"), "c": say("x", "Acme Widgets shall pay"),
+        "d": say("x", "ARTY_2 may end"), "e": json.dumps({"status": "not_found", "answer": "", "citations": []}),
+    })
+    cites = [[(c["start"], c["end"], c["quoted_text"]) for c in r["citations"] or []] for r in got]
+    place = lambda t, n=0: (VEILED.index(t, n), VEILED.index(t, n) + len(t), t)
+    assert got[0]["answer"] == "Acme Widgets, Inc. pays, Beta LLC not; see jane@acme.example.com, PARTY_9."
+    assert cites[0] == [place("Acme Widgets shall pay  the")] and got[0]["whitespace_matches"] == 0
+    assert cites[1] == [place("Acme Widgets shall pay  the fee."), place("jane@acme.example.com or (555) 123-4567")] and got[1]["whitespace_matches"] == 1
+    assert (got[2]["status"], got[2]["rejection_reasons"]) == ("rejected", ["quote_not_found:C1"])
+    assert cites[3] == [place("Beta LLC may end")]  # a quote that begins inside a placeholder holds all of it
+    assert got[4]["status"] == "not_found" and got[0]["redactions"] == {"PARTY": 5, "EMAIL": 1, "PHONE": 1}
+
+
+def test_redaction_takes_one_document(spark):
+    docs = spark.createDataFrame([(1, "Acme Inc. one"), (2, "Beta LLC two")], "doc_id long, text string")
+    context = spark.createDataFrame([(1, "C1", 1, 1, 0, 9, "x"), (1, "C2", 2, 2, 0, 8, "x")], "question_id long, label string, chunk_id long, doc_id long, start_char int, end_char int, chunk_text string")
+    asked = spark.createDataFrame([(1, "q")], "question_id long, question string")
+    with pytest.raises(Exception, match="one document per question"):
+        A.redacted_inputs(asked, context, A.veiled(docs, context))[0].collect()
+    with pytest.raises(Exception, match="unknown document 7"):
+        A.known_documents(spark.createDataFrame([(1, 7)], "question_id long, doc_id long"), docs).collect()
+
+
+def test_verdicts_are_read_leniently(spark):
+    texts = ['{"verdict":"correct","reason":"ok"}', '{"verdict":"correct"}', "no", None, '{"reason":"r","verdict":"incorrect","more":1}']
+    got = A.verdicts(spark.createDataFrame(list(enumerate(texts)), "question_id int, text string")).orderBy("question_id").collect()
+    assert [(r["verdict"], r["reason"]) for r in got] == [("correct", "ok"), ("incorrect", 'unparseable judge output: {"verdict":"correct"}'), ("incorrect", "unparseable judge output: no"), ("incorrect", "unparseable judge output: "), ("incorrect", "r")]
