@@ -59,8 +59,9 @@ PATTERNS = [
     ("PHONE", re.compile(r"(?<![\w.])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)")),
     ("PHONE", re.compile(r"(?<![\w.])(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)")),
 ]
-#: What every match of PATTERNS holds: a digit, an @, or the beginning of a key.
-_HINT = re.compile(r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-")
+#: What every match of PATTERNS holds: a digit, an @, or a part of a key's beginning.
+_HINT = re.compile(r"[0-9@]")
+_KEY_PARTS = ("AKIA", "ASIA", "_", "sk-", "xox")
 #: Words that a name can be, and what joins their parts.
 _NAME = re.compile(rf"(?<!\w){_CAP}(?!\w)")
 _JOIN = re.compile(r"['’-]")
@@ -278,7 +279,7 @@ def mentions(text: str, known: dict[str, str]):
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order, without overlaps."""
     found: list[tuple[int, int, str]] = []
-    if _HINT.search(text):
+    if _HINT.search(text) or any(part in text for part in _KEY_PARTS):
         taken = bytearray(len(text))
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):

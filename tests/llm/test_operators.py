@@ -486,6 +486,88 @@ def test_held_out_accuracy(spark):
     assert lang.filter("lang_pred = lang").count() / lang.count() > 0.98
 
 
+def slow_features(text):
+    """The set of hashed 3- to 6-grams, one gram at a time in whole numbers."""
+    code, out, m = [ord(c) for c in text.lower()], set(), 2**32
+    for n in toxicity.SIZES:
+        for i in range(len(code) - n + 1):
+            h = 0
+            for k in range(n):
+                part = (code[i + k] + k + 1) * int(toxicity._MULT[k]) % m
+                h = part if not k else (h + (part ^ (part >> 15))) % m
+            out.add(((h ^ (h >> 16)) * 0x7FEB352D % m) >> (32 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_matches_a_slow_version(spark):
+    rng = np.random.default_rng(6)
+    good, bad = [f"w{i}ord" for i in range(40)], ["vile", "rotten", "nasty"]
+    rows = [(i, " ".join(rng.choice(good + bad * (5 if i % 4 == 0 else 0), 12)), int(i % 4 == 0)) for i in range(400)] + [(400, "", 0), (401, None, 1), (402, "ÉÈ ß", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    learned = [(t, y) for i, t, y in rows if t is not None and zlib.crc32(str(i).encode()) % 5]
+    n = collections.Counter(y for _, y in learned)
+    seen = {y: collections.Counter(f for t, z in learned if z == y for f in slow_features(t)) for y in (0, 1)}
+    share = lambda f: (seen[0][f] + seen[1][f]) / len(learned)
+    clear = {f: abs(seen[1][f] / n[1] - seen[0][f] / n[0]) / np.sqrt(share(f) * (1 - share(f)) * (1 / n[0] + 1 / n[1]) + 1e-9) for f in {*seen[0], *seen[1]}}
+    assert model.keys.tolist() == sorted(f for f, c in clear.items() if c >= toxicity.CLEAR)
+    # A feature's weight is its coefficient times its log-count ratio: at the optimum the ridge term meets the gradient.
+    ratio = {f: np.log((seen[1][f] + 1) / (n[1] + 2)) - np.log((seen[0][f] + 1) / (n[0] + 2)) for f in model.keys.tolist()}
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    slow = lambda t: 1 / (1 + np.exp(-np.clip(model.bias + sum(weight.get(f, 0.0) for f in slow_features(t or "")), -40, 40)))
+    for f in list(weight)[:20]:
+        pull = sum((slow(t) - y) * ratio[f] for t, y in learned if f in slow_features(t))
+        assert abs(pull + 0.02 * weight[f] / ratio[f]) < 0.05
+    got = {r["doc_id"]: r for r in toxicity.op1_toxicity(docs, labels).collect()}
+    for i, t, _ in rows:
+        assert got[i]["score"] == pytest.approx(slow(t), abs=1e-9) and got[i]["predicted"] == int(got[i]["score"] >= 0.5) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_language_id_matches_a_slow_version(spark):
+    rng = np.random.default_rng(12)
+    words = {x: ["".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(30)] for x, letters in (("en", "abcde"), ("fr", "cdefg"), ("de", "fghäß"))}
+    rows = [(i, " ".join(rng.choice(words[x], rng.integers(1, 9))), x) for i, x in enumerate(rng.choice(list(words), 300))]
+    rows += [(300, None, "en"), (301, "12 !", "fr"), (302, "zzz Abc-cde", None), (303, "unseen gäß", "de")]
+    df = spark.createDataFrame([(i, t, str(x) if x else None) for i, t, x in rows], "doc_id long, text string, lang string")
+    learned = [(t, str(x)) for i, t, x in rows if t is not None and x and zlib.crc32(str(i).encode()) % 5]
+    langs = sorted({x for _, x in learned})
+    count = {k: {x: collections.Counter() for x in langs} for k in range(langid.LONGEST + 1)}
+    for t, x in learned:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            count[0][x][w] += 1
+            for k in range(1, langid.LONGEST + 1):
+                for i in range(len(w) + 3 - k):
+                    count[k][x][f"<{w}>"[i : i + k]] += 1
+    kept = [{u for x in langs for u, c in count[k][x].items() if c >= langid.LEAST} for k in count]
+
+    def row(k, u):
+        whole = [sum(count[k][x].values()) + langid.ADDED * len(kept[k]) for x in langs]
+        seen = [count[k][x][u] if count[k][x][u] >= langid.LEAST else 0 for x in langs]
+        return np.log([(n + langid.ADDED) / w if n else langid.ADDED / max(whole) for n, w in zip(seen, whole, strict=True)])
+
+    def slow(t):
+        if not t or not any(map(str.isalpha, t)):
+            return "und", 0.0
+        total = np.log([sum(y == x for _, y in learned) / len(learned) for x in langs])
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            if w in kept[0]:
+                total = total + row(0, w)
+                continue
+            for k in range(langid.LONGEST, 0, -1):
+                hits = [g for i in range(len(w) + 3 - k) if (g := f"<{w}>"[i : i + k]) in kept[k]]
+                if hits:
+                    total = total + np.mean([row(k, g) for g in hits], axis=0)
+                    break
+        p = np.exp(total - total.max())
+        return langs[int(p.argmax())], float(p.max() / p.sum())
+
+    got = {r["doc_id"]: r for r in langid.op3_langid(df).collect()}
+    for i, t, _ in rows:
+        lang, score = slow(t)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9) and (got[i]["lang_pred"] == lang or score < 0.5 + 1e-9)
+
+
 def test_a_rare_language_is_learned_and_never_wins_by_lack_of_text(spark):
     rng = np.random.default_rng(8)
     words = {x: ["".join(rng.choice(list(letters), 5)) for _ in range(60)] for x, letters in (("en", "abcdefgh"), ("fr", "efghijkl"), ("xx", "stuvwxyz"))}
