@@ -451,7 +451,7 @@ SELECT conv_id AS question_id, md5('Question: ' || (SELECT list(text ORDER BY tu
  chr(10) || chr(10) || 'Quotes the system cited:' || chr(10) || CASE WHEN len(ts) > 3 THEN array_to_string(list_transform(ts[4:], lambda x: '- ' || CASE WHEN length(x) <= 300 THEN x ELSE substr(x, 1, 299) || '…' END), chr(10)) ELSE '- (none)' END) AS prompt_md5 FROM s""")
 def judge_prompt(spark, d):
     turns = read(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("t"))
-    rows = turns.select(F.col("conv_id").alias("question_id"), F.col("t")[0].alias("question"), F.slice("t", 1, 3).alias("references"), F.element_at("t", -1).alias("answer"), F.slice("t", 4, 100_000).alias("quotes"))
+    rows = turns.select(F.col("conv_id").alias("question_id"), F.col("t")[0].alias("question"), F.slice("t", 1, 3).alias("references"), F.element_at("t", -1).alias("answer"), F.expr("filter(t, (x, i) -> i >= 3)").alias("quotes"))
     return C.judge_prompts(rows).select("question_id", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -465,14 +465,18 @@ def cache_plan(spark, d):
     return A.cache_plan(asked, docs.filter("lang = 'en'").select(key.alias("key")))
 
 
-@query("""SELECT conv_id AS question_id, 'ask' AS action, CASE WHEN count(DISTINCT conv_id * 7 % 3 + turn % 2) = 1 THEN min(conv_id * 7 % 3 + turn % 2) END AS matter_id, list(DISTINCT turn ORDER BY turn) AS document_ids FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id AS question_id, 'ask' AS action, CASE WHEN count(DISTINCT conv_id * 7 % 3 + turn % 2) = 1 THEN min(conv_id * 7 % 3 + turn % 2) END AS matter_id, list(DISTINCT turn ORDER BY turn) AS document_ids,
+ CASE WHEN conv_id % 3 = 0 THEN 'not_found' ELSE 'answered' END AS status, conv_id % 3 = 0 AS gated, (conv_id % 4)::INT AS citation_count, (conv_id * 11)::BIGINT AS input_tokens FROM conversations GROUP BY conv_id""")
 def audit_log(spark, d):
     c = read(spark, d, "conversations")
     scope = c.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("doc_id"), (F.col("conv_id") * 7 % 3 + F.col("turn") % 2).alias("matter_id"))
-    none = F.lit(None).cast("string")
-    results = scope.select("question_id").distinct().select("question_id", F.lit("answered").alias("status"), F.lit(False).alias("gated"), none.alias("model"), F.lit(1).alias("citation_count"), F.array().cast("array<string>").alias("rejection_reasons"), F.lit(0).alias("whitespace_matches"), F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens"))
+    none, out = F.lit(None).cast("string"), F.pmod("question_id", F.lit(3)) == 0
+    results = scope.select("question_id").distinct().select(
+        "question_id", F.when(out, "not_found").otherwise("answered").alias("status"), out.alias("gated"), none.alias("model"), F.pmod("question_id", F.lit(4)).cast("int").alias("citation_count"),
+        F.array().cast("array<string>").alias("rejection_reasons"), F.lit(0).alias("whitespace_matches"), (F.col("question_id") * 11).alias("input_tokens"), F.lit(0).alias("output_tokens"))
     rows = A.audit(results, scope)
-    return rows.select("question_id", "action", "matter_id", F.from_json("detail", "document_ids array<long>")["document_ids"].alias("document_ids"))
+    detail = F.from_json("detail", "document_ids array<long>, status string, gated boolean, citation_count int, input_tokens long")
+    return rows.select("question_id", "action", "matter_id", detail.alias("x")).select("question_id", "action", "matter_id", "x.*")
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")

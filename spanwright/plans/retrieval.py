@@ -59,11 +59,27 @@ def chunk_stats(spark, d):
     return whole.crossJoin(per).crossJoin(p95)  # one row each
 
 
-@query(f"""WITH {B.DOCS}, h_ AS (SELECT matter_id, sha256(text) AS h, doc_id FROM docs)
-SELECT 'document_hash_unique' AS "constraint", matter_id || '|' || h AS key FROM h_ GROUP BY matter_id, h HAVING count(*) > 1""")
+@query(f"""WITH {B.CHUNKS}, h_ AS (SELECT matter_id, sha256(text) AS h, doc_id FROM docs), u_ AS (SELECT DISTINCT user_id FROM events)
+SELECT 'document_hash_unique' AS "constraint", matter_id || '|' || h AS key FROM h_ GROUP BY matter_id, h HAVING count(*) > 1
+UNION ALL SELECT 'chunk_document', chunk_id::VARCHAR FROM chunks WHERE chunk_id % 103 = 0
+UNION ALL SELECT 'chunk_ordinal_unique', '-1|' || ordinal FROM chunks WHERE chunk_id % 103 = 0 GROUP BY ordinal HAVING count(*) > 1
+UNION ALL SELECT 'chunk_range', chunk_id::VARCHAR FROM chunks WHERE chunk_id % 101 = 0
+UNION ALL SELECT 'chunk_length', chunk_id::VARCHAR FROM chunks WHERE chunk_id % 101 = 0
+UNION ALL SELECT 'embedding_with_model', chunk_id::VARCHAR FROM chunks WHERE chunk_id % 107 = 0
+UNION ALL SELECT 'embedding_length', chunk_id::VARCHAR FROM chunks WHERE chunk_id % 107 <> 0 AND chunk_id % 109 = 0
+UNION ALL SELECT 'member_role', user_id::VARCHAR FROM u_ WHERE user_id % 3 = 2
+UNION ALL SELECT 'user_email_unique', 'u' || (user_id % 140) || '@x.example' FROM u_ GROUP BY user_id % 140 HAVING count(*) > 1""")
 def constraint_violations(spark, d):
+    # Chunks damaged in four ways, roles that do not exist and shared addresses, beside what documents really repeat.
     docs = B.documents(spark, d).withColumn("sha256", T.digest("text"))
-    return tables.violations(docs, B.chunks(spark, d))
+    broken = lambda n: F.pmod("chunk_id", F.lit(n)) == 0
+    three = F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    chunks = B.chunks(spark, d).withColumn("doc_id", F.when(broken(103), F.lit(-1)).otherwise(F.col("doc_id"))).withColumn("end_char", F.when(broken(101), F.col("start_char")).otherwise(F.col("end_char")))
+    chunks = chunks.withColumn("embedding_model", F.when(broken(107) | broken(109), "m")).withColumn("embedding", F.when(~broken(107) & broken(109), three))
+    users = tables.read(spark, d, "events").select("user_id").distinct()
+    members = users.select("user_id", F.element_at(F.array(F.lit("owner"), F.lit("member"), F.lit("guest")), (F.pmod("user_id", F.lit(3)) + 1).cast("int")).alias("role"))
+    shared = users.select("user_id", F.concat(F.lit("u"), F.pmod("user_id", F.lit(140)), F.lit("@x.example")).alias("email"))
+    return tables.violations(docs, chunks, members, shared)
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, (row_number() OVER (ORDER BY doc_id) - 1) % 4 AS matter_id, 'matter ' || ((row_number() OVER (ORDER BY doc_id) - 1) % 4) AS matter FROM documents")
@@ -270,14 +286,16 @@ def _resolved(spark, d):
     top = _top_docs(spark, d)
     shown = S.merge_regions(top.select("question_id", "doc_id", F.col("start_char").alias("start"), F.col("end_char").alias("end")), "question_id", "doc_id")
     regions = shown.groupBy("question_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("regions"))
-    q = B.questions(spark, d).select("question_id", F.col("question").alias("quote"))
+    # Every other question is quoted with its spaces doubled, as a model might.
+    quote = F.when(F.pmod("question_id", F.lit(2)) == 1, F.replace("question", F.lit(" "), F.lit("  "))).otherwise(F.col("question"))
+    q = B.questions(spark, d).select("question_id", quote.alias("quote"))
     rows = regions.join(q, "question_id").join(B.documents(spark, d).select("doc_id", "text"), "doc_id")
     return S.resolve_quotes(rows), shown
 
 
-@query(f"""WITH {_HITS}, f AS (SELECT r.question_id, r.doc_id, r.a + instr(substring(d.text, r.a + 1, r.z - r.a), q.question) - 1 AS start, length(q.question) AS n, instr(substring(d.text, r.a + 1, r.z - r.a), q.question) > 0 AS hit
+@query(f"""WITH {_HITS}, f AS (SELECT r.question_id, r.doc_id, r.a + instr(substring(d.text, r.a + 1, r.z - r.a), q.question) - 1 AS start, length(q.question) AS n, contains(q.question, ' ') AS spaced, instr(substring(d.text, r.a + 1, r.z - r.a), q.question) > 0 AS hit
 FROM reg r JOIN documents d USING (doc_id) JOIN questions q ON q.question_id = r.question_id)
-SELECT question_id, doc_id, min(CASE WHEN hit THEN start END)::INT AS start, (min(CASE WHEN hit THEN start END) + any_value(n))::INT AS "end", CASE WHEN bool_or(hit) THEN 'exact' END AS mode FROM f GROUP BY question_id, doc_id""")
+SELECT question_id, doc_id, min(CASE WHEN hit THEN start END)::INT AS start, (min(CASE WHEN hit THEN start END) + any_value(n))::INT AS "end", CASE WHEN bool_or(hit) THEN CASE WHEN question_id % 2 = 1 AND any_value(spaced) THEN 'whitespace' ELSE 'exact' END END AS mode FROM f GROUP BY question_id, doc_id""")
 def resolve_quote(spark, d):
     return _resolved(spark, d)[0].select("question_id", "doc_id", "start", "end", "mode")
 
