@@ -15,6 +15,7 @@ SCHEMAS = {
     "documents": "doc_id long, matter_id long, title string, source string, text string, sha256 string, char_count int",
     "chunks": "chunk_id long, doc_id long, matter_id long, ordinal int, start_char int, end_char int, chunk_text string, embedding array<float>, embedding_model string",
     "audit": "question_id long, action string, matter_id long, detail string, created_at timestamp",
+    "completions": "key string, text string, input_tokens long, output_tokens long, model string, stop_reason string",
     "questions": "question_id string, contract_title string, category string, question string, is_impossible boolean",
 }
 
