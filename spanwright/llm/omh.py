@@ -38,8 +38,8 @@ from .common import SPACE, Scratch, blocks, mix, released, span_hash, staged, ut
 K, LEAST = 5, 0.8
 #: At similarity 0.8 an entry of three is shared with probability about 0.51; all 16 miss in 1 of 100,000.
 SKETCHES, ORDER = 16, 3
-#: Cells of the label counts, at most 2**MOST_CELLS of a byte each.
-MOST_CELLS = 24
+#: Cells of the label counts, at most 2**MOST_CELLS (two a byte: 32 MB), and the most that a cell counts.
+MOST_CELLS, MOST_COUNT = 26, 15
 
 #: White space and ASCII punctuation end a word (fixed values).
 _BREAK = SPACE.copy()
@@ -182,39 +182,50 @@ def cells(labels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def often(labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How many texts hold each label, at most so many: the lesser of its two cells (255: or more)."""
-    a, b = cells(labels, len(counts).bit_length() - 1)
-    return np.minimum(counts[a], counts[b])
+    """How many texts hold each label, at most so many: the lesser of its two cells (MOST_COUNT: or more)."""
+    a, b = cells(labels, len(counts).bit_length())
+    read = lambda at: (counts[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & MOST_COUNT
+    return np.minimum(read(a), read(b))
+
+
+def added(have: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+    """Add n to the cells `at` (each once), two to a byte, up to MOST_COUNT."""
+    for odd in (0, 1):
+        mine = (at & 1) == odd
+        byte, shift = at[mine] >> 1, np.uint8(4 * odd)
+        now = np.minimum(((have[byte] >> shift) & MOST_COUNT).astype(np.int64) + n[mine], MOST_COUNT).astype(np.uint8)
+        have[byte] = (have[byte] & ~np.uint8(MOST_COUNT << shift)) | (now << shift)
 
 
 def frequencies(texts: DataFrame, total: int, k: int = K) -> np.ndarray:
-    """Counts of the labels of `texts` (tkey, text) in a table whose size follows `total` up to 2**MOST_CELLS bytes.
+    """Counts of the labels of `texts` (tkey, text) in a table whose size follows `total` up to 2**MOST_CELLS cells.
 
-    One byte a cell: what reaches the driver and the workers is bounded. A fuller table tells fewer
+    Two cells a byte: what reaches the driver and the workers is bounded. A fuller table tells fewer
     labels apart, which makes more candidates and never fewer links.
     """
-    bits = min(MOST_CELLS, max(16, (2 * total).bit_length()))
+    bits = min(MOST_CELLS, max(17, (4 * total).bit_length()))
     part = 1 << 16
 
-    def add(have: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        have[at] = np.minimum(have[at].astype(np.int64) + n, 255)
-
     def count(batches):
-        have = np.zeros(1 << bits, np.uint8)
+        have = np.zeros(1 << (bits - 1), np.uint8)
         for batch in blocks(batches, "text"):
             for at in cells(np.concatenate([np.zeros(0, np.uint64), *texts_labels(batch, k)]), bits):
-                add(have, *np.unique(at, return_counts=True))
+                added(have, *np.unique(at, return_counts=True))
         whole = have.reshape(-1, part)
         some = np.flatnonzero(whole.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([zlib.compress(whole[i].tobytes(), 1) for i in some], pa.binary())], names=["part", "cells"])
+        for few in np.array_split(some, max(1, len(some) // 64)):
+            yield pa.RecordBatch.from_arrays([pa.array(few, pa.int64()), pa.array([zlib.compress(whole[i].tobytes(), 1) for i in few], pa.binary())], names=["part", "cells"])
 
     def merge(rows: pa.Table) -> pa.Table:
-        have = np.zeros(part, np.int64)
+        low, high = np.zeros(part, np.int64), np.zeros(part, np.int64)
         for x in rows.column("cells"):
-            have += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        return pa.table([rows.column("part").combine_chunks().slice(0, 1), pa.array([np.minimum(have, 255).astype(np.uint8).tobytes()], pa.binary())], names=["part", "cells"])
+            one = np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+            low += one & MOST_COUNT
+            high += one >> 4
+        both = np.minimum(low, MOST_COUNT) | np.minimum(high, MOST_COUNT) << 4
+        return pa.table([rows.column("part").combine_chunks().slice(0, 1), pa.array([both.astype(np.uint8).tobytes()], pa.binary())], names=["part", "cells"])
 
-    out = np.zeros((1 << bits) // part * part, np.uint8).reshape(-1, part)
+    out = np.zeros(1 << (bits - 1), np.uint8).reshape(-1, part)
     for row in texts.select("text").mapInArrow(released(count), "part long, cells binary").groupBy("part").applyInArrow(merge, "part long, cells binary").toLocalIterator():
         out[row["part"]] = np.frombuffer(row["cells"], np.uint8)
     return out.reshape(-1)

@@ -268,6 +268,21 @@ def test_one_bucket_of_many_texts_and_classes(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_label_counts_never_tell_too_few(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(30)], 40)) for _ in range(60)] + ["the same words stand here five times over"] * 1
+    texts += [f"{texts[-1]} {i}" for i in range(40)]
+    df = spark.createDataFrame([(omh.digest(t), t) for t in texts], "tkey binary, text string").repartition(5)
+    counts = omh.frequencies(df, 5_000)
+    import pyarrow as pa
+
+    labels = omh.texts_labels(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), 5)
+    true = collections.Counter(x for own in labels for x in own.tolist())
+    names = np.array(list(true), np.uint64)
+    got, want = omh.often(names, counts), np.minimum([true[x] for x in names.tolist()], omh.MOST_COUNT)
+    assert (got >= want).all() and (got == want).mean() > 0.95 and want.max() == omh.MOST_COUNT
+
+
 def test_every_pair_that_can_link_shares_a_rare_label_early(spark):
     """The split's promise on its own: no pair that reaches 0.8 is missed, whatever the counts are."""
     rng = np.random.default_rng(7)
