@@ -474,9 +474,9 @@ def test_surrogates_of_a_dense_kind_are_settled(spark):
     assert len(set(now.values())) == len(now) and not set(now.values()) & set(now)
 
 
-def test_surrogates_over_a_table_match_a_slow_version(spark, docs):
+def test_surrogates_over_a_table_match_a_slow_version(spark):
     """Every document through detect() and surrogate() by hand, and one surrogate an entity over all of them."""
-    key = b"slow"
+    key, docs = b"slow", spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in pii.op7_pii(docs, key).collect()}
     moved = {(r["kind"], r["original"]): r["attempt"] for r in pii.settled(docs, key).collect()}
     seen = {}
