@@ -42,7 +42,7 @@ SAMPLE = 4096
 #: Queries whose true neighbours set the window, and the share of these that it must hold.
 CHECKED, RECALL = 64, 0.95
 #: Ranks in a block of vectors, and in a block of queries (one row in twenty asks, as a rule).
-GROUP, ASKED = 8192, 8 * 8192
+GROUP, ASKED = 2048, 32 * 2048
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
