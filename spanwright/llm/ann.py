@@ -13,9 +13,11 @@ windows must be to hold `recall` of them. The cheapest such choice is taken; whe
 more than the whole table (vectors without structure), one curve with a window over all of it is
 cheapest: each pair is then compared once.
 
-Ranks are cut into blocks, and a block of queries meets a block of vectors as one group, so groups
-are bounded whatever the vectors are. Of equal vectors only the k+1 smallest ids can be among the k
-nearest of anything; the others ask, but are not compared.
+Ranks are cut into blocks of queries; the vectors within a block's reach stream past it, dealt to a
+few parts, so a task holds one block of queries and their best so far, whatever the vectors are. Each
+part gives k rows a query at most, and parts are as many as the cores ask for: the rows made grow with
+the queries, not with the pairs compared. Of equal vectors only the k+1 smallest ids can be among the
+k nearest of anything; the others ask, but are not compared.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component or have no id take
 no part; shorter vectors are read as ending in zeros; an id that several rows carry counts once, by
@@ -28,12 +30,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.nearest import ROWS, Best, runs
 from .common import released, staged
 
 #: Curves; projected dimensions and bits of each; vectors in the fitting sample, at most about.
@@ -41,8 +43,8 @@ CURVES, DIMENSIONS, BITS = 8, 6, 8
 SAMPLE = 4096
 #: Queries whose true neighbours set the window, and the share of these that it must hold.
 CHECKED, RECALL = 64, 0.95
-#: Ranks in a block of vectors, and in a block of queries (one row in twenty asks, as a rule).
-GROUP, ASKED = 2048, 32 * 2048
+#: Ranks in a block of vectors, and in a block of queries at least and at most; queries in one, on average.
+GROUP, LEAST, MOST, QUERIES = 512, 1 << 16, 1 << 19, 1 << 15
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -121,36 +123,44 @@ def windows(apart: np.ndarray, total: int, recall: float = RECALL) -> tuple[int,
     return best[1], best[2]
 
 
-def matrix(vecs: pd.Series | list[bytes], size: int) -> np.ndarray:
+def matrix(vecs: list[bytes], size: int) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), np.float64).reshape(-1, size)
 
 
-def nearest(asked: pd.DataFrame, held: pd.DataFrame, k: int, width: int, size: int) -> pd.DataFrame:
-    """The k best of `held` within `width` ranks of each of `asked` (vec_id, at, vec as float64 bytes): query_id, vec_id, score."""
-    out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-    if not len(asked) or not len(held):
-        return out[0]
-    held = held.sort_values("at")
-    x, ids, at = matrix(held["vec"], size), held["vec_id"].to_numpy(), held["at"].to_numpy()
-    q, mine = matrix(asked["vec"], size), asked["at"].to_numpy()
-    low, high = np.searchsorted(at, mine - width), np.searchsorted(at, mine + width, side="right")
-    for begin in range(0, len(q), 512):
-        rough = q[begin : begin + 512] @ x.T
-        for i, query in enumerate(asked["vec_id"].to_numpy()[begin : begin + 512], begin):
-            own = slice(low[i], high[i])
-            s = np.where(ids[own] == query, -np.inf, rough[i - begin, own])
+class Asked:
+    """A block of queries (vec_id, at, vec), sorted by rank, and the k best of what was within `width` ranks of each."""
+
+    def __init__(self, batches: list[pa.RecordBatch], k: int, width: int, size: int):
+        rows = pa.Table.from_batches(batches)
+        self.ids, self.at, self.x = rows["vec_id"].to_numpy(), rows["at"].to_numpy(), matrix(rows["vec"].to_pylist(), size)
+        self.k, self.width, self.size = k, width, size
+        self.norms = np.sqrt((self.x * self.x).sum(axis=1))
+        self.best = Best(len(self.ids), k, once=True)
+
+    def meet(self, batch: pa.RecordBatch) -> None:
+        ids, at, x = batch.column("vec_id").to_numpy(), batch.column("at").to_numpy(), matrix(batch.column("vec").to_pylist(), self.size)
+        cuts = np.flatnonzero(np.diff(at // GROUP)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            low, high = np.searchsorted(self.at, at[a] - self.width), np.searchsorted(self.at, at[b - 1] + self.width, side="right")
             # Equal ids count once, so as many more are looked at as ids repeat here.
-            take = min(k + len(s) - len(np.unique(ids[own])), len(s))
-            if not take:
-                continue
-            least = np.partition(s, len(s) - take)[len(s) - take]
-            some = np.flatnonzero((s >= least - 1e-9 * max(1.0, abs(least))) & (s > -np.inf)) if least > -np.inf else np.flatnonzero(s > -np.inf)
-            exact, found = (x[own][some] * q[i]).sum(axis=1), ids[own][some]
-            order = np.lexsort((found, -exact))
-            _, first = np.unique(found[order], return_index=True)
-            order = order[np.sort(first)][:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": found[order], "score": exact[order]}))
-    return pd.concat(out)
+            take = min(self.k + (b - a) - len(np.unique(ids[a:b])), b - a)
+            longest = np.sqrt((x[a:b] * x[a:b]).sum(axis=1).max())
+            for begin in range(low, high, ROWS):
+                self._meet(slice(begin, min(begin + ROWS, high)), ids[a:b], at[a:b], x[a:b], take, longest)
+
+    def _meet(self, rows: slice, ids, at, x, take: int, longest: float) -> None:
+        s = self.x[rows] @ x.T
+        mine = self.at[rows]
+        if max(at[-1] - mine[0], mine[-1] - at[0]) > self.width:
+            s[np.abs(mine[:, None] - at[None, :]) > self.width] = -np.inf
+        s[self.ids[rows][:, None] == ids[None, :]] = -np.inf
+        least = self.best.least(rows).copy()
+        fresh = np.flatnonzero(least == -np.inf)
+        if len(fresh):
+            least[fresh] = np.partition(s[fresh], s.shape[1] - take, axis=1)[:, s.shape[1] - take]
+        # Products of matrices differ in the last digits from the sums that are returned.
+        i, j = np.nonzero((s >= (least - 1e-12 * longest * self.norms[rows])[:, None]) & (s > -np.inf))
+        self.best.add(rows.start + i, ids[j], (x[j] * self.x[rows][i]).sum(axis=1))
 
 
 def keyed(vectors: DataFrame, is_query, k: int, curves: int) -> tuple[DataFrame, int] | None:
@@ -243,6 +253,45 @@ def chosen(rows: DataFrame, order: DataFrame, total: int, k: int, size: int, cur
     return windows(apart, total, recall)
 
 
+def met(placed: DataFrame, total: int, asking: int, curves: int, width: int, k: int, size: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best within `width` ranks of each query, from each curve and part."""
+    spark = placed.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    reach = min(MOST, max(LEAST, QUERIES * total // max(1, asking)))
+    blocks = -(-total // reach)
+    parts = -(-2 * cores // (curves * blocks))
+    first, last = (lambda n: F.floor(F.greatest(F.lit(0), F.col("at") - width) / n)), (lambda n: F.floor(F.least(F.lit(total - 1), F.col("at") + width) / n))
+    # A query goes to the parts that hold a block of its window; a vector to the blocks of queries whose windows hold it.
+    of = F.sequence(first(GROUP), F.least(last(GROUP), first(GROUP) + (parts - 1)))
+    asked = placed.filter("ask").withColumn("queries", F.floor(F.col("at") / reach)).withColumn("part", F.explode(F.transform(of, lambda b: b % parts))).withColumn("turn", F.lit(0))
+    held = placed.filter("held").withColumn("queries", F.explode(F.sequence(first(reach), last(reach)))).withColumn("part", F.floor(F.col("at") / GROUP) % parts).withColumn("turn", F.lit(1))
+    group = (F.col("curve") * blocks + F.col("queries")) * parts + F.col("part")
+    dealt = asked.unionByName(held).select(group.cast("long").alias("group"), "turn", "at", "vec_id", "vec")
+    n = min(curves * blocks * parts, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = dealt.repartitionById(n, (F.col("group") % n).cast("int")).sortWithinPartitions("group", "turn", "at")
+
+    def best(asked: Asked | None):
+        for query, found, s in asked.best.rows(asked.ids) if asked else ():
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    def meet(batches):
+        waiting, asked, group = [], None, None
+        for _, batch in runs(batches, "group", "turn"):
+            if group != (group := batch.column("group")[0].as_py()):  # a new group; it may hold no queries, or nothing else
+                yield from best(asked)
+                waiting, asked = [], None
+            if batch.column("turn")[0].as_py() == 0:
+                waiting.append(batch)
+                continue
+            if waiting:
+                waiting, asked = [], Asked(waiting, k, width, size)
+            if asked:
+                asked.meet(batch)
+        yield from best(asked)
+
+    return dealt.mapInArrow(released(meet), "query_id long, vec_id long, score double")
+
+
 def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, recall: float = RECALL, told: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of (vec_id, embedding) that is_query marks.
 
@@ -253,22 +302,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, reca
     if made is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, size = staged(made[0], "keyed"), made[1]
-    total = rows.count()
+    total, asking = rows.agg(F.count("*"), F.count_if("ask")).first()
     order = ranked(rows, curves)
     used, width = chosen(rows, order, total, k, size, curves, recall)
     if told is not None:
         told.update(curves=used, window=width, share=used * min(total, 2 * width + 1) / total)
-    placed = order.filter(F.col("curve") < used).join(rows.select("uid", "vec_id", "ask", "held", "vec"), "uid")
-    span = lambda a, b, n: F.explode(F.sequence(F.floor(F.greatest(F.lit(0), a) / n), F.floor(F.least(F.lit(total - 1), b) / n)))
-    low, high = F.col("at") - width, F.col("at") + width
-    own = ["curve", "at", "vec_id", "vec"]
-    held = placed.filter("held").select(*own, F.lit(False).alias("ask"), F.floor(F.col("at") / GROUP).alias("block"), span(low, high, ASKED).alias("queries"))
-    asked = placed.filter("ask").select(*own, F.lit(True).alias("ask"), span(low, high, GROUP).alias("block"), F.floor(F.col("at") / ASKED).alias("queries"))
-
-    def meet(df: pd.DataFrame) -> pd.DataFrame:
-        return nearest(df[df["ask"]], df[~df["ask"]], k, width, size)
-
-    found = held.unionByName(asked).groupBy("curve", "block", "queries").applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = met(order.filter(F.col("curve") < used).join(rows.select("uid", "vec_id", "ask", "held", "vec"), "uid"), total, asking, used, width, k, size)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
